@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from lakegraph.llm.common import map_texts
 
 KINDS = ("email", "ip", "card", "phone")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
@@ -67,14 +66,31 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-#: Where it is worth to look: seven digits that stand close together, or a spelled-out at sign.
-ISLAND = re.compile(r"[0-9](?:[^\w\n]{0,3}[0-9]){6,}|[A-Za-z0-9._-]+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]+)+", re.IGNORECASE)
+#: Where it is worth to look: seven digits that stand close together, numbers with bracketed dots, or a spelled-out at sign.
+DIGITS = re.compile(r"(?<![0-9])[0-9](?:[^\w\n]{0,3}[0-9]){6,}|(?<![0-9])[0-9]+(?:[\[(]\.[\])][0-9]+){3}")
+SPELLED = re.compile(r" ?(?:\(at\)|\[at\]|(?<= )at ) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|(?<= )dot ) ?[A-Za-z]+)+", re.IGNORECASE)
+LOCAL_LIKE = LOCAL_CHARS - {"%", "+"}
+
+
+def islands(text: str) -> list[tuple[int, int]]:
+    out = [m.span() for m in DIGITS.finditer(text)] if any(d in text for d in "0123456789") else []
+    for m in SPELLED.finditer(text):
+        a = m.start()
+        while a > 0 and text[a - 1] in LOCAL_LIKE:
+            a -= 1
+        if a < m.start():
+            out.append((a, m.end()))
+    return sorted(out)
+
+
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^\sA-Za-z0-9]")
 CUE = re.compile(r"(tel|phone|call|fax|mobile|telefon\w*|tel[eé]f\w*)|(card|visa|carte|karte|tarjeta)|(ip|host|server|addr\w*)|(mail|e-mail|contact\w*|write|correo)", re.IGNORECASE)
 CUE_REACH = 24
 MOST_TOKENS = 14
 MOST_DIGITS = 19
-FEATURES = ("bias", "digits 10-15", "digits 14-19", "luhn", "four parts up to 255", "dots in brackets", "groups of 4", "groups of 2-4", "mixed separators", "cue phone", "cue card", "cue ip", "cue mail", "at and dot", "digits and letters", "ends in letters", "begins with 0 or bracket", "touches digits")
+FEATURES = ("bias", "digits 10-15", "digits 14-19", "luhn", "four parts up to 255", "dots in brackets", "groups of 4", "groups of 2-4", "mixed separators", "cue phone", "cue card", "cue ip", "cue mail", "at and dot", "digits and letters", "ends in letters", "begins with 0 or bracket", "touches letters or digits", "known ending", "bracketed words", "phone shape")
+ENDINGS = ("com", "org", "net", "edu", "info", "io", "eu", "de", "fr", "es", "it", "uk")
+SHAPE = re.compile(r"(?:\([0-9]{2,4}\)|[0-9]{2,4})[ -][0-9]{3,4}[ -][0-9]{4}")
 
 
 def candidate(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> np.ndarray | None:
@@ -93,7 +109,11 @@ def candidate(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> np.nd
         cue[m.lastindex - 1] = 1
     near = (a > 0 and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum())
     n = len(digits)
-    return np.array([1, 10 <= n <= 15, 14 <= n <= 19, 14 <= n <= 19 and luhn(digits), len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups), bool(re.search(r"\[\.\]|\(\.\)", span)), len(groups) > 1 and all(len(g) == 4 for g in groups), len(groups) > 1 and all(2 <= len(g) <= 4 for g in groups), len(seps) > 2, *cue, spelled, letters and n > 0, letters, span[0] in "0(" and not letters, near], float)
+    return np.array([1, 10 <= n <= 15, 14 <= n <= 19, 14 <= n <= 19 and luhn(digits), len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups), bool(re.search(r"\[\.\]|\(\.\)", span)), len(groups) > 1 and all(len(g) == 4 for g in groups), len(groups) > 1 and all(2 <= len(g) <= 4 for g in groups), len(seps) > 2, *cue, spelled, letters and n > 0, letters, span[0] in "0(" and not letters, near, spelled and groups_end(span) in ENDINGS, spelled and ("[" in span or "(" in span), SHAPE.fullmatch(span) is not None], float)
+
+
+def groups_end(span: str) -> str:
+    return re.split(r"[^a-z]", span.lower())[-1]
 
 
 def segments(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, np.ndarray]]]:
@@ -229,12 +249,13 @@ MARGIN = 1.0
 def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
     """Segments in the text's islands that don't overlap a span of the fixed patterns."""
     out = []
-    for m in ISLAND.finditer(text):
-        start, end = m.span()
-        while start > 0 and text[start - 1] in "(":
+    done = 0
+    for start, end in islands(text):
+        start = max(start, done)
+        if start > done and text[start - 1] == "(":
             start -= 1
+        done = max(done, end)
         tokens, found = segments(text, start, end)
-        # Digits that go on outside the island belong to a longer number.
         free = [x for x in found if not any(s < tokens[x[1]][1] and tokens[x[0]][0] < e for s, e, _ in base)]
         shifted = weights.copy()
         shifted[:, 0] -= MARGIN

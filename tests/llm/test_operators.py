@@ -1,0 +1,388 @@
+"""Operators against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from lakegraph.llm import chat, decontam, langid, mixing, pii, quality, sharding, simhash, tokencount, urlfilter
+
+WORDS = "the of and tion ing er on re st en at le ou ha nd th an in ed or es is to it by".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choices(WORDS, k=rng.randint(1, 3))) for _ in range(n))
+
+
+def rows(seed=1, n=60):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        text = prose(rng, rng.choice([3, 30, 60, 200]))
+        out.append((i, text, rng.choice(["en", "fr", None]), rng.choice(["a", "b", "b", "b", None]), len(text)))
+    long = prose(rng, 150)
+    for i in range(6):  # near copies of one long text
+        w = long.split()
+        w[3 * i] = "changed"
+        out.append((n + i, " ".join(w), "en", "a", 1))
+    out += [out[0], out[0], (900, None, None, None, None), (901, "", "en", "a", 0), (902, " \n\t ", "en", "a", 4), (None, "no id here at all", "en", "b", 5), (903, prose(rng, 6000), "fr", "c", 9)]
+    out += [(904 + i, out[7][1], "en", "b", 1) for i in range(5)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def lower(s):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in s)
+
+
+# 1
+
+
+def test_curve_steps_to_neighbours(spark):
+    for dims, bits in ((2, 3), (3, 2)):
+        cells = [[(n >> (bits * k)) & ((1 << bits) - 1) for k in range(dims)] for n in range(1 << (dims * bits))]
+        df = spark.createDataFrame(cells, [f"c{k}" for k in range(dims)])
+        df = df.select(*(df[c].cast("int") for c in df.columns))
+        got = df.select("*", sharding.hilbert_index([df[c] for c in df.columns], bits).alias("h")).orderBy("h").collect()
+        assert [r.h for r in got] == list(range(len(cells)))
+        assert all(sum(abs(a[k] - b[k]) for k in range(dims)) == 1 for a, b in zip(got, got[1:], strict=False))
+
+
+def test_sharding(spark, docs):
+    got = sharding.shard_documents(docs).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 1) for r in rows())
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r)
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1 and set(by) == set(range(8))
+    assert all(sorted(r.slot for r in s) == list(range(len(s))) for s in by.values())
+    order = [r.curve for k in sorted(by) for r in sorted(by[k], key=lambda r: r.slot)]
+    assert order == sorted(order)
+    assert sharding.shard_documents(empty(spark)).count() == 0
+    clash = docs.withColumn("shard", docs.doc_id).withColumn("_pos", docs.doc_id)
+    out = sharding.shard_rows(clash)
+    assert out.count() == docs.count() and set(out.columns) == {*docs.columns, "_pos", "shard", "slot", "curve"}
+
+
+# 2
+
+
+def brute_hits(words, items):
+    hit, found = set(), set()
+    for item, w in items:
+        m = min(10, len(w))
+        for p in range(len(w) - m + 1) if m else []:
+            for q in range(len(words) - m + 1):
+                if words[q : q + m] == w[p : p + m]:
+                    hit |= set(range(q, q + m))
+                    found.add(item)
+    return hit, found
+
+
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_decontamination(spark, block):
+    rng = random.Random(3)
+    items = [(i, prose(rng, rng.choice([1, 3, 9, 10, 25]))) for i in range(12)] + [(50, None), (51, "..."), (3, "dup dup dup"), (52, "a a a a a a a a a a a a")]
+    texts = [prose(rng, 40) for _ in range(6)] + [prose(rng, 20) + " " + items[k][1].upper() + ". " + prose(rng, 9) for k in range(12)] + ["a " * 30, "dup dup dup dup", None, "", items[4][1][:-3]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    word = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    split = lambda t: word.findall(lower(t or "").encode())
+    got = decontam.find_hits(docs, "text", bench, block_bytes=block).withColumn("n", decontam.n_hit()).collect()
+    for r in got:
+        hit, found = brute_hits(split(texts[r.doc_id]), [(str(i), split(t)) for i, t in items])
+        assert (r._n_words, r.n, set(r._items)) == (len(split(texts[r.doc_id])), len(hit), found), r
+    digest = {r.doc_id: r for r in decontam.document_hits(docs, bench).collect()}
+    r = next(x for x in got if len(x._items) > 1)
+    assert digest[r.doc_id].items_sha256 == hashlib.sha256(",".join(sorted(r._items)).encode()).hexdigest() and digest[r.doc_id].contaminated
+    assert decontam.document_hits(docs, bench.limit(0)).where("contaminated").count() == 0
+    clean = {r.doc_id: r.text for r in decontam.cleaned_rows(docs, bench.where("length(text) > 60")).collect()}
+    assert clean[0] == texts[0] and all(not brute_hits(split(t), [(i, split(x)) for i, x in items if x and len(x) > 60])[0] for t in clean.values())
+
+
+# 3
+
+
+def test_url_filter(spark):
+    urls = [None, "", "no host", "http://A.b.Example.com/en/7x?q", "https://example.com/en/8", "https://x.net/de/1", "ftp://m.example.net/de/88#f", "http://free-bets.example.com", "https://m.free-bets.example.com/fr/1", "http://notfree-bets.example.com/", "http://a.org/es/", "x://y://z/en/", "http://com/en/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.page_verdicts(pages).collect()}
+    assert got[0] == got[1] == got[2] == ("", "", None, "allow")
+    assert got[3] == ("a.b.example.com", "/en/7x", "example.com/en/7", "allow")
+    assert [got[i][2:] for i in (4, 5, 6, 7, 8, 9, 10, 12)] == [("com/en/", "block"), ("net/de/", "allow"), ("example.net/de/8", "block"), (None, "block"), (None, "block"), (None, "allow"), ("org/es/", "block"), ("com/en/", "block")]
+    assert got[11][:2] == ("y:", "//z/en/")
+    assert urlfilter.page_verdicts(pages.limit(0)).count() == 0
+
+
+def test_cascade_is_exact(spark):
+    universe = spark.range(4000).selectExpr("concat('k', id) as key")
+    listed = universe.where("pmod(hash(key), 3) = 0")
+    cascade = urlfilter.build_cascade(listed, universe)
+    assert len(cascade.levels) > 2
+    asked = universe.selectExpr("key", "array(key) as ks")
+    got = {r.key for r in asked.where(urlfilter.any_listed(asked, asked.ks, cascade)).collect()}
+    assert got == {r.key for r in listed.collect()}
+    assert urlfilter.build_cascade(listed, universe, most_bytes=100) is None
+    pages = universe.selectExpr("monotonically_increasing_id() as page_id", "concat('http://', key, '/') as url")
+    a = urlfilter.judge_urls(pages, "url", listed).select("page_id", "_verdict")
+    b = urlfilter.judge_urls(pages, "url", listed, most_bytes=100).select("page_id", "_verdict")
+    assert a.exceptAll(b).count() == 0 and a.where("_verdict = 'block'").count() == len(got)
+
+
+# 4
+
+
+def test_token_counts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(tokencount.VOCABULARY)
+    library = Tokenizer.from_file(path)
+    rng = random.Random(5)
+    alphabet = [*"abcXYZ 0159.,'!?-\n\t\r", "the ", "don't ", "é", "ß", "İ", "Σ", "ç", " ", "\x1c", "́", "漢", "😀", "<|endoftext|>", "<|", "²", "½", "ŉ", "Ÿ"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(400)] + [None, "", "word " * 5000, "x" * 3000]
+    got = {r.doc_id: r for r in tokencount.document_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 2048), repr(t)
+    whole = tokencount.prove_whole_tokens(library)
+    assert len(whole) > 10_000 and all(len(library.encode(w, add_special_tokens=False).ids) == 1 for w in whole[::50])
+
+
+# 5
+
+
+def plain_spans(text):
+    out = [(*m.span(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(*m.span(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub(r"\D", "", m.group())
+        if 14 <= len(d) <= 19 and pii.luhn(d):
+            out.append((*m.span(), 2))
+    out += [(*m.span(), 3) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(re.sub(r"\D", "", m.group())) <= 15]
+    return sorted(out, key=lambda s: (s[0], s[2]))
+
+
+def test_base_spans():
+    rng = random.Random(7)
+    for _ in range(3000):
+        t = "".join(rng.choices(["a", "b.", "@", "x@y.z", "1", "25", "300", ".", "+", "-", " ", "(", ")", "4111111111111111", "é", "\n", "1.2.3.4", "%"], k=rng.randint(0, 25)))
+        assert pii.base_spans(t) == plain_spans(t), t
+
+
+def test_crf(spark):
+    held = pii.sentences(120, seed=99)
+    found = wanted = right = 0
+    for text, spans in held:
+        got = set(pii.added_spans(text, pii.base_spans(text), pii.train())) | {(a, b, k) for a, b, k in pii.base_spans(text)}
+        found, wanted, right = found + len(got), wanted + len(spans), right + len(got & set(spans))
+    assert right / wanted > 0.85 and right / found > 0.85
+    texts = [None, "", "mail bob@x.org or 10.0.0.1", "1" * 50_000, "7 " * 20_000, "cards 4111111111111111 4111111111111111"]
+    got = {r.doc_id: r for r in pii.document_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert (got[2].n_email, got[2].n_ip, got[2].spans) == (1, 1, "email:5:14,ip:18:26") and got[0].spans == got[1].spans == ""
+    assert got[5].n_card == 0 and got[5].spans == "card:6:22,card:23:39"
+    masked = pii.masked_rows(spark.createDataFrame([(1, texts[2])], "doc_id long, text string")).first()
+    assert masked.text == "mail [email] or [ip]"
+
+
+# 6
+
+
+def test_chat(spark):
+    rng = random.Random(2)
+    data = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice(["a<|end|>b", "&lt;", "&amp;lt; <", "é\n", None, "", prose(rng, 20)])) for c in range(5) for t in range(6)]
+    data += [(9, t, "assistant" if t % 2 else "user", f"<|turn|>{t}") for t in range(700)] + [(3, 1, "user", "tie"), (None, 1, "user", "x"), (4, None, "assistant", "first")]
+    got = {r.conv_id: r for r in chat.conversation_digests(spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(5)).collect()}
+    data += [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+    by = defaultdict(list)
+    for c, t, r, x in data:
+        by[c].append(((t is not None, t or 0), r or "", chat_escape(x or ""), x or ""))
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        turns.sort()
+        text = "".join(f"{r}\n{x}\n" for _, r, _, x in turns)
+        loss = "".join(x for _, r, _, x in turns if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), hashlib.sha256(text.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()), c
+
+
+def chat_escape(s):
+    return s.replace("&", "&amp;").replace("<", "&lt;")
+
+
+def test_chat_parts(spark):
+    parts = "array<struct<kind:string,text:string,ref:string,tokens:bigint>>"
+    df = spark.createDataFrame([(1, 0, "user", [("text", "see <", None, None), ("image", None, "s3://i", 85), None, ("audio", None, "a.wav", None), (None, "end", None, None)]), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts {parts}")
+    r = chat.format_conversations(df).first()
+    assert r.formatted == "<|turn|>user<|body|>see &lt;<|image:1|><|audio:2|>end<|end|><|turn|>assistant<|body|><|end|>"
+    assert [tuple(a) for a in r.attachments] == [(1, "image", "s3://i", 85), (2, "audio", "a.wav", 0)]
+
+
+# 7
+
+
+def test_language_model():
+    rng = random.Random(1)
+    texts = {"a": [prose(rng, 80).encode() for _ in range(5)], "b": [prose(rng, 80).replace("t", "q").encode() for _ in range(5)]}
+    m = langid.ContextTrees(texts)
+    p = np.exp2(-m.bits.reshape(-1, m.size, 2).astype(float)).sum(1)
+    assert np.allclose(p, 1, atol=1e-4)  # each context's probabilities sum to one
+    long = texts["a"][0] * 40
+    assert np.allclose(m.lengths([long], block=1000), m.lengths([long]))
+
+
+def test_language_accuracy(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.document_languages(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97
+    odd = spark.createDataFrame([(1, None, "en", "a", 0), (2, "123 ...", "en", "a", 0), (3, "", None, "a", 0)], SCHEMA)
+    assert [r.lang_pred for r in langid.document_languages(odd.unionByName(d)).where("doc_id in (1, 2, 3)").collect()].count("und") >= 3
+    assert langid.document_languages(empty(spark)).count() == 0
+
+
+# 8
+
+
+def brute_fingerprint(text, width=4):
+    w = lower(text or "").encode().split()
+    s = [b" ".join(w[i : i + width]) for i in range(len(w) - width + 1)] or ([b" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(prints, near):
+    ids, f = [i for i, _ in prints], [x for _, x in prints]
+    label = list(range(len(f)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(f)):
+            for j in range(len(f)):
+                if bin(f[i] ^ f[j]).count("1") <= near and label[j] < label[i]:
+                    label[i], changed = label[j], True
+    least = {}
+    for i, x in zip(ids, label, strict=True):
+        least[x] = min((v for v in (least.get(x), i) if v is not None), default=None)
+    return [least[x] for x in label]
+
+
+def test_simhash(spark, docs):
+    data = rows()
+    prints = [(r[0], brute_fingerprint(r[1])) for r in data]
+    want = Counter((i, f"{f:016x}", c) for (i, f), c in zip(prints, brute_components(prints, 4), strict=True))
+    got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.document_components(docs).collect())
+    assert got == want
+    assert simhash.document_components(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize(("segments", "near", "bucket"), [(2, 4, 8192), (2, 4, 8), (4, 11, 16)])
+def test_links_join_what_pairs_join(spark, segments, near, bucket):
+    rng = random.Random(segments + near)
+    f = [rng.getrandbits(64) for _ in range(60)]
+    for _ in range(240):
+        x = rng.choice(f)
+        for b in rng.sample(range(64), rng.randint(1, near)):
+            x ^= 1 << b
+        f.append(x)
+    signed = sorted({x - (1 << 64) if x >> 63 else x for x in f})
+    df = spark.createDataFrame([(x,) for x in signed], "_f0 long")
+    got = {r.node: r.label for r in simhash.components(simhash.links(df, 1, segments, near, near, bucket)).collect()}
+    want = brute_components([(x, x & (1 << 64) - 1) for x in signed], near)
+    assert {x: got.get(x, x) for x in signed} == dict(zip(signed, want, strict=True))
+
+
+def test_distinct_rows(spark, docs):
+    kept = simhash.distinct_rows(docs).collect()
+    texts = [r.text for r in kept]
+    assert len({t for t in texts if t and t.strip()}) == len([t for t in texts if t and t.strip()])
+    assert sum(t is not None and "changed" in t for t in texts) <= 1
+    assert simhash.distinct_rows(docs).columns == docs.columns
+
+
+# 9
+
+
+def brute_stats(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    c = Counter(grams)
+    rep = {i + k for i, g in enumerate(grams) if c[g] > 1 for k in range(5)}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(rep)
+
+
+def test_quality_statistics():
+    rng = random.Random(4)
+    for _ in range(300):
+        t = "".join(rng.choices(["a ", "b ", "\n", "#", "é", " ", "x\n", " ", "<", "a b c d e ", "\r", "\x0b"], k=rng.randint(0, 60)))
+        assert quality.text_stats(t.encode()) == brute_stats(t), repr(t)
+    many = " ".join(str(i % 9000) for i in range(18_010))
+    assert quality.text_stats(many.encode()) == brute_stats(many)
+
+
+def test_quality_query(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.document_quality(d, labels)
+    j = got.join(labels, "doc_id").where("not base_failed")
+    good, lost = j.where("quality = 1").count(), j.where("quality = 1 and not kept").count()
+    bad, found = j.where("quality = 0").count(), j.where("quality = 0 and not kept").count()
+    assert lost <= 0.01 * good and found > 0.25 * bad
+    assert got.exceptAll(quality.document_quality(d, labels)).count() == 0
+    assert quality.document_quality(empty(spark), labels).count() == 0
+    assert quality.document_quality(d, labels.limit(0)).where("kept = base_failed").count() == 0
+    assert quality.kept_rows(d, labels).columns == d.columns
+
+
+# 10
+
+
+def test_mixing(spark, docs):
+    got = mixing.mix_documents(docs).collect()
+    assert len(got) == len(rows())
+    size, target, taken, own = Counter(), {}, Counter(), defaultdict(list)
+    for r in got:
+        assert r.taken in (0, r.size, 2 * r.size)
+        size[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        own[r.source].append(r.size)
+    names = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + [None] * (None in size)
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    want, left, free = {}, 1.5 * sum(size.values()), set(names)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] >= 2 * size[s]}
+        want |= {s: 2 * size[s] if s in full else level * weight[s] for s in full or free}
+        left -= sum(2 * size[s] for s in full)
+        free = free - full if full else set()
+    assert all(abs(want[s] - target[s]) < 1e-6 for s in names)
+    assert all(abs(taken[s] - target[s]) <= max(own[s]) for s in names)
+    assert Counter(map(tuple, mixing.mix_documents(docs).collect())) == Counter(map(tuple, got))
+    assert mixing.mix_documents(empty(spark)).count() == 0
+    assert mixing.mix_rows(docs).columns == docs.columns
+
+
+def test_pivotal_tree(spark):
+    df = spark.range(5000).selectExpr("if(id % 3 = 0, 's', 't') as source", "id as pos", "0.3D as p", "cast(1 + id % 7 as double) as size")
+    got = mixing.pivotal_rounding(df, fan_in=8)
+    j = got.join(df, "pos")
+    assert j.count() == 5000 and got.select("pos").distinct().count() == 5000
+    for r in j.selectExpr("source", "one * size as t", "p * size as e").groupBy("source").sum("t", "e").collect():
+        assert abs(r["sum(t)"] - r["sum(e)"]) <= 7
