@@ -10,7 +10,6 @@ import re
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,24 +179,28 @@ def _automaton(token: str, shared, window: int) -> SuffixAutomaton:
 FOUND = "_n_words long, _starts array<int>, _ends array<int>, _items array<string>"
 
 
-def find_hits(docs: DataFrame, text: str, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_hits(docs: DataFrame, text: str, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, clean: bool = False) -> DataFrame:
     """Adds ``_n_words``, ``_starts``, ``_ends`` (spans of hit words, merged) and ``_items`` (ids as strings, sorted) to the documents.
 
-    Null and empty texts have no words; an empty benchmark hits nothing; repeated items count once. Each block of the
-    benchmark is one pass over the documents, whose result is written before the next.
+    With ``clean``, ``text`` is replaced by the text without the hit words. Null and empty texts have no words; an empty
+    benchmark hits nothing; repeated items count once. Each block of the benchmark is one pass over the documents, whose
+    result is written before the next; the driver holds two blocks at most.
     """
-    n = 0
-    for n, block in enumerate(item_blocks(items, block_bytes), 1):
-        docs = _pass(docs if n == 1 else written(docs, "hits"), text, block, window, n == 1)
-    return docs if n else _pass(docs, text, [], window, True)
+    blocks = item_blocks(items, block_bytes)
+    block, n = next(blocks, []), 0
+    while block is not None:
+        following = next(blocks, None)
+        docs = _pass(docs if not n else written(docs, "hits"), text, block, window, not n, clean and following is None)
+        block, n = following, n + 1
+    return docs
 
 
-def _pass(docs: DataFrame, text: str, block: list, window: int, first: bool) -> DataFrame:
+def _pass(docs: DataFrame, text: str, block: list, window: int, first: bool, clean: bool) -> DataFrame:
     shared, token = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def make(texts: list[bytes | None], *before: list) -> dict[str, list]:
         automaton = _automaton(token, shared, window)
-        out: dict[str, list] = {"_n_words": [], "_starts": [], "_ends": [], "_items": []}
+        out: dict[str, list] = {"_n_words": [], "_starts": [], "_ends": [], "_items": [], text: []}
         for i, t in enumerate(texts):
             words = words_of(t)
             spans, found = automaton.hits(words)
@@ -208,11 +211,15 @@ def _pass(docs: DataFrame, text: str, block: list, window: int, first: bool) ->
             out["_starts"].append([a for a, _ in spans])
             out["_ends"].append([b for _, b in spans])
             out["_items"].append(sorted(found))
+            if clean:
+                out[text].append(t if t is None else cut(t, spans).decode())
         return out
 
-    if first:
-        return map_texts(docs.withColumn("_scan", F.col(text)), "_scan", FOUND, make)
-    return map_texts(docs.drop("_n_words").withColumn("_scan", F.col(text)), "_scan", FOUND, make, also=["_starts", "_ends", "_items"])
+    also = [] if first else ["_starts", "_ends", "_items"]
+    docs = docs if first else docs.drop("_n_words")
+    if clean:
+        return map_texts(docs, text, f"{FOUND}, {text} string", make, also)
+    return map_texts(docs.withColumn("_scan", F.col(text)), "_scan", FOUND, make, also)
 
 
 def n_hit() -> Column:
@@ -227,33 +234,27 @@ def document_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     return found.select("doc_id", F.col("_n_words").alias("n_words"), n_hit().alias("n_hit"), F.size("_items").cast("long").alias("n_items"), sha.alias("items_sha256"), (n_hit() > 0).alias("contaminated"))
 
 
-def cut(text: str, spans: list[tuple[int, int]]) -> str:
+def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the hit words; a run of them goes with what stands between its words."""
-    raw = text.encode()
+    if not spans:
+        return raw
     at = [m.span() for m in WORD.finditer(raw.lower())]
     kept, last = [], 0
     for a, b in spans:
         kept.append(raw[last : at[a][0]])
         last = at[b - 1][1]
-    return b"".join([*kept, raw[last:]]).decode()
+    return b"".join([*kept, raw[last:]])
 
 
 def cleaned_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """Whole documents without the spans that occur in the benchmark, with the columns they came with.
 
     A document that loses more than ``coverage`` of its words is dropped; one without words or hits stays as it is.
-    ``n_chars``, where the table has it, follows the text.
+    ``n_chars``, where the table has it, follows the text of a document that was cut.
     """
     packed = docs.select(F.struct("*").alias("_doc"), F.col("text").alias("_text"))
-    found = find_hits(packed, "_text", items, window)
-    stay = found.where(n_hit() <= F.col("_n_words") * F.lit(coverage))
-
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or not len(a) else cut(t, list(zip(a, b, strict=True))) for t, a, b in zip(texts, starts, ends, strict=True)], dtype=object)
-
-    text = without("_text", "_starts", "_ends")
-    out = stay.withColumn("_clean", text)
-    hit = F.size("_starts") > 0
-    new = {"text": F.col("_clean"), "n_chars": F.when(hit, F.length("_clean").cast("long")).otherwise(F.col("_doc.n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None))}
-    return out.select(*((new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns))
+    stay = find_hits(packed, "_text", items, window, clean=True).where(n_hit() <= F.col("_n_words") * F.lit(coverage))
+    new = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size("_starts") > 0, F.length("_text")).otherwise(F.col("_doc.n_chars"))
+    return stay.select(*((new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns))
