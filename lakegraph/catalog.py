@@ -451,7 +451,7 @@ def html_strip(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", F.md5(C.strip_html(F.col("html"))).alias("text_md5"))
 
 
-@query("f22_freshness_score", "SELECT id, CAST(coalesce(greatest(0, least(100, floor(100 - (epoch(TIMESTAMP '2001-08-02') - epoch(last_seen_at)) / 86400 / 30 * 100 + 0.5))), 0) AS BIGINT) AS freshness FROM ent")
+@query("f22_freshness_score", "SELECT id, CAST(CASE WHEN last_seen_at IS NULL THEN 0 ELSE greatest(0, least(100, floor(100 - (epoch(TIMESTAMP '2001-08-02') - epoch(last_seen_at)) / 86400 / 30 * 100 + 0.5))) END AS BIGINT) AS freshness FROM ent")
 def freshness_score(t: Tables) -> DataFrame:
     return t.entities().select("id", C.freshness(C.days_between(as_of(), F.col("last_seen_at"))).alias("freshness"))
 

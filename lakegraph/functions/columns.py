@@ -12,7 +12,8 @@ def half_up(x: Column) -> Column:
 
 
 def clamp(x: Column, low: float = 0, high: float = 100) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), half_up(x)))
+    """Rounded and kept between the bounds; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), half_up(x))))
 
 
 def normalize_domain(raw: Column) -> Column:
