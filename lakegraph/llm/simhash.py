@@ -174,7 +174,7 @@ def links(prints: DataFrame, words: int, segments: int, near: int, most: int, bu
 
     table = prints.select(F.explode(F.concat(*(keys(s) for s in range(segments)))).alias("key"), *cols)
     schema = "a long, b long, hot long, " + ", ".join(f"{c} long" for c in cols)
-    first = written(table.repartition("key").sortWithinPartitions("key").mapInArrow(_scan(["key", *cols], near, most, bucket), schema), "links")
+    first = written(table.repartition("key").sortWithinPartitions("key", "_f0").mapInArrow(_scan(["key", *cols], near, most, bucket), schema), "links")
     hot = first.where("hot is not null").select(F.col("hot").alias("key"), *cols)
     found = first.where("a is not null").select("a", "b")
     if not hot.isEmpty():
@@ -183,9 +183,13 @@ def links(prints: DataFrame, words: int, segments: int, near: int, most: int, bu
         own = F.pmod(F.xxhash64("_f0", F.lit(7)), F.col("_n"))
         pairs = hot.join(blocks, "key").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
         pairs = pairs.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), *cols)
-        again = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_scan(["key", "i", "j", *cols], near, most, None), schema)
+        again = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "_f0").mapInArrow(_scan(["key", "i", "j", *cols], near, most, None), schema)
         found = found.unionByName(again.select("a", "b"))
-    return found.distinct()
+    # A group's buckets give its members several roots: each member keeps its least root, and the roots link to it.
+    found = written(found.distinct(), "distinct-links")
+    least = found.groupBy("b").agg(F.min("a").alias("m"))
+    roots = found.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).distinct()
+    return least.select(F.col("m").alias("a"), "b").unionByName(roots)
 
 
 def components(edges: DataFrame) -> DataFrame:
