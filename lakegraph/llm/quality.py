@@ -1,8 +1,9 @@
 """Quality rules and an isolation forest on their statistics.
 
 Fixed rules reject what is plainly unusable. What they let pass is judged by an isolation forest: random splits over the
-rule statistics isolate unusual documents on short paths. The forest is grown on a bounded sample; its threshold is
-calibrated on all labelled rows.
+rule statistics isolate unusual documents on short paths. Path lengths count labelled good rows only, so that bad rows
+cannot hide each other however common they are; splits range over rows of all kinds, so that places without good rows are
+cut off early. Both samples are bounded; the threshold is calibrated on all labelled rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ REPEAT = 5
 SYMBOL = re.compile(rb"[#*$%&|<>]")
 TREES = 100
 SUBSAMPLE = 256
-#: Rows that the forest is grown on, at most; a document is in the sample by the hash of its id and statistics.
+#: Rows of each of the forest's two samples, at most; a document is in a sample by the hash of its id and statistics.
 SAMPLE_ROWS = 20_000
 #: Share of the labelled good documents that the threshold may reject at most.
 GOOD_LOSS = 0.01
@@ -99,30 +100,35 @@ def expected_path(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
+def _pick(points: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    return points[rng.choice(len(points), n, replace=False)] if len(points) > n else points
+
+
 class IsolationForest:
     """Trees as flat arrays: feature (-1: leaf), threshold, left child (right is the next), and the leaf's path length."""
 
-    def __init__(self, points: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 0):
+    def __init__(self, good: np.ndarray, mixed: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 0):
         rng = np.random.default_rng(seed)
-        self.size = max(2, min(subsample, len(points)))
-        self.trees = [self._grow(points[rng.choice(len(points), self.size, replace=False)] if len(points) > self.size else points, rng) for _ in range(trees)] if len(points) else []
+        self.size = max(2, min(subsample, len(good)))
+        self.trees = [self._grow(_pick(good, subsample, rng), _pick(mixed, subsample, rng), rng) for _ in range(trees)] if len(good) else []
 
-    def _grow(self, points: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    def _grow(self, good: np.ndarray, mixed: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
         feature, cut, left, path = [0], [0.0], [0], [0.0]
-        limit, todo = int(np.ceil(np.log2(self.size))), [(0, points, 0)]
+        limit, todo = int(np.ceil(np.log2(self.size))), [(0, good, mixed, 0)]
         while todo:
-            node, p, depth = todo.pop()
-            low, high = p.min(0), p.max(0)
+            node, g, m, depth = todo.pop()
+            both = np.concatenate([g, m])
+            low, high = (both.min(0), both.max(0)) if len(both) else (np.zeros(1), np.zeros(1))
             open_dims = np.flatnonzero(high > low)
-            if depth >= limit or len(p) <= 1 or not len(open_dims):
-                feature[node], path[node] = -1, depth + expected_path(len(p))
+            if depth >= limit or len(g) <= 1 or not len(open_dims):
+                feature[node], path[node] = -1, depth + expected_path(len(g))
                 continue
             f = int(rng.choice(open_dims))
             at = float(rng.uniform(low[f], high[f]))
             feature[node], cut[node], left[node] = f, at, len(feature)
-            below = p[:, f] <= at
-            for part in (p[below], p[~below]):
-                todo.append((len(feature), part, depth + 1))
+            g_below, m_below = g[:, f] <= at, m[:, f] <= at
+            for g_part, m_part in ((g[g_below], m[m_below]), (g[~g_below], m[~m_below])):
+                todo.append((len(feature), g_part, m_part, depth + 1))
                 feature.append(-1), cut.append(0.0), left.append(0), path.append(float(depth + 1))
         return np.array(feature), np.array(cut), np.array(left), np.array(path)
 
@@ -160,7 +166,9 @@ def judge(docs: DataFrame, text: str, labels: DataFrame, seed: int = 0) -> DataF
     """
     table = written(statistics(docs, text), "statistics")
     passed = table.where(~base_failed())
-    forest = docs.sparkSession.sparkContext.broadcast(IsolationForest(_sample(passed, SAMPLE_ROWS), seed=seed))
+    good = labels.where("quality = 1").select(F.col("doc_id").alias("_label_id")).where("_label_id is not null").distinct()
+    good_rows = passed.join(good, F.col("_id") == F.col("_label_id"), "left_semi")
+    forest = docs.sparkSession.sparkContext.broadcast(IsolationForest(_sample(good_rows, SAMPLE_ROWS), _sample(passed, SAMPLE_ROWS), seed=seed))
     names = [f"_{x.split()[0]}" for x in STATS.split(", ")]
 
     @F.pandas_udf("double")
@@ -168,7 +176,6 @@ def judge(docs: DataFrame, text: str, labels: DataFrame, seed: int = 0) -> DataF
         return pd.Series(forest.value.scores(features(pd.DataFrame(dict(zip(names, cols, strict=True))))))
 
     scored = table.withColumn("_score", score(*names))
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("_label_id")).where("_label_id is not null").distinct()
     labelled = scored.where(~base_failed()).join(good, F.col("_id") == F.col("_label_id"), "left_semi")
     counts = {r.b: r.n for r in labelled.groupBy(F.floor(F.col("_score") * BINS).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()}
     total, above, threshold = sum(counts.values()), 0, BINS + 1
