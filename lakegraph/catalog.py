@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakegraph.functions import columns as C
+from lakegraph.functions import text as X
 from lakegraph.operators import graph
 from lakegraph.plans.query import Event, Observation, Query, Relationship, execute, having_observation
 from lakegraph.sources.tables import BINDING_SQL, Tables
@@ -461,6 +462,21 @@ def payload_hash(t: Tables) -> DataFrame:
     return t.events().select("id", F.md5("payload").alias("h"))
 
 
+@query("f31_stable_hash", "SELECT page_id, lower(to_base(list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(url, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (h * 33 + c) % 4294967296), 36, 7)) AS h FROM pages", bound=False)
+def stable_hashes(t: Tables) -> DataFrame:
+    return t.raw("pages").select("page_id", X.stable_hash(F.col("url")).alias("h"))
+
+
+@query("f32_page_hash", "WITH x AS (SELECT page_id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(html, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM pages) SELECT page_id, 'h' || lower(to_base(CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END, 16)) AS h FROM x", bound=False)
+def page_hashes(t: Tables) -> DataFrame:
+    return t.raw("pages").select("page_id", X.page_hash(F.col("html")).alias("h"))
+
+
+@query("f36_hashed_vectors")
+def hashed_vectors(t: Tables) -> DataFrame:
+    return t.raw("benchmark").select("item_id", X.hashed_vector()(F.col("text")).alias("embedding"))
+
+
 @query("f33_day_keys", "SELECT id, entity_id || ':' || attribute || ':' || strftime(observed_at, '%Y-%m-%d') AS dedup_key FROM obs")
 def day_keys(t: Tables) -> DataFrame:
     return t.observations().select("id", C.day_key(F.col("entity_id"), F.col("attribute"), at=F.col("observed_at")).alias("dedup_key"))
@@ -486,6 +502,54 @@ def page_flags(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", F.contains(h, F.lit("viewport")).alias("has_viewport"), F.contains(h, F.lit("<script")).alias("has_script"), F.col("html").rlike(r"(?i)<title[^>]*>[^<]").alias("has_title"))
 
 
+def _in(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+@query(
+    "a25_review_sentiment",
+    f"""WITH w AS (SELECT doc_id, source, doc_id % 6 AS stars, regexp_extract_all(lower(coalesce(text, '')), '[a-zàèéìòù'']+') AS ws FROM documents
+    ), u AS (SELECT doc_id, unnest(list_zip(ws, list_prepend(NULL, ws))) AS p FROM w
+    ), s AS (SELECT doc_id, sum(CASE WHEN p[1] IN ({_in(X.POSITIVE)}) THEN 1.0::DOUBLE WHEN p[1] IN ({_in(X.NEGATIVE)}) THEN -1.0 ELSE 0.0 END
+      * CASE WHEN p[2] IN ({_in(X.NEGATIONS)}) THEN -1.0 ELSE 1.0 END * CASE WHEN p[2] IN ({_in(X.INTENSIFIERS)}) THEN 1.5 ELSE 1.0 END) AS total FROM u GROUP BY doc_id
+    ), f AS (SELECT source, stars, coalesce(total, 0.0) / greatest(3.0, abs(coalesce(total, 0.0))) AS said FROM w LEFT JOIN s USING (doc_id)
+    ), g AS (SELECT source, round(CASE WHEN stars BETWEEN 1 AND 5 THEN said * 0.6 + (stars - 3) / 2.0::DOUBLE * 0.4 ELSE said END, 3) AS score FROM f
+    ), h AS (SELECT source, count(*) AS reviews, round(avg(score), 3) AS score FROM g GROUP BY source)
+    SELECT source, reviews, score, CASE WHEN score > 0.25 THEN 'positive' WHEN score < -0.25 THEN 'negative' ELSE 'neutral' END AS label FROM h""",
+    bound=False,
+)
+def review_sentiment(t: Tables) -> DataFrame:
+    """Mean sentiment and label of each source; scores are made in the scan, so that only sums are shuffled."""
+    scored = t.raw("documents").select("source", X.sentiment(F.col("text"), F.col("doc_id") % 6).alias("score"))
+    mean = scored.groupBy("source").agg(F.count("*").alias("reviews"), F.round(F.avg("score"), 3).alias("score"))
+    return mean.withColumn("label", X.sentiment_label(F.col("score")))
+
+
+@query("n24_mail_policy", "WITH r AS (SELECT s_suppkey, s_suppkey % 3 AS k FROM supplier) SELECT s_suppkey, CASE k WHEN 0 THEN 'missing' WHEN 1 THEN 'warning' ELSE 'ok' END AS spf, CASE k WHEN 0 THEN 'ok' WHEN 1 THEN 'missing' ELSE 'warning' END AS dmarc FROM r", bound=False)
+def mail_policies(t: Tables) -> DataFrame:
+    k = F.col("s_suppkey") % 3
+    records = F.when(k == 0, F.array(F.lit("note"), F.lit("v=DMARC1; p=reject"))).when(k == 1, F.array(F.lit("V=SPF1 +all"))).otherwise(F.array(F.lit("v=spf1 -all"), F.lit("v=dmarc1; P=None")))
+    return t.raw("supplier").select("s_suppkey", X.mail_policy(records, "spf").alias("spf"), X.mail_policy(records, "dmarc").alias("dmarc"))
+
+
+_SNIPPET_WORDS = ["title", "href", "casino"]
+
+
+@query(
+    "n42_keyword_snippets",
+    """WITH k AS (SELECT * FROM (VALUES ('title'), ('href'), ('casino')) AS v(keyword)), x AS (SELECT page_id, html, keyword, instr(lower(html), keyword) AS pos FROM pages, k)
+    SELECT page_id, keyword, regexp_replace(replace(substr(html, greatest(1, pos - 40), pos - greatest(1, pos - 40) + length(keyword) + 60), chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS snippet FROM x WHERE pos > 0""",
+    bound=False,
+)
+def snippets(t: Tables) -> DataFrame:
+    return t.raw("pages").select("page_id", F.inline(X.keyword_snippets(F.col("html"), _SNIPPET_WORDS)))
+
+
+@query("n44_site_builder", """SELECT page_id, CASE WHEN regexp_matches(lower(html), '/wp-content/|/wp-includes/|name="generator" content="wordpress|wp-emoji-release[.]min[.]js') THEN 'WordPress' WHEN regexp_matches(lower(html), 'wix[.]com|x-wix-request-id|wixsite|wixdata|wix-ui|id=["'']comp-| comp-') THEN 'Wix' WHEN contains(lower(html), 'shopify') THEN 'Shopify' WHEN contains(lower(html), 'squarespace') THEN 'Squarespace' ELSE 'Custom HTML' END AS builder FROM pages""", bound=False)
+def site_builders(t: Tables) -> DataFrame:
+    return t.raw("pages").select("page_id", X.site_builder(F.col("html")).alias("builder"))
+
+
 @query("n31_options", "SELECT DISTINCT category FROM ent WHERE category IS NOT NULL")
 def options(t: Tables) -> DataFrame:
     return t.entities().where("category is not null").select("category").distinct()
