@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lakegraph import catalog
+from lakegraph import catalog, lead_catalog  # noqa: F401 - the second adds to the first
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
