@@ -62,28 +62,29 @@ def _prepared(df: DataFrame, side: str) -> DataFrame:
     return df.select(*[c.alias(f"{side}_{n}") for n, c in cols.items()])
 
 
-def _rare_first(df: DataFrame, side: str, frequency: DataFrame) -> DataFrame:
-    """``id, city, token``: of n tokens the rarest ``n - ceil(n / 2) + 1``; names that share half of the longer list share one of these."""
-    rows = df.select(f"{side}_id", f"{side}_city", F.size(f"{side}_tokens").alias("n"), F.explode(f"{side}_tokens").alias("token")).join(frequency, "token")
+def _ranked_tokens(df: DataFrame, side: str, frequency: DataFrame) -> DataFrame:
+    """``id, city, token, place, half``: tokens from the rarest on; names that share half of the longer list share one up to place ``half``."""
+    rows = df.select(f"{side}_id", F.col(f"{side}_city").alias("city"), F.size(f"{side}_tokens").alias("n"), F.explode(f"{side}_tokens").alias("token")).join(frequency, "token")
     w = Window.partitionBy(f"{side}_id").orderBy("many", "token")
-    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("n") - F.ceil(F.col("n") / 2) + 1).select(f"{side}_id", F.col(f"{side}_city").alias("city"), "token")
+    return rows.select(f"{side}_id", "city", "token", F.row_number().over(w).alias("place"), (F.col("n") - F.ceil(F.col("n") / 2) + 1).alias("half"))
 
 
 def match_companies(leads: DataFrame, records: DataFrame) -> DataFrame:
     """``lead_id, record_id, score, reason, accepted, ambiguous`` for all candidate pairs.
 
-    Candidates share a VAT number, domain or phone, or have the same city (or the lead none) and one of their rare name
-    tokens. VAT decides alone where both have one; then domain 95, phone 90, then names: 75 with half of the tokens
-    shared, 88 with two tokens, 92 with one of six letters. Half of the tokens shared is found always; a name that is
-    only similar is judged where it shares a rare token. ``ambiguous``: the lead's best score is under 75 or its second
+    Candidates share a VAT number, domain or phone, or have the same city (or the lead none) and a name token that is
+    the rarest of one side or among the rarer half of both. VAT decides alone where both have one; then domain 95, phone 90, then names: 75 with half of the tokens
+    shared, 88 with two tokens, 92 with one of six letters. Half of the tokens shared, and all
+    tokens of the shorter name, are found always; names that are only similar, or generic tokens alone, need such a token. ``ambiguous``: the lead's best score is under 75 or its second
     is at least 0.85 of it. Ids must be unique on each side; null names have no tokens.
     """
     a, b = _prepared(leads, "lead"), _prepared(records, "record")
     frequency = a.select(F.explode("lead_tokens").alias("token")).unionAll(b.select(F.explode("record_tokens").alias("token"))).groupBy("token").agg(F.count("*").alias("many"))
-    left, right = _rare_first(a, "lead", frequency), _rare_first(b, "record", frequency)
+    left, right = _ranked_tokens(a, "lead", frequency), _ranked_tokens(b, "record", frequency)
     pairs = [a.join(b, a[f"lead_{k}"] == b[f"record_{k}"]).select("lead_id", "record_id") for k in ("vat", "domain", "phone")]
-    pairs.append(left.where("city <> ''").join(right, ["city", "token"]).select("lead_id", "record_id"))
-    pairs.append(left.where("city = ''").join(right, "token").select("lead_id", "record_id"))
+    for l, r in (("place <= half", "place <= half"), ("true", "place = 1"), ("place = 1", "true")):
+        pairs.append(left.where("city <> ''").where(l).join(right.where(r), ["city", "token"]).select("lead_id", "record_id"))
+        pairs.append(left.where("city = ''").where(l).join(right.where(r), "token").select("lead_id", "record_id"))
     all_pairs = pairs[0]
     for p in pairs[1:]:
         all_pairs = all_pairs.unionByName(p)

@@ -62,6 +62,8 @@ def brute_match(a, b):
     ta, tb, na, nb = toks(a["name"]), toks(b["name"]), fold(a["name"]), fold(b["name"])
     if not ta:
         return 0.0, False
+    if not tb:  # generic names are no candidates by name
+        return None, False
     both = len(ta & tb)
     token = 0.0 if both == 0 or both < min(2, len(ta), len(tb)) else both / max(len(ta), len(tb)) * 100
     ratio = 0.0 if not na or not nb else 100.0 if na == nb else 92.0 if na in nb or nb in na else SequenceMatcher(None, na, nb).ratio() * 100
