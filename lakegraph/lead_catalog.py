@@ -337,3 +337,75 @@ def upsert_entities(t: Tables) -> DataFrame:
     rows = leads(t)
     new = rows.where("score >= 40").withColumn("city", F.when(F.col("score") % 2 == 0, "moved"))
     return I.upsert_entities(rows.where("score < 60"), new, ["city", "email"])
+
+
+# State over ordered rows
+
+
+@query("e5_recent_buffer", "SELECT id, lead, kind FROM (SELECT DISTINCT id, lead, kind, seen_at FROM sig) ORDER BY seen_at DESC, id DESC LIMIT 50")
+def recent_buffer(t: Tables) -> DataFrame:
+    """The fifty newest events, each id once."""
+    return signals(t).select("id", "lead", "kind", "seen_at").distinct().orderBy(F.desc("seen_at"), F.desc("id")).limit(50).select("id", "lead", "kind")
+
+
+@query("e10_live_cache", "SELECT kind, count(*) FILTER (seen_at + to_seconds(CASE WHEN confidence >= 50 THEN 300 ELSE 120 END) > TIMESTAMP '2024-01-15') AS live, count(*) AS total FROM sig GROUP BY kind")
+def live_cache(t: Tables) -> DataFrame:
+    """Entries whose time to live (300 s or 120 s) isn't over at a given time."""
+    ends = F.timestamp_seconds(F.unix_micros(F.col("seen_at").cast("timestamp")) / 1e6 + F.when(F.col("confidence") >= 50, 300).otherwise(120))
+    return signals(t).groupBy("kind").agg(F.count_if(ends > F.lit("2024-01-15").cast("timestamp")).alias("live"), F.count("*").alias("total"))
+
+
+@query("e11_source_health", "SELECT lead, id, CASE WHEN ok THEN 0 ELSE row_number() OVER (PARTITION BY lead, island ORDER BY seen_at, id) - (CASE WHEN island > 0 THEN 1 ELSE 0 END) END AS failures, NOT (NOT ok AND row_number() OVER (PARTITION BY lead, island ORDER BY seen_at, id) - (CASE WHEN island > 0 THEN 1 ELSE 0 END) >= 3) AS healthy FROM (SELECT *, confidence >= 60 AS ok, count(*) FILTER (confidence >= 60) OVER (PARTITION BY lead ORDER BY seen_at, id) AS island FROM sig)")
+def source_health(t: Tables) -> DataFrame:
+    """After each call of a source (here: signals of a lead): failures in a row since the last success; unhealthy from three on."""
+    calls = signals(t).withColumn("ok", F.col("confidence") >= 60)
+    order = Window.partitionBy("lead").orderBy("seen_at", "id")
+    since = calls.withColumn("island", F.count_if("ok").over(order))
+    run = Window.partitionBy("lead", "island").orderBy("seen_at", "id")
+    failures = F.count_if(~F.col("ok")).over(run)
+    return since.select("lead", "id", failures.alias("failures"), (failures < 3).alias("healthy"))
+
+
+@query("e16_type_change", "SELECT id, lead, before, kind FROM (SELECT id, lead, kind, lag(kind) OVER (PARTITION BY lead ORDER BY seen_at, id) AS before FROM sig) WHERE before <> kind")
+def type_change(t: Tables) -> DataFrame:
+    """An alert where a company's newest signal is of another type than the one before."""
+    order = Window.partitionBy("lead").orderBy("seen_at", "id")
+    return signals(t).withColumn("before", F.lag("kind").over(order)).where("before <> kind").select("id", "lead", "before", "kind")
+
+
+@query("n18_set_change", "SELECT lead, day, list_sort(before) AS before, list_sort(kinds) AS kinds FROM (SELECT *, lag(kinds) OVER (PARTITION BY lead ORDER BY day) AS before FROM (SELECT lead, CAST(seen_at AS DATE) AS day, list_sort(list(DISTINCT kind)) AS kinds FROM sig GROUP BY ALL)) WHERE before <> kinds")
+def set_change(t: Tables) -> DataFrame:
+    """Days on which the set of a lead's kinds differs from its last day's; a first day has nothing to differ from."""
+    days = signals(t).groupBy("lead", F.to_date("seen_at").alias("day")).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    return days.withColumn("before", F.lag("kinds").over(Window.partitionBy("lead").orderBy("day"))).where("before <> kinds").select("lead", "day", "before", "kinds")
+
+
+@query("n20_first_source", "SELECT lead, kind, id, tier FROM (SELECT *, row_number() OVER (PARTITION BY lead, kind ORDER BY CASE tier WHEN 'official' THEN 0 WHEN 'aggregator' THEN 1 WHEN 'inferred' THEN 2 ELSE 3 END, id) AS r FROM sig) WHERE r <= 2")
+def first_sources(t: Tables) -> DataFrame:
+    """The two sources to try first for each kind, by tier and then by id."""
+    tier = F.when(F.col("tier") == "official", 0).when(F.col("tier") == "aggregator", 1).when(F.col("tier") == "inferred", 2).otherwise(3)
+    order = Window.partitionBy("lead", "kind").orderBy(tier, "id")
+    return signals(t).withColumn("r", F.row_number().over(order)).where("r <= 2").select("lead", "kind", "id", "tier")
+
+
+@query("n39_stage_board", "SELECT CASE WHEN o_orderstatus = 'F' THEN 'vinto' WHEN o_orderstatus = 'P' THEN 'perso' ELSE 'nuovo' END AS stage, count(*) AS deals, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1")
+def stage_board(t: Tables) -> DataFrame:
+    """Deals and their value by stage; unknown stages count as the first."""
+    stage = F.when(F.col("stage") == "won", "vinto").when(F.col("stage") == "lost", "perso").otherwise("nuovo")
+    return t.deals().groupBy(stage.alias("stage")).agg(F.count("*").alias("deals"), F.round(F.sum("deal_value"), 2).alias("value"))
+
+
+@query("n37_live_leads", "SELECT id, name FROM lead WHERE contains(lower(city), 'nation_1') AND contains(lower(category), 'mach') ORDER BY audited_days NULLS LAST, id LIMIT 200")
+def live_leads(t: Tables) -> DataFrame:
+    """The two hundred most freshly audited leads of a place and category."""
+    return leads(t).where(L.market_match("mach", "nation_1")).orderBy(F.col("audited_days").asc_nulls_last(), "id").limit(200).select("id", "name")
+
+
+@query("m5_feed_drafts", "SELECT 'closure' AS kind, 'Closed: ' || l.name AS title, concat_ws(' · ', l.category, l.city, 'score ' || (o_orderkey % 101)) AS body, 0.85::DOUBLE AS confidence FROM orders JOIN lead l ON l.id = 'c:' || o_custkey WHERE o_orderstatus = 'F' UNION ALL SELECT 'segment', 'Segment ' || city, count(*) || ' leads · ' || count(*) FILTER (meta_pixel IS DISTINCT FROM true) || ' without pixel', 0.7::DOUBLE FROM lead GROUP BY city")
+def feed_drafts(t: Tables) -> DataFrame:
+    """Drafts for the knowledge feed: won deals, and a line for each segment."""
+    won = t.deals().where("stage = 'won'").withColumn("lead", F.concat(F.lit("c:"), "lead")).join(leads(t).select(F.col("id").alias("lead"), "name"), "lead")
+    closures = won.select(F.lit("closure").alias("kind"), F.concat(F.lit("Closed: "), "name").alias("title"), F.concat_ws(" · ", "category", "city", F.concat(F.lit("score "), F.col("score").cast("string"))).alias("body"), F.lit(0.85).alias("confidence"))
+    groups = leads(t).groupBy("city").agg(F.count("*").alias("n"), F.count_if(~L.is_true(F.col("meta_pixel"))).alias("bare"))
+    segments = groups.select(F.lit("segment").alias("kind"), F.concat(F.lit("Segment "), "city").alias("title"), F.concat(F.col("n").cast("string"), F.lit(" leads · "), F.col("bare").cast("string"), F.lit(" without pixel")).alias("body"), F.lit(0.7).alias("confidence"))
+    return closures.unionByName(segments)
