@@ -237,21 +237,122 @@ def document_components(docs: DataFrame) -> DataFrame:
     return out.select(F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("_f0"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
-#: The pipeline's stage: five-word shingles, similarity 0.8 (see ``distinct_rows``).
-STAGE = {"width": 5, "segments": 4, "near": 11, "words": 2, "most": 26}
+#: The pipeline's stage: word shingles of this width link documents from this Jaccard similarity on.
+WIDTH, SIMILAR = 5, 0.8
+#: MinHash bands and values a band: a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 40 = 1e-7.
+BANDS, VALUES = 40, 5
+#: Documents of one band key that are paired one by one; more are compared as a block, larger ones in blocks of half as many.
+FEW, BLOCK = 64, 1024
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * VALUES, 1), np.uint32)
+
+
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """Sorted distinct hashes of the stage's shingles."""
+    return np.unique(shingle_hashes(text, WIDTH, (SEED,))[0])
+
+
+def bands(shingles: np.ndarray) -> list[int]:
+    """One key a band: the hash of its MinHash values; none for an empty set."""
+    if not len(shingles):
+        return []
+    least = np.full(BANDS * VALUES, (1 << 32) - 1, np.uint32)
+    high = (shingles >> np.uint64(32)).astype(np.uint32)
+    for start in range(0, len(high), 512):
+        np.minimum(least, (high[start : start + 512] * (_DRAWN[0] | np.uint32(1)) + _DRAWN[1]).min(1), out=least)
+    rows = least.reshape(BANDS, VALUES)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is ``SIMILAR`` or more."""
+    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+        return False
+    at = np.searchsorted(b, a)
+    shared = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return shared >= SIMILAR * (len(a) + len(b) - shared)
+
+
+def similar_spans(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Links by index that join what the similar pairs join; every pair that they do not join already is compared."""
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    mark, left, tails, heads = np.zeros(int(ids.max()) + 1, bool), np.arange(len(sets)), [], []
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            x = front.pop()
+            own = ids[starts[x] : starts[x] + sizes[x]]
+            mark[own] = True
+            fits = left[np.minimum(sizes[left], sizes[x]) >= SIMILAR * np.maximum(sizes[left], sizes[x])]
+            if len(fits):
+                shared = np.add.reduceat(mark[np.concatenate([ids[starts[i] : starts[i] + sizes[i]] for i in fits])].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[fits])[:-1]]))
+                hit = fits[shared >= SIMILAR * (sizes[fits] + sizes[x] - shared)]
+                tails += [x] * len(hit)
+                heads += hit.tolist()
+                front += hit.tolist()
+                left = np.setdiff1d(left, hit, assume_unique=True)
+            mark[own] = False
+    return tails, heads
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in (2, 3))
+        yield batch.select(["a", "b"]).filter(pa.array([similar(x, y) for x, y in zip(*sets, strict=True)], pa.bool_()))
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    nodes = table.column("node").to_numpy()
+    tails, heads = similar_spans([np.frombuffer(x, np.uint64) for x in table.column("_set").to_pylist()])
+    return pa.table({"a": nodes[tails], "b": nodes[heads]})
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, few: int = FEW, block: int = BLOCK) -> DataFrame:
+    """``a, b``: verified links that join what the pairs with a common band and similarity ``SIMILAR`` join.
+
+    ``nodes`` has ``node, _tie, _bands``, one row for each set of shingles; ``texts`` has ``_tie, _text``. Pairs of small
+    buckets are listed once and verified; a large bucket gives spanning links of its exact similarities.
+    """
+    keys = nodes.select("node", F.explode("_bands").alias("key"))
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1"), "bands")
+    more = written(keys.join(shared.where("n > 2").select("key", "n"), "key"), "buckets")
+    some = more.where(F.col("n") <= few)
+    pairs = some.select("key", F.col("node").alias("a")).join(some.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+    pairs = written(shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(pairs).distinct(), "pairs")
+    hot = more.where(F.col("n") > few)
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(hot.select("node")).distinct()
+    chosen = nodes.select("node", "_tie").join(wanted, "node")
+    found = texts.join(chosen, "_tie").select("node", "_text")
+    sets = written(map_texts(found, "_text", "_set binary", lambda ts: {"_set": [shingle_set(t).tobytes() for t in ts]}).dropDuplicates(["node"]), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("_set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("_set").alias("y")), "b")
+    links = both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
+    if not hot.isEmpty():
+        # Each row meets each block of its bucket once: block pairs (i, j) with i <= j, a bounded number of rows each.
+        n = F.when(F.col("n") <= block, 1).otherwise(F.ceil(F.col("n") / F.lit(block / 2))).cast("long")
+        dealt = hot.withColumn("_n", n).withColumn("_own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("_n"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+        dealt = dealt.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "node").join(sets, "node")
+        links = links.unionByName(dealt.groupBy("key", "i", "j").applyInArrow(_block_links, "a long, b long"))
+    return written(links.distinct(), "similar")
 
 
 def distinct_rows(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group: the one with the least id, and of repeated ids the first by text hash.
 
-    Two sets of shingles with Jaccard similarity 0.8 have cosine 0.89, that is an expected 9.7 of 64 differing bits. The
-    index finds all pairs with up to 11 differing bits in the first word; a second, independent word must agree
-    (at most 26 of 128 bits together), which keeps unrelated documents apart however many there are.
+    Groups are the components of all pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    MinHash bands find the candidates, the sets decide. Documents with equal sets are one node; texts without words too.
     """
     packed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tie"), F.col("text").alias("_text"))
-    narrow = packed.select("_id", "_tie", "_text")
-    member = near_duplicates(narrow, **STAGE)
-    first = member.groupBy("_component", F.when(F.col("_component").isNull(), F.col("_f0")).alias("_alone")).agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_tie")).alias("w"))
+
+    def make(texts: list[bytes | None]) -> dict[str, list]:
+        sets = [shingle_set(t) for t in texts]
+        return {"node": [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets], "_bands": [bands(s) for s in sets]}
+
+    table = written(map_texts(packed.select("_id", "_tie", "_text"), "_text", "node long, _bands array<long>", make), "minhash")
+    nodes = table.groupBy("node").agg(F.min(F.struct("_tie", "_bands")).alias("x")).select("node", "x.*")
+    labels = components(similar_links(nodes, packed.select("_tie", "_text"))).withColumnRenamed("node", "_node")
+    member = table.drop("_bands").join(labels, F.col("node") == F.col("_node"), "left").withColumn("_label", F.coalesce("label", "node"))
+    first = member.groupBy("_label").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_tie")).alias("w"))
     keep = first.select("w._id", "w._tie").withColumnRenamed("_id", "_kid").withColumnRenamed("_tie", "_ktie")
     kept = packed.drop("_text").join(keep, F.col("_id").eqNullSafe(F.col("_kid")) & F.col("_tie").eqNullSafe(F.col("_ktie")))
     return kept.dropDuplicates(["_id", "_tie"]).select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))

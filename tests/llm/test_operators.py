@@ -311,6 +311,34 @@ def test_distinct_rows(spark, docs):
     assert simhash.distinct_rows(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize(("few", "block"), [(64, 1024), (2, 1024), (2, 6)])
+def test_distinct_rows_against_all_pairs(spark, few, block, monkeypatch):
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (few, block))
+    rng, data = random.Random(8), []
+    for g in range(60):  # half of the changed copies are a little above similarity 0.8, half a little below
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        data.append((len(data), " ".join(base)))
+        for k in (6, 8) if g else (5, 6, 7, 8) * 5:
+            copy = list(base)
+            for at in range(k):
+                copy[at * 30 + 5] = f"x{rng.randrange(10**6)}"
+            data.append((len(data), " ".join(copy)))
+    data += [(None, "no id one two three"), (None, "No id one two  three"), (len(data), None)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t in data)]
+    label, changed = list(range(len(data))), True
+    near = [(i, j) for i in range(len(data)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert sum(sets[i] != sets[j] for i, j in near) > 60
+    while changed:
+        changed = False
+        for i, j in near:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    got = simhash.distinct_rows(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in data], SCHEMA)).collect()
+    want = {min((data[i][0] for i in range(len(data)) if label[i] == x and data[i][0] is not None), default=None) for x in set(label)}
+    assert len(got) == len(set(label)) and {r.doc_id for r in got} == want
+
+
 # 9
 
 
