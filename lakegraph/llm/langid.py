@@ -9,19 +9,21 @@ shortest code wins.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakegraph.llm.common import map_texts
+from lakegraph.llm.common import map_texts, written
 
 ORDER = 3
 #: Labelled rows for each language that the trees are grown on, about; rows are chosen by the hash of their text.
 SAMPLE_ROWS = 300
-#: Longest text (UTF-8 bytes) in that sample, and the languages, most frequent first, that are learned.
+#: Longest piece of a text (UTF-8 bytes) in that sample, and the languages whose trees are in memory at once.
 SAMPLE_BYTES = 32_768
-MAX_LANGUAGES = 64
+BLOCK_LANGUAGES = 64
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -30,13 +32,14 @@ class ContextTrees:
     """Code lengths (bits) of every byte after every known context, for each language.
 
     Bytes are reduced to those seen in training plus one class for the rest. ``node`` maps a three-byte context to the
-    row of its longest suffix that any language knows; ``bits[row, byte]`` holds one length for each language.
+    row of its longest suffix that any language knows; ``bits[row, byte]`` holds one length for each language. Lengths of
+    several trees can be compared if all have the same ``alphabet``, which must hold the bytes of their texts.
     """
 
-    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER):
+    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER, alphabet: bytes = b""):
         self.langs, self.order = sorted(texts), order
         joined = {lang: np.frombuffer(b"\0" * order + (b"\0" * order).join(t.lower() for t in texts[lang]), np.uint8) for lang in self.langs}
-        seen = np.unique(np.concatenate([*joined.values(), np.zeros(1, np.uint8)]))
+        seen = np.unique(np.concatenate([*joined.values(), np.frombuffer(b"\0" + alphabet, np.uint8)]))
         self.size = len(seen) + 1
         self.symbol = np.full(256, self.size - 1, np.int64)
         self.symbol[seen] = np.arange(len(seen))
@@ -115,45 +118,78 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> ContextTrees:
-    """From ``lang, text``: a bounded sample, the same for the same rows."""
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes) & (F.octet_length("text") > 0))
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    bar = F.lit(0)
-    for lang, n in counts.items():
-        bar = F.when(F.col("lang") == lang, F.lit(min(1_000_000, 1 + 1_000_000 * rows // n))).otherwise(bar)
-    sample = usable.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < bar).dropDuplicates(["lang", "text"])
-    texts: dict[str, list[bytes]] = {}
-    for r in sample.select("lang", "text").orderBy("lang", F.xxhash64("text")).limit(4 * rows * max(1, len(counts))).toLocalIterator():
-        texts.setdefault(r.lang, []).append(r.text.encode())
-    return ContextTrees(texts)
+def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, block: int = BLOCK_LANGUAGES) -> list[Callable[[], ContextTrees]]:
+    """From ``lang, text``: for each block of languages a function that grows its trees, from a bounded sample that is the same for the same rows.
 
-
-def identify(df: DataFrame, text: str, trees: ContextTrees) -> DataFrame:
+    All distinct texts of a language are taken where there are no more than ``rows``, else about so many; of a text
+    above ``most_bytes`` a piece from a place that its hash gives.
+    """
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") > 0)).withColumn("_h", F.xxhash64("text"))
+    bars = usable.select("lang", "_h").distinct().groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.expr(f"1 + {rows} * 1000000 div n").alias("bar"))
+    piece = most_bytes // 4
+    start = F.pmod(F.xxhash64("_h"), F.greatest(F.lit(1), F.length("text") - piece + 1)).cast("int") + 1
+    part = F.when(F.octet_length("text") <= most_bytes, F.col("text")).otherwise(F.substring("text", start, F.lit(piece)))
+    chosen = usable.join(F.broadcast(bars), "lang").where(F.pmod("_h", F.lit(1_000_000)) < F.col("bar"))
+    sample = written(chosen.select("lang", "_h", part.alias("text")).dropDuplicates(["lang", "_h"]), "language-sample")
+    langs = sorted(r.lang for r in sample.select("lang").distinct().collect())
+    blocks = [langs[i : i + block] for i in range(0, len(langs), block)]
+
+    def texts(some: list[str]):
+        return ((r.lang, r.text.encode()) for r in sample.where(F.col("lang").isin(some)).orderBy("lang", "_h").toLocalIterator())
+
+    alphabet: set[int] = set()
+    for some in blocks if len(blocks) > 1 else []:
+        for _, t in texts(some):
+            alphabet.update(t.lower())
+
+    def grow(some: list[str]) -> ContextTrees:
+        found: dict[str, list[bytes]] = {}
+        for lang, t in texts(some):
+            found.setdefault(lang, []).append(t)
+        return ContextTrees(found, alphabet=bytes(sorted(alphabet)))
+
+    return [partial(grow, some) for some in blocks]
+
+
+def identify(df: DataFrame, text: str, blocks: list[Callable[[], ContextTrees]]) -> DataFrame:
     """Replaces ``text`` by ``_lang`` and ``_score`` (the winner's posterior probability under equal priors).
 
     Null texts and texts without a letter, or any text where no language was learned, are ``und`` with score 0. Ties go to the first language.
+    One block of trees is in memory at a time; between blocks the documents are written with their best so far.
     """
+    names = [c for c in df.columns if c != text]
+    out = df.withColumns({"_lang": F.lit(UNKNOWN), "_bits": F.lit(float("inf")), "_weight": F.lit(0.0)})
+    for n, grow in enumerate(blocks):
+        out = written(out, "languages") if n else out
+        # The text goes on to the next block as a second column.
+        given = out.withColumn("_judged", F.col(text)) if n < len(blocks) - 1 else out.withColumnRenamed(text, "_judged")
+        out = _judged(given, grow())
+    return out.select(*names, "_lang", F.when(F.col("_weight") > 0, 1 / F.col("_weight")).otherwise(0.0).alias("_score"))
+
+
+def _judged(df: DataFrame, trees: ContextTrees) -> DataFrame:
+    """Takes ``_judged`` and moves ``_lang, _bits, _weight`` on: the best language, its length, and all probabilities over its own."""
     shared = df.sparkSession.sparkContext.broadcast(trees)
 
-    def make(texts: list[bytes | None]) -> dict[str, list]:
+    def make(texts: list[bytes | None], lang: list[str], length: list[float], weight: list[float]) -> dict[str, list]:
         model = shared.value
-        out: dict[str, list] = {"_lang": [UNKNOWN] * len(texts), "_score": [0.0] * len(texts)}
-        if not model.langs:
-            return out
         some = [i for i, t in enumerate(texts) if t and LETTER.search(t.decode())]
         bits = model.lengths([texts[i] for i in some])
         for i, row in zip(some, bits, strict=True):
             best = int(row.argmin())
-            out["_lang"][i] = model.langs[best]
-            out["_score"][i] = float(1 / np.exp2(np.maximum(-1000, row[best] - row)).sum())
-        return out
+            own = float(np.exp2(np.maximum(-1000, row[best] - row)).sum())
+            if row[best] < length[i]:
+                weight[i] = own + weight[i] * float(np.exp2(max(-1000, row[best] - length[i])))
+                lang[i], length[i] = model.langs[best], float(row[best])
+            else:
+                weight[i] += own * float(np.exp2(max(-1000, length[i] - row[best])))
+        return {"_lang": lang, "_bits": length, "_weight": weight}
 
-    return map_texts(df, text, "_lang string, _score double", make)
+    return map_texts(df, "_judged", "_lang string, _bits double, _weight double", make, ["_lang", "_bits", "_weight"])
 
 
 def document_languages(docs: DataFrame) -> DataFrame:
     """The query's digest: learns from rows that are not held out, judges every row by its text alone."""
-    trees = learn(docs.where(~held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), "text"))
-    out = identify(docs.select("doc_id", F.col("text").alias("_text")), "_text", trees)
+    blocks = learn(docs.where(~held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), "text"))
+    out = identify(docs.select("doc_id", F.col("text").alias("_text")), "_text", blocks)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))

@@ -252,6 +252,22 @@ def test_language_accuracy(spark):
     assert langid.document_languages(empty(spark)).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(3)
+    made = {f"l{n:02}": [" ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(60)) for _ in range(3)] for n in range(70) for letters in ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 6))]}
+    made["copies"] = ["\u03b1\u03b2\u03b3 " * 40] * 700 + ["\u03b2\u03b1\u03b1 " * 40] * 700
+    made["long"] = ["\u0436\u0448\u0449 " * 6000]
+    rows = [(lang, t) for lang, texts in made.items() for t in texts]
+    labelled = spark.createDataFrame(rows, "lang string, text string")
+    one = [(lang, texts[0]) for lang, texts in made.items()]
+    whole = langid.identify(spark.createDataFrame(one, "lang string, text string"), "text", langid.learn(labelled, block=100)).orderBy("lang").collect()
+    assert all(r.lang == r._lang for r in whole)
+    assert len(langid.learn(labelled)) == 2
+    parts = langid.identify(spark.createDataFrame(one, "lang string, text string"), "text", langid.learn(labelled)).orderBy("lang").collect()
+    assert [(r.lang, r._lang) for r in parts] == [(r.lang, r._lang) for r in whole]
+    assert np.allclose([r._score for r in parts], [r._score for r in whole])
+
+
 # 8
 
 
