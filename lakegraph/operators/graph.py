@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakegraph.functions.columns import days_between, half_up
+from lakegraph.llm.common import written
 from lakegraph.plans.query import ends
 
 
@@ -25,12 +26,28 @@ def best_paths(start: DataFrame, edges: DataFrame, hops: list[tuple[str, str]])
 
 
 def resolve_merges(entities: DataFrame, most: int = 10) -> DataFrame:
-    """``id, final_id``: the end of each merge chain by pointer doubling; a cycle ends at its least id. ``2 ** most`` steps suffice for any chain."""
-    pointers = entities.select("id", F.coalesce("merged_into_id", "id").alias("final_id"))
-    for _ in range(min(most, 4)):
-        nxt = pointers.select(F.col("id").alias("_mid"), F.col("final_id").alias("_end"))
-        pointers = pointers.join(nxt, F.col("final_id") == F.col("_mid"), "left").select("id", F.coalesce("_end", "final_id").alias("final_id"))
-    return pointers
+    """``id, final_id``: the end of each merge chain by pointer doubling; a cycle ends at its least id.
+
+    Doubling goes on until no pointer moves. What still moves after ``most`` rounds and once all chains of so many
+    entities would have ended is on a cycle or leads to one; the least id seen on the way is doubled along for that.
+    Ids are unique; a chain may end at an id that is no entity.
+    """
+    start = entities.select("id", F.coalesce("merged_into_id", "id").alias("final_id"))
+    pointers = written(start.withColumn("_least", F.col("final_id")), "merges")
+    rounds = max(most, pointers.count().bit_length() + 1)
+    for _ in range(rounds):
+        nxt = pointers.select(F.col("id").alias("_mid"), F.col("final_id").alias("_end"), F.col("_least").alias("_low"))
+        step = pointers.join(nxt, F.col("final_id") == F.col("_mid"), "left")
+        moved = step.select("id", F.coalesce("_end", "final_id").alias("final_id"), F.least("_least", "_low").alias("_least"), (F.coalesce("_end", "final_id") != F.col("final_id")).alias("_moved"))
+        new = written(moved, "merges")
+        pointers = new.drop("_moved")
+        if new.where("_moved").isEmpty():
+            break
+    # A pointer on a cycle may come to rest at its own place, so the end is looked at once more: only a root points to itself.
+    first = start.select(F.col("id").alias("_mid"), (F.col("final_id") != F.col("id")).alias("_on"))
+    low = pointers.select(F.col("id").alias("_at"), F.col("_least").alias("_low"))
+    ended = pointers.join(first, F.col("final_id") == F.col("_mid"), "left").join(low, F.col("final_id") == F.col("_at"), "left")
+    return ended.select("id", F.when(F.col("_on"), F.col("_low")).otherwise(F.col("final_id")).alias("final_id"))
 
 
 def subgraph(center: DataFrame, edges: DataFrame) -> DataFrame:

@@ -69,6 +69,15 @@ def test_paths_and_merges(spark):
     assert {x.id: x.final_id for x in graph.resolve_merges(e).collect()}["b"] == "d"
 
 
+def test_long_chains_and_cycles(spark):
+    chain = [(f"k{i:02}", f"k{i + 1:02}" if i < 40 else None) for i in range(41)]
+    rings = [("a", "b"), ("b", "a"), ("x", "y"), ("y", "z"), ("z", "x"), ("m", "z"), ("A", "m"), ("p", "q"), ("q", "r"), ("r", "s"), ("s", "p"), ("o", "o"), ("g", "gone")]
+    e = spark.createDataFrame(chain + rings, "id string, merged_into_id string")
+    want = {i: "k40" for i, _ in chain} | dict(a="a", b="a", x="x", y="x", z="x", m="x", A="x", p="p", q="p", r="p", s="p", o="o", g="gone")
+    assert {x.id: x.final_id for x in graph.resolve_merges(e).collect()} == want
+    assert {x.id: x.final_id for x in graph.resolve_merges(e, most=1).collect()} == want
+
+
 def test_streaming(spark, tmp_path):
     src = spark.range(20).selectExpr("id", "concat('c:', id % 3) as entity_id", "'view' as event_type", "'{}' as payload", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, id) as occurred_at", "id % 2 = 0 as processed")
     src.write.parquet(str(tmp_path / "in"))
