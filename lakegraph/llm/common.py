@@ -48,6 +48,20 @@ def positions(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     return laid.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("_pos", at).drop("_part", "_start", "_mid")
 
 
+def set_aside(df: DataFrame, names: str) -> DataFrame:
+    """Renames a caller's columns that have one of an operator's ``names`` (a schema or a list, any case) to ``<name>_given``."""
+    taken = {x.split()[0].lower() for x in names.split(",")}
+    have = {c.lower() for c in df.columns}
+    for c in df.columns:
+        if c.lower() in taken:
+            new = f"{c}_given"
+            while new.lower() in have:
+                new += "_given"
+            have.add(new.lower())
+            df = df.withColumnRenamed(c, new)
+    return df
+
+
 def utf8_bytes(col: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return col.cast(pa.large_binary()).to_pylist()
 

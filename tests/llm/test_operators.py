@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lakegraph.llm import chat, decontam, langid, mixing, pii, quality, sharding, simhash, tokencount, urlfilter
+from lakegraph.llm import chat, decontam, langid, mixing, quality, sharding, simhash, tokencount, urlfilter
 
 WORDS = "the of and tion ing er on re st en at le ou ha nd th an in ed or es is to it by".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -162,42 +162,6 @@ def test_token_counts(spark):
     assert len(whole) > 10_000 and all(len(library.encode(w, add_special_tokens=False).ids) == 1 for w in whole[::50])
 
 
-# 5
-
-
-def plain_spans(text):
-    out = [(*m.span(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    out += [(*m.span(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
-    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
-        d = re.sub(r"\D", "", m.group())
-        if 14 <= len(d) <= 19 and pii.luhn(d):
-            out.append((*m.span(), 2))
-    out += [(*m.span(), 3) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(re.sub(r"\D", "", m.group())) <= 15]
-    return sorted(out, key=lambda s: (s[0], s[2]))
-
-
-def test_base_spans():
-    rng = random.Random(7)
-    for _ in range(3000):
-        t = "".join(rng.choices(["a", "b.", "@", "x@y.z", "1", "25", "300", ".", "+", "-", " ", "(", ")", "4111111111111111", "é", "\n", "1.2.3.4", "%"], k=rng.randint(0, 25)))
-        assert pii.base_spans(t) == plain_spans(t), t
-
-
-def test_crf(spark):
-    held = pii.sentences(120, seed=99)
-    found = wanted = right = 0
-    for text, spans in held:
-        got = set(pii.added_spans(text, pii.base_spans(text), pii.train())) | {(a, b, k) for a, b, k in pii.base_spans(text)}
-        found, wanted, right = found + len(got), wanted + len(spans), right + len(got & set(spans))
-    assert right / wanted > 0.85 and right / found > 0.85
-    texts = [None, "", "mail bob@x.org or 10.0.0.1", "1" * 50_000, "7 " * 20_000, "cards 4111111111111111 4111111111111111"]
-    got = {r.doc_id: r for r in pii.document_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert (got[2].n_email, got[2].n_ip, got[2].spans) == (1, 1, "email:5:14,ip:18:26") and got[0].spans == got[1].spans == ""
-    assert got[5].n_card == 0 and got[5].spans == "card:6:22,card:23:39"
-    masked = pii.masked_rows(spark.createDataFrame([(1, texts[2])], "doc_id long, text string")).first()
-    assert masked.text == "mail [email] or [ip]"
-
-
 # 6
 
 
