@@ -1,158 +1,200 @@
 """Benchmark decontamination by a generalised suffix automaton of the normalised test items.
 
 The automaton takes in every item word by word; a document's words are streamed through it while the longest matching
-length is tracked. A match of the window's length marks the words of the window as hit.
+length is tracked. A match of the window's length marks the words of the window as hit. Automata are built in Spark
+tasks, one for each bounded block of items, and are kept in flat arrays.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_left
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakegraph.llm.common import map_texts, written
+from lakegraph.llm.common import map_texts, set_aside, written
 
 WINDOW = 10
-#: Bytes of item texts in one automaton; a larger benchmark is taken in several passes over the documents.
-BLOCK_BYTES = 16 << 20
+#: UTF-8 bytes of item texts in one automaton, about; a larger benchmark is taken in several passes over the documents.
+BLOCK_BYTES = 8 << 20
 #: A document that loses more than this share of its words is dropped as a whole by ``cleaned_rows``.
 COVERAGE = 0.5
 #: Words of lower-cased UTF-8 text.
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
+def words_of(text: bytes | None) -> list[bytes]:
+    return WORD.findall((text or b"").lower())
+
+
+class _Builder:
+    """A growing automaton. A state's first transition lies in two arrays; only states that branch have a dict for the others."""
+
+    def __init__(self):
+        self.symbol, self.target = array("i", [-1]), array("i", [-1])
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {}
+
+    def get(self, state: int, c: int) -> int:
+        if self.symbol[state] == c:
+            return self.target[state]
+        others = self.more.get(state)
+        return -1 if others is None else others.get(c, -1)
+
+    def put(self, state: int, c: int, to: int) -> None:
+        if self.symbol[state] in (-1, c):
+            self.symbol[state], self.target[state] = c, to
+        else:
+            self.more.setdefault(state, {})[c] = to
+
+    def state(self, length: int, link: int) -> int:
+        self.symbol.append(-1)
+        self.target.append(-1)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.length) - 1
+
+    def extend(self, last: int, c: int) -> int:
+        """State of the sequence so far plus word ``c``."""
+        link, length = self.link, self.length
+        known = self.get(last, c)
+        if known >= 0:
+            return known if length[known] == length[last] + 1 else self.split(last, c, known)
+        new = self.state(length[last] + 1, 0)
+        p, q = last, -1
+        while p >= 0 and (q := self.get(p, c)) < 0:
+            self.put(p, c, new)
+            p = link[p]
+        if p >= 0:
+            link[new] = q if length[q] == length[p] + 1 else self.split(p, c, q)
+        return new
+
+    def split(self, p: int, c: int, q: int) -> int:
+        """The state of the strings of ``q`` that are no longer than those of ``p`` plus ``c``."""
+        copy = self.state(self.length[p] + 1, self.link[q])
+        self.symbol[copy], self.target[copy] = self.symbol[q], self.target[q]
+        if q in self.more:
+            self.more[copy] = dict(self.more[q])
+        self.link[q] = copy
+        while p >= 0 and self.get(p, c) == q:
+            self.put(p, c, copy)
+            p = self.link[p]
+        return copy
+
+
 class SuffixAutomaton:
-    """States of all substrings of several word sequences.
+    """States of all substrings of several word sequences, in flat arrays.
 
-    ``windows[state]`` are the items that hold the window ending there: for a state with strings of ``window`` words,
-    the items that have that string; ``short[state]`` lists (length, items) of whole items below the window's length.
+    A state's transitions: the first in ``symbol`` and ``target``, others in ``keys`` (state times vocabulary plus word,
+    sorted) and ``to``. ``sets`` are the distinct lists of items (numbers into ``items``) that some state has: ``windows``
+    has the list of the items that hold the window ending in a state, or -1. ``short`` has the nearest state on the suffix
+    path, itself included, where whole items below the window's length end; ``ends`` lists (length, set) of such states.
     """
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        self.window = window
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
+        self.window, self.items = window, [item for item, _ in items]
         self.vocab: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        paths = []
-        for item, words in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words]
+        b, paths = _Builder(), []
+        for _, words in items:
+            ids = array("i", [self.vocab.setdefault(w, len(self.vocab)) for w in words])
             last = 0
             for c in ids:
-                last = self._extend(last, c)
-            paths.append((item, ids))
-        n = len(self.length)
-        at = [-1] * n  # the state on the suffix path that holds the string of the window's length
-        for s in sorted(range(1, n), key=self.length.__getitem__):
-            up = self.link[s]
-            at[s] = s if self.length[up] < window <= self.length[s] else at[up]
-        sets: dict[int, set[str]] = {}
-        whole: dict[int, dict[int, set[str]]] = {}
-        for item, ids in paths:
+                last = b.extend(last, c)
+            paths.append(ids)
+        n, v = len(b.length), max(1, len(self.vocab))
+        order = np.argsort(np.frombuffer(b.length, np.int32), kind="stable")[1:].tolist()
+        at = array("i", [-1]) * n  # the state on the suffix path that holds the string of the window's length
+        for s in order:
+            up = b.link[s]
+            at[s] = s if b.length[up] < window <= b.length[s] else at[up]
+        held: dict[int, array] = {}
+        whole: dict[int, dict[int, array]] = {}
+        for item, ids in enumerate(paths):
             s = 0
             for c in ids:
-                s = self.next[s][c]
+                s = b.get(s, c)
                 if at[s] >= 0:
-                    sets.setdefault(at[s], set()).add(item)
+                    own = held.setdefault(at[s], array("i"))
+                    if not own or own[-1] != item:
+                        own.append(item)
             if 0 < len(ids) < window:
-                whole.setdefault(s, {}).setdefault(len(ids), set()).add(item)
-        self.windows = [frozenset(sets[a]) if a >= 0 else None for a in at]
-        self.short: list[tuple | None] = [None] * n
-        for s in sorted(range(1, n), key=self.length.__getitem__):
-            own = tuple((m, frozenset(x)) for m, x in sorted(whole.get(s, {}).items()))
-            above = self.short[self.link[s]] or ()
-            self.short[s] = (above + own) or None
-
-    def _extend(self, last: int, c: int) -> int:
-        """State of the sequence so far plus word ``c``."""
-        nxt, link, length = self.next, self.link, self.length
-        known = nxt[last].get(c)
-        if known is not None and length[known] == length[last] + 1:
-            return known
-        if known is not None:
-            return self._clone(last, c, known)
-        new = len(length)
-        nxt.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        p = last
-        while p >= 0 and c not in nxt[p]:
-            nxt[p][c] = new
-            p = link[p]
-        if p >= 0:
-            q = nxt[p][c]
-            link[new] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
-        return new
-
-    def _clone(self, p: int, c: int, q: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        copy = len(length)
-        nxt.append(dict(nxt[q]))
-        link.append(link[q])
-        length.append(length[p] + 1)
-        link[q] = copy
-        while p >= 0 and nxt[p].get(c) == q:
-            nxt[p][c] = copy
-            p = link[p]
-        return copy
-
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Merged spans of hit words (end exclusive), and the items with occurring windows."""
-        nxt, link, length, windows, short, window = self.next, self.link, self.length, self.windows, self.short, self.window
+                whole.setdefault(s, {}).setdefault(len(ids), array("i")).append(item)
+        names: dict[bytes, int] = {}
+        self.sets: list[array] = []
+
+        def named(members: array) -> int:
+            k = names.setdefault(members.tobytes(), len(names))
+            if k == len(self.sets):
+                self.sets.append(members)
+            return k
+
+        own = {s: named(x) for s, x in held.items()}
+        self.windows = array("i", (own.get(a, -1) for a in at))
+        self.ends = {s: [(m, named(x)) for m, x in sorted(found.items())] for s, found in whole.items()}
+        self.short = array("i", [-1]) * n
+        for s in order:
+            self.short[s] = s if s in self.ends else self.short[b.link[s]]
+        self.symbol, self.target, self.link, self.length = b.symbol, b.target, b.link, b.length
+        keys, to = array("q"), array("i")
+        while b.more:
+            s, found = b.more.popitem()
+            keys.extend(s * v + c for c in found)
+            to.extend(found.values())
+        rank = np.argsort(np.frombuffer(keys, np.int64)) if keys else np.zeros(0, int)
+        self.keys, self.to = (array(x.typecode, np.frombuffer(x, x.typecode)[rank].tobytes() if x else b"") for x in (keys, to))
+
+    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+        """Merged spans of hit words (end exclusive), and the numbers of the sets of items with occurring windows."""
+        symbol, target, link, length, keys, to = self.symbol, self.target, self.link, self.length, self.keys, self.to
+        windows, short, ends, window, v, m_keys = self.windows, self.short, self.ends, self.window, max(1, len(self.vocab)), len(self.keys)
+        get = self.vocab.get
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
+        sets: set[int] = set()
         s = n = 0
-        get = self.vocab.get
-        root = nxt[0]
         for i, w in enumerate(words):
             c = get(w)
             if c is None:
                 s = n = 0
                 continue
-            t = nxt[s].get(c)
-            if t is None:
-                while s and t is None:
-                    s = link[s]
-                    t = nxt[s].get(c)
-                if t is None:
-                    s = n = 0
-                    continue
+            while True:
+                if symbol[s] == c:
+                    s, n = target[s], n + 1
+                    break
+                k = s * v + c
+                x = bisect_left(keys, k)
+                if x < m_keys and keys[x] == k:
+                    s, n = to[x], n + 1
+                    break
+                if not s:
+                    n = 0
+                    break
+                s = link[s]
                 n = length[s]
-            s, n = t, n + 1
             low = i + 1
             if n >= window:
                 low = i + 1 - window
-                items |= windows[s]
-            if short[s] is not None:
-                for m, own in short[s]:
+                sets.add(windows[s])
+            e = short[s] if n else -1
+            while e >= 0:
+                for m, own in ends[e]:
                     if m <= n:
                         low = min(low, i + 1 - m)
-                        items |= own
+                        sets.add(own)
+                e = short[link[e]]
             if low <= i:
                 while spans and spans[-1][1] >= low:
                     low = min(low, spans.pop()[0])
                 spans.append((low, i + 1))
-        return spans, items
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    return WORD.findall((text or b"").lower())
-
+        return spans, sets
 
-def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of bounded size; the driver holds one block at a time. Null ids and items without words are left out."""
-    block, size = [], 0
-    rows = items.select(F.col("item_id").cast("string").alias("item"), F.col("text")).where("item is not null and text is not null")
-    for r in rows.toLocalIterator():
-        if block and size + len(r.text) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((r.item, words_of(r.text.encode())))
-        size += len(r.text)
-    if block:
-        yield block
+    def names(self, sets: set[int]) -> set[str | None]:
+        """Ids of the items in some sets; each set is looked at once for a document."""
+        return {self.items[x] for k in sets for x in self.sets[k]}
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -165,15 +207,37 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_BUILT: dict[str, SuffixAutomaton] = {}
+def build_automata(items: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """``block, automaton`` (pickled): items are dealt by hash into blocks of about ``block_bytes``, each built in one task.
 
+    Items of equal id and text count once; items without words are left out. One item is never divided.
+    """
+    rows = items.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null").distinct()
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+
+    def build(table: pa.Table) -> pa.Table:
+        import pickle
+
+        order = table.sort_by([("item", "ascending"), ("text", "ascending")])
+        found = [(i, w) for i, t in zip(order["item"].to_pylist(), order["text"].to_pylist(), strict=True) if (w := words_of(t.encode()))]
+        return pa.table({"block": order["block"][:1], "automaton": [pickle.dumps(SuffixAutomaton(found, window))]})
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+    return dealt.groupBy("block").applyInArrow(build, "block long, automaton binary")
+
+
+_LOADED: dict[str, SuffixAutomaton] = {}
 
-def _automaton(token: str, shared, window: int) -> SuffixAutomaton:
+
+def _automaton(token: str, shared) -> SuffixAutomaton:
     """One automaton in each Python worker, kept for the worker's next tasks."""
-    if token not in _BUILT:
-        _BUILT.clear()
-        _BUILT[token] = SuffixAutomaton(shared.value, window)
-    return _BUILT[token]
+    if token not in _LOADED:
+        import pickle
+
+        _LOADED.clear()
+        _LOADED[token] = pickle.loads(shared.value)
+    return _LOADED[token]
 
 
 FOUND = "_n_words long, _starts array<int>, _ends array<int>, _items array<string>"
@@ -183,34 +247,43 @@ def find_hits(docs: DataFrame, text: str, items: DataFrame, window: int = WINDOW
     """Adds ``_n_words``, ``_starts``, ``_ends`` (spans of hit words, merged) and ``_items`` (ids as strings, sorted) to the documents.
 
     With ``clean``, ``text`` is replaced by the text without the hit words. Null and empty texts have no words; an empty
-    benchmark hits nothing; repeated items count once. Each block of the benchmark is one pass over the documents, whose
-    result is written before the next; the driver holds two blocks at most.
+    benchmark hits nothing; repeated items and repeated documents are no special case. Items without an id mark words like
+    others and are one null, last, in ``_items``. Each block of the benchmark is one pass over the documents, whose result
+    is written before the next; the driver holds one block's automaton at a time. A caller's column with an output
+    column's name goes on under its name and ``_given``.
     """
-    blocks = item_blocks(items, block_bytes)
-    block, n = next(blocks, []), 0
-    while block is not None:
-        following = next(blocks, None)
-        docs = _pass(docs if not n else written(docs, "hits"), text, block, window, not n, clean and following is None)
-        block, n = following, n + 1
+    automata = written(build_automata(items, window, block_bytes), "automata")
+    names = sorted(r.block for r in automata.select("block").collect()) or [None]
+    docs = set_aside(docs, FOUND + ", _scan string")
+    for n, block in enumerate(names):
+        packed = automata.where(F.col("block") == block).first().automaton if block is not None else _nothing(window)
+        docs = _pass(written(docs, "hits") if n else docs, text, packed, not n, clean and n == len(names) - 1)
     return docs
 
 
-def _pass(docs: DataFrame, text: str, block: list, window: int, first: bool, clean: bool) -> DataFrame:
-    shared, token = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+def _nothing(window: int) -> bytes:
+    import pickle
+
+    return pickle.dumps(SuffixAutomaton([], window))
+
+
+def _pass(docs: DataFrame, text: str, packed: bytes, first: bool, clean: bool) -> DataFrame:
+    shared, token = docs.sparkSession.sparkContext.broadcast(packed), uuid.uuid4().hex
 
     def make(texts: list[bytes | None], *before: list) -> dict[str, list]:
-        automaton = _automaton(token, shared, window)
+        automaton = _automaton(token, shared)
         out: dict[str, list] = {"_n_words": [], "_starts": [], "_ends": [], "_items": [], text: []}
         for i, t in enumerate(texts):
             words = words_of(t)
-            spans, found = automaton.hits(words)
+            spans, sets = automaton.hits(words)
+            found = automaton.names(sets)
             if before:
                 starts, ends, known = (b[i] for b in before)
                 spans, found = merged([*spans, *zip(starts, ends, strict=True)]), found.union(known)
             out["_n_words"].append(len(words))
             out["_starts"].append([a for a, _ in spans])
             out["_ends"].append([b for _, b in spans])
-            out["_items"].append(sorted(found))
+            out["_items"].append(sorted(x for x in found if x is not None) + [None] * (None in found))
             if clean:
                 out[text].append(t if t is None else cut(t, spans).decode())
         return out
@@ -231,7 +304,10 @@ def document_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """The query's digest."""
     found = find_hits(docs.select("doc_id", "text"), "text", items, window).drop("text")
     sha = F.sha2(F.array_join("_items", ","), 256)
-    return found.select("doc_id", F.col("_n_words").alias("n_words"), n_hit().alias("n_hit"), F.size("_items").cast("long").alias("n_items"), sha.alias("items_sha256"), (n_hit() > 0).alias("contaminated"))
+    return found.select(
+        "doc_id", F.col("_n_words").alias("n_words"), n_hit().alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
+        sha.alias("items_sha256"), (n_hit() > 0).alias("contaminated"),
+    )
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -96,19 +96,24 @@ def brute_hits(words, items):
 def test_decontamination(spark, block):
     rng = random.Random(3)
     items = [(i, prose(rng, rng.choice([1, 3, 9, 10, 25]))) for i in range(12)] + [(50, None), (51, "..."), (3, "dup dup dup"), (52, "a a a a a a a a a a a a")]
-    texts = [prose(rng, 40) for _ in range(6)] + [prose(rng, 20) + " " + items[k][1].upper() + ". " + prose(rng, 9) for k in range(12)] + ["a " * 30, "dup dup dup dup", None, "", items[4][1][:-3]]
+    items += [items[2], (None, prose(rng, 14)), (None, "dup dup dup"), (None, None)]
+    texts = [prose(rng, 40) for _ in range(6)] + [prose(rng, 20) + " " + items[k][1].upper() + ". " + prose(rng, 9) for k in range(12)] + ["a " * 30, "dup dup dup dup", None, "", items[4][1][:-3], items[17][1], "dup dup dup dup", prose(rng, 3000) + " " + items[11][1]]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     word = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     split = lambda t: word.findall(lower(t or "").encode())
     got = decontam.find_hits(docs, "text", bench, block_bytes=block).withColumn("n", decontam.n_hit()).collect()
     for r in got:
-        hit, found = brute_hits(split(texts[r.doc_id]), [(str(i), split(t)) for i, t in items])
+        hit, found = brute_hits(split(texts[r.doc_id]), [(i if i is None else str(i), split(t)) for i, t in items])
         assert (r._n_words, r.n, set(r._items)) == (len(split(texts[r.doc_id])), len(hit), found), r
+        assert len(r._items) == len(found) and r._items == sorted(r._items, key=lambda x: (x is None, x))
     digest = {r.doc_id: r for r in decontam.document_hits(docs, bench).collect()}
     r = next(x for x in got if len(x._items) > 1)
-    assert digest[r.doc_id].items_sha256 == hashlib.sha256(",".join(sorted(r._items)).encode()).hexdigest() and digest[r.doc_id].contaminated
+    assert digest[r.doc_id].items_sha256 == hashlib.sha256(",".join(x for x in r._items if x).encode()).hexdigest() and digest[r.doc_id].contaminated
     assert decontam.document_hits(docs, bench.limit(0)).where("contaminated").count() == 0
+    assert decontam.document_hits(docs.limit(0), bench).count() == 0
+    clash = decontam.find_hits(docs.withColumn("_items", docs.doc_id).withColumn("_scan", docs.doc_id), "text", bench, block_bytes=block)
+    assert {"_items_given", "_scan_given", "_items"} <= set(clash.columns) and clash.count() == len(texts)
     clean = {r.doc_id: r.text for r in decontam.cleaned_rows(docs, bench.where("length(text) > 60")).collect()}
     assert clean[0] == texts[0] and all(not brute_hits(split(t), [(i, split(x)) for i, x in items if x and len(x) > 60])[0] for t in clean.values())
 
@@ -412,3 +417,15 @@ def test_pivotal_tree(spark):
     assert j.count() == 5000 and got.select("pos").distinct().count() == 5000
     for r in j.selectExpr("source", "one * size as t", "p * size as e").groupBy("source").sum("t", "e").collect():
         assert abs(r["sum(t)"] - r["sum(e)"]) <= 7
+
+
+def test_automaton_is_small():
+    """Ten thousand items share a passage: its windows are held by all, and each set of holders is kept once."""
+    rng = random.Random(8)
+    shared = [f"s{k}".encode() for k in range(30)]
+    items = [(str(i), [*shared, *(f"w{rng.randrange(5000)}".encode() for _ in range(20))]) for i in range(10_000)]
+    a = decontam.SuffixAutomaton(items, 10)
+    flat = sum(len(x) * x.itemsize for x in (a.symbol, a.target, a.link, a.length, a.windows, a.short, a.keys, a.to, *a.sets))
+    assert flat < 60 * 500_000 and len(a.sets) < 220_000
+    spans, sets = a.hits([b"x", *shared, *items[7][1][30:]])
+    assert spans == [(1, 51)] and a.names(sets) == {i for i, _ in items} and len(sets) < 60
