@@ -49,7 +49,7 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 
 OP3_SQL = r"""
 WITH p AS (
-  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages
 ), judged AS (
@@ -63,6 +63,7 @@ WITH p AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
+    WHEN path <> '' AND host || path IN (SELECT host || path FROM p WHERE host <> '' AND contains(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), 'utm_source=')) THEN 'block'
     WHEN ('.' || host) LIKE '%.casino-win.example.com' OR ('.' || host) LIKE '%.cheap-pills.example.com' OR ('.' || host) LIKE '%.free-bets.example.com' THEN 'block'
     ELSE 'allow' END AS verdict
 FROM judged

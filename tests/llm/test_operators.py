@@ -132,19 +132,40 @@ def test_url_filter(spark):
     assert urlfilter.page_verdicts(pages.limit(0)).count() == 0
 
 
-def test_cascade_is_exact(spark):
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most_bytes", [1 << 20, 1000])
+def test_cascade_is_exact(spark, most_bytes):
     universe = spark.range(4000).selectExpr("concat('k', id) as key")
     listed = universe.where("pmod(hash(key), 3) = 0")
-    cascade = urlfilter.build_cascade(listed, universe)
-    assert len(cascade.levels) > 2
+    shards, cascades = urlfilter.build_cascades(listed.unionByName(listed), universe.unionByName(universe), most_bytes)
+    assert shards == (1 if most_bytes > 1000 else 2)
+    cascades = list(cascades)
+    assert all(len(c.levels) > 2 and c.bytes < most_bytes * 1.3 for c in cascades)
     asked = universe.selectExpr("key", "array(key) as ks")
-    got = {r.key for r in asked.where(urlfilter.any_listed(asked, asked.ks, cascade)).collect()}
+    got = set()
+    for k, c in enumerate(cascades):
+        mine = asked.where(urlfilter.shard_of(asked.key, shards) == k)
+        got |= {r.key for r in mine.where(urlfilter.any_listed(mine, mine.ks, c)).collect()}
     assert got == {r.key for r in listed.collect()}
-    assert urlfilter.build_cascade(listed, universe, most_bytes=100) is None
-    pages = universe.selectExpr("monotonically_increasing_id() as page_id", "concat('http://', key, '/') as url")
-    a = urlfilter.judge_urls(pages, "url", listed).select("page_id", "_verdict")
-    b = urlfilter.judge_urls(pages, "url", listed, most_bytes=100).select("page_id", "_verdict")
-    assert a.exceptAll(b).count() == 0 and a.where("_verdict = 'block'").count() == len(got)
+    pages = universe.selectExpr("monotonically_increasing_id() as page_id", "concat('http://', key, '/') as url", "1 as _HOST")
+    judged = urlfilter.judge_urls(pages, "url", listed, most_bytes=most_bytes)
+    assert "Join" not in plan_of(judged) and {"_HOST_given", "_host", "_verdict"} <= set(judged.columns)
+    assert {r._host for r in judged.where("_verdict = 'block'").collect()} == got and judged.count() == 4000
+
+
+def test_listed_pages(spark):
+    urls = ["http://a.x/p?utm_source=f", "https://a.x/p", "http://a.x/p/", "http://A.X/p#utm_source=", "http://b.x?utm_source=f", "http://b.x/q", "utm_source=", None, "http://a.x/p"]
+    got = {r.page_id: r.verdict for r in urlfilter.page_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert [got[i] for i in range(9)] == ["block", "block", "allow", "block", "block", "block", "allow", "allow", "block"]
+
+
+def test_equally_long_rules(spark):
+    pages = spark.createDataFrame([("http://ab.c/de/f",)], "url string")
+    rules = (("ab.c/de/", "block"), ("b.c/de/f", "allow"), ("c/de/f", "allow"))
+    assert urlfilter.judge_urls(pages, "url", pages.selectExpr("url as key").limit(0), rules).first()._rule == "ab.c/de/"
 
 
 # 4
