@@ -9,14 +9,13 @@ shortest code wins.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from functools import partial
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakegraph.llm.common import map_texts, written
+from lakegraph.llm.common import map_texts, set_aside, written
 
 ORDER = 3
 #: Labelled rows for each language that the trees are grown on, about; rows are chosen by the hash of their text.
@@ -24,59 +23,73 @@ SAMPLE_ROWS = 300
 #: Longest piece of a text (UTF-8 bytes) in that sample, and the languages whose trees are in memory at once.
 SAMPLE_BYTES = 32_768
 BLOCK_LANGUAGES = 64
+#: Bytes of the trees that are broadcast at once; a block of languages with larger trees is divided.
+MOST_BYTES = 128 << 20
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
 
 class ContextTrees:
-    """Code lengths (bits) of every byte after every known context, for each language.
+    """Code lengths (bits) of bytes after their contexts, for each language; only what was seen is stored.
 
-    Bytes are reduced to those seen in training plus one class for the rest. ``node`` maps a three-byte context to the
-    row of its longest suffix that any language knows; ``bits[row, byte]`` holds one length for each language. Lengths of
-    several trees can be compared if all have the same ``alphabet``, which must hold the bytes of their texts.
+    Bytes are reduced to the ``alphabet`` plus one class for the rest; A-Z count as a-z. For each order ``k`` the sorted
+    ``keys[k]`` are the codes (``k`` symbols of context and the next) that some language has seen, ``bits[k]`` has a length
+    for each language; ``contexts[k]`` and ``escapes[k]`` are the same for what it costs to leave a context for the next
+    shorter one. Lengths of several trees can be compared if all have the same ``alphabet``.
     """
 
     def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER, alphabet: bytes = b""):
         self.langs, self.order = sorted(texts), order
-        joined = {lang: np.frombuffer(b"\0" * order + (b"\0" * order).join(t.lower() for t in texts[lang]), np.uint8) for lang in self.langs}
-        seen = np.unique(np.concatenate([*joined.values(), np.frombuffer(b"\0" + alphabet, np.uint8)]))
-        self.size = len(seen) + 1
-        self.symbol = np.full(256, self.size - 1, np.int64)
+        pad = b"\0" * order
+        joined = {lang: np.frombuffer(pad + pad.join(t.lower() for t in texts[lang]), np.uint8) for lang in self.langs}
+        seen = np.unique(np.concatenate([*joined.values(), np.frombuffer(b"\0" + alphabet.lower(), np.uint8)]))
+        self.size = a = len(seen) + 1
+        self.symbol = np.full(256, a - 1, np.int64)
         self.symbol[seen] = np.arange(len(seen))
-        for b in range(65, 91):
-            self.symbol[b] = self.symbol[b + 32]
-        a = self.size
+        self.symbol[65:91] = self.symbol[97:123]
         streams = [self.symbol[x] for x in joined.values()]
-        #: Contexts of k symbols as sorted codes, for k = 0 .. order.
-        contexts = [np.zeros(1, np.int64)]
-        for k in range(1, order + 1):
-            contexts.append(np.unique(np.concatenate([self._codes(s, k)[: len(s) - k] for s in streams])) if streams else np.zeros(0, np.int64))
-        offset = np.cumsum([0, *(len(c) for c in contexts)])
-        bits = np.zeros((offset[-1], a, len(self.langs)), np.float32)
-        for n, s in enumerate(streams):
-            below = np.full((1, a), 1.0 / a)
-            for k in range(order + 1):
-                code = self._codes(s, k)[: len(s) - k] if k else np.zeros(len(s), np.int64)
-                counts = np.zeros((len(contexts[k]), a))
-                np.add.at(counts, (np.searchsorted(contexts[k], code), s[k:]), 1)
-                parent = below if k == 0 else below[np.searchsorted(contexts[k - 1], contexts[k] % a ** (k - 1))]
-                total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-                unseen = np.where(counts > 0, 0.0, parent)
-                rest = unseen.sum(1, keepdims=True)
-                full = (rest <= 0) | (total == 0)
-                escape = np.where(full, 0.0, kinds / np.maximum(1, total + kinds))
-                shares = np.where(total > 0, counts / np.maximum(1, np.where(full, total, total + kinds)), 0.0)
-                p = np.where(total > 0, shares + escape * unseen / np.where(rest > 0, rest, 1), parent)
-                bits[offset[k] : offset[k + 1], :, n] = -np.log2(np.maximum(p, 1e-30))
-                below = p
-        self.bits = bits.reshape(-1, max(1, len(self.langs)))
-        node = np.zeros(a**order, np.int32)
-        every = np.arange(a**order)
-        for k in range(1, order + 1):
-            at = np.searchsorted(contexts[k], every % a**k) if len(contexts[k]) else np.zeros(len(every), int)
-            known = (at < len(contexts[k])) & (contexts[k][np.minimum(at, len(contexts[k]) - 1)] == every % a**k) if len(contexts[k]) else np.zeros(len(every), bool)
-            node[known] = offset[k] + at[known]
-        self.node = node
+        own = [self._counted(s) for s in streams]
+        self.keys, self.bits, self.contexts, self.escapes = [], [], [], []
+        none = np.zeros(0, np.int64)
+        for k in range(order + 1):
+            keys = np.unique(np.concatenate([x[k][0] for x in own])) if own else none
+            contexts = np.unique(keys // a)
+            bits, escapes = np.zeros((len(keys), len(own)), np.float32), np.zeros((len(contexts), len(own)), np.float32)
+            up = np.searchsorted(self.keys[k - 1], keys % a**k) if k else none
+            for n, levels in enumerate(own):
+                mine, length, known, escape = levels[k]
+                escapes[np.searchsorted(contexts, known), n] = escape
+                below = self.bits[k - 1][up, n] if k else np.float32(np.log2(a))
+                bits[:, n] = below + escapes[np.searchsorted(contexts, keys // a), n]
+                bits[np.searchsorted(keys, mine), n] = length
+            self.keys.append(keys)
+            self.bits.append(bits)
+            self.contexts.append(contexts)
+            self.escapes.append(escapes)
+
+    def _counted(self, s: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """One language: for each order its keys, their lengths, its contexts and their escape lengths."""
+        a, out = self.size, []
+        for k in range(self.order + 1):
+            code = self._codes(s, k + 1)
+            keys, counts = np.unique(code, return_counts=True)
+            if not len(keys):
+                out.append((keys, np.zeros(0), keys, np.zeros(0)))
+                continue
+            contexts, first, kinds = np.unique(keys // a, return_index=True, return_counts=True)
+            total = np.add.reduceat(counts, first)
+            lower = 2.0 ** -out[k - 1][1][np.searchsorted(out[k - 1][0], keys % a**k)] if k else np.full(len(keys), 1.0 / a)
+            rest = 1.0 - np.add.reduceat(lower, first)
+            full = (rest <= 1e-9) | (kinds == a)
+            at = np.repeat(np.arange(len(contexts)), kinds)
+            share = counts / np.where(full, total, total + kinds)[at]
+            escape = kinds / (total + kinds) / np.where(full, 1.0, rest)
+            out.append((keys, -np.log2(share), contexts, np.where(full, 0.0, -np.log2(np.maximum(escape, 1e-30)))))
+        return out
+
+    @property
+    def bytes(self) -> int:
+        return sum(x.nbytes for part in (self.keys, self.bits, self.contexts, self.escapes) for x in part)
 
     def _codes(self, s: np.ndarray, k: int) -> np.ndarray:
         """Code of the k symbols from each place on."""
@@ -85,7 +98,7 @@ class ContextTrees:
             code = code * self.size + s[i : i + len(code)]
         return code
 
-    def lengths(self, texts: list[bytes], block: int = 1 << 20) -> np.ndarray:
+    def lengths(self, texts: list[bytes], block: int = 1 << 18) -> np.ndarray:
         """Code length of each text under each language; texts are coded in bounded blocks, none is cut short."""
         out = np.zeros((len(texts), len(self.langs)))
         todo: list[tuple[int, bytes]] = []
@@ -104,22 +117,38 @@ class ContextTrees:
         return out
 
     def _add(self, todo: list[tuple[int, bytes]], out: np.ndarray) -> None:
-        s = self.symbol[np.frombuffer(b"".join(p for _, p in todo), np.uint8)].astype(np.int32)
-        a, k = self.size, self.order
-        code = s[: len(s) - k] * (a * a) + s[1 : len(s) - k + 1] * a + s[2 : len(s) - k + 2]
-        cost = self.bits[self.node[code] * a + s[k:]]
+        s = self.symbol[np.frombuffer(b"".join(p for _, p in todo), np.uint8)]
+        code, a = self._codes(s, self.order + 1), self.size
+        cost = np.zeros((len(code), len(self.langs)), np.float32)
+        left = np.arange(len(code))
+        for k in range(self.order, -1, -1):
+            keys, contexts = self.keys[k], self.contexts[k]
+            if not len(keys):
+                continue
+            want = code[left] % a ** (k + 1)
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            hit = keys[at] == want
+            cost[left[hit]] += self.bits[k][at[hit]]
+            left, want = left[~hit], want[~hit] // a
+            at = np.minimum(np.searchsorted(contexts, want), len(contexts) - 1)
+            known = contexts[at] == want
+            cost[left[known]] += self.escapes[k][at[known]]
+        cost[left] += np.float32(np.log2(a))
+        ends = np.cumsum([len(p) for _, p in todo])
         start = 0
-        for i, p in todo:
-            out[i] += cost[start : start + len(p) - k].sum(0, dtype=np.float64)
-            start += len(p)
+        for (i, p), end in zip(todo, ends, strict=True):
+            out[i] += cost[start : end - self.order].sum(0, dtype=np.float64)
+            start = end
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, block: int = BLOCK_LANGUAGES) -> list[Callable[[], ContextTrees]]:
-    """From ``lang, text``: for each block of languages a function that grows its trees, from a bounded sample that is the same for the same rows.
+def learn(
+    labelled: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, block: int = BLOCK_LANGUAGES, tree_bytes: int = MOST_BYTES
+) -> Iterator[ContextTrees]:
+    """From ``lang, text``: trees of all languages, part by part, from a bounded sample that is the same for the same rows.
 
     All distinct texts of a language are taken where there are no more than ``rows``, else about so many; of a text
     above ``most_bytes`` a piece from a place that its hash gives.
@@ -138,7 +167,7 @@ def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE
         return ((r.lang, r.text.encode()) for r in sample.where(F.col("lang").isin(some)).orderBy("lang", "_h").toLocalIterator())
 
     alphabet: set[int] = set()
-    for some in blocks if len(blocks) > 1 else []:
+    for some in blocks:
         for _, t in texts(some):
             alphabet.update(t.lower())
 
@@ -148,22 +177,41 @@ def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE
             found.setdefault(lang, []).append(t)
         return ContextTrees(found, alphabet=bytes(sorted(alphabet)))
 
-    return [partial(grow, some) for some in blocks]
+    for some in blocks:
+        yield from _bounded(grow, some, tree_bytes)
+
+
+def _bounded(grow: Callable[[list[str]], ContextTrees], langs: list[str], most_bytes: int) -> Iterator[ContextTrees]:
+    """The trees of some languages, in as many parts as keep each within ``most_bytes`` (one language is never divided)."""
+    trees = grow(langs)
+    if trees.bytes <= most_bytes or len(langs) == 1:
+        yield trees
+        return
+    del trees
+    half = len(langs) // 2
+    yield from _bounded(grow, langs[:half], most_bytes)
+    yield from _bounded(grow, langs[half:], most_bytes)
+
+
+OUT = "_lang string, _bits double, _weight double, _judged string, _score double"
 
 
-def identify(df: DataFrame, text: str, blocks: list[Callable[[], ContextTrees]]) -> DataFrame:
+def identify(df: DataFrame, text: str, trees: Iterable[ContextTrees]) -> DataFrame:
     """Replaces ``text`` by ``_lang`` and ``_score`` (the winner's posterior probability under equal priors).
 
-    Null texts and texts without a letter, or any text where no language was learned, are ``und`` with score 0. Ties go to the first language.
-    One block of trees is in memory at a time; between blocks the documents are written with their best so far.
+    Null and empty texts, texts without a letter, or any text where no language was learned, are ``und`` with score 0. Ties
+    go to the first language; repeated rows are judged alike; an empty table stays empty. One part of the trees is in
+    memory at a time; between parts the documents are written with their best so far. A caller's column with an output
+    column's name goes on under its name and ``_given``.
     """
+    df = set_aside(df, OUT)
     names = [c for c in df.columns if c != text]
     out = df.withColumns({"_lang": F.lit(UNKNOWN), "_bits": F.lit(float("inf")), "_weight": F.lit(0.0)})
-    for n, grow in enumerate(blocks):
+    n = 0
+    for part in trees:
         out = written(out, "languages") if n else out
-        # The text goes on to the next block as a second column.
-        given = out.withColumn("_judged", F.col(text)) if n < len(blocks) - 1 else out.withColumnRenamed(text, "_judged")
-        out = _judged(given, grow())
+        n += 1
+        out = _judged(out.withColumn("_judged", F.col(text)), part)
     return out.select(*names, "_lang", F.when(F.col("_weight") > 0, 1 / F.col("_weight")).otherwise(0.0).alias("_score"))
 
 
@@ -190,6 +238,6 @@ def _judged(df: DataFrame, trees: ContextTrees) -> DataFrame:
 
 def document_languages(docs: DataFrame) -> DataFrame:
     """The query's digest: learns from rows that are not held out, judges every row by its text alone."""
-    blocks = learn(docs.where(~held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), "text"))
-    out = identify(docs.select("doc_id", F.col("text").alias("_text")), "_text", blocks)
+    trees = learn(docs.where(~held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), "text"))
+    out = identify(docs.select("doc_id", F.col("text").alias("_text")), "_text", trees)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))

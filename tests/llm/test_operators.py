@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lakegraph.llm import chat, decontam, langid, mixing, quality, sharding, simhash, tokencount, urlfilter
 
@@ -223,14 +224,49 @@ def test_chat_parts(spark):
 # 7
 
 
+def plain_ppm(train, text, order=3):
+    """Code length by dictionaries: escape method C with exclusion, the alphabet of all languages plus one class for the rest."""
+    alphabet = {0} | {b for ts in train.values() for t in ts for b in t.lower()}
+    size, out = len(alphabet) + 1, {}
+    symbol = lambda b: b if b in alphabet else -1
+    for lang, texts in train.items():
+        seen = defaultdict(Counter)
+        stream = [symbol(b) for b in b"\0" * order + (b"\0" * order).join(t.lower() for t in texts)]
+        for k in range(order + 1):
+            for i in range(k, len(stream)):
+                seen[k, tuple(stream[i - k : i])][stream[i]] += 1
+
+        def p(context, sym, seen=seen):
+            if context is None:
+                return 1 / size
+            counts = seen.get((len(context), context))
+            shorter = context[1:] if context else None
+            if counts is None:
+                return p(shorter, sym)
+            total, kinds = sum(counts.values()), len(counts)
+            rest = 1 - sum(p(shorter, x) for x in counts)
+            if rest <= 1e-9:
+                return counts[sym] / total
+            return counts[sym] / (total + kinds) if sym in counts else kinds / (total + kinds) * p(shorter, sym) / rest
+
+        s = [symbol(b) for b in b"\0" * order + text.lower()]
+        out[lang] = -sum(np.log2(p(tuple(s[i - order : i]), s[i])) for i in range(order, len(s)))
+    return out
+
+
 def test_language_model():
     rng = random.Random(1)
-    texts = {"a": [prose(rng, 80).encode() for _ in range(5)], "b": [prose(rng, 80).replace("t", "q").encode() for _ in range(5)]}
+    texts = {"a": [prose(rng, 30).encode() for _ in range(4)], "b": [prose(rng, 30).replace("t", "q").encode() for _ in range(4)], "c": ["жшщ жж".encode()]}
     m = langid.ContextTrees(texts)
-    p = np.exp2(-m.bits.reshape(-1, m.size, 2).astype(float)).sum(1)
-    assert np.allclose(p, 1, atol=1e-4)  # each context's probabilities sum to one
+    odd = [texts["a"][0], b"The zzz 99!", "щшж".encode(), b"q" * 9, b"\xff\x00A"]
+    got = m.lengths(odd)
+    for t, row in zip(odd, got, strict=True):
+        want = plain_ppm(texts, t)
+        assert np.allclose(row, [want[x] for x in m.langs], rtol=1e-4), t
     long = texts["a"][0] * 40
     assert np.allclose(m.lengths([long], block=1000), m.lengths([long]))
+    alone = [langid.ContextTrees({x: texts[x]}, alphabet=b"".join(b"".join(t) for t in texts.values())) for x in "abc"]
+    assert np.allclose(np.concatenate([x.lengths(odd) for x in alone], 1), got, rtol=1e-4)  # languages don't touch each other
 
 
 def test_language_accuracy(spark):
@@ -238,6 +274,10 @@ def test_language_accuracy(spark):
     got = langid.document_languages(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
     assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97
     odd = spark.createDataFrame([(1, None, "en", "a", 0), (2, "123 ...", "en", "a", 0), (3, "", None, "a", 0)], SCHEMA)
+    long = d.where("lang = 'en' and text is not null").orderBy("doc_id").limit(1)
+    twice = long.selectExpr("-1L as doc_id", "repeat(text || ' ', 3000) as text", "lang", "source", "n_chars")
+    judged = langid.document_languages(d.unionByName(twice).unionByName(twice)).where("doc_id = -1").collect()
+    assert [r.lang_pred for r in judged] == ["en"] * 2
     assert [r.lang_pred for r in langid.document_languages(odd.unionByName(d)).where("doc_id in (1, 2, 3)").collect()].count("und") >= 3
     assert langid.document_languages(empty(spark)).count() == 0
 
@@ -250,10 +290,13 @@ def test_every_language_is_learned(spark):
     rows = [(lang, t) for lang, texts in made.items() for t in texts]
     labelled = spark.createDataFrame(rows, "lang string, text string")
     one = [(lang, texts[0]) for lang, texts in made.items()]
-    whole = langid.identify(spark.createDataFrame(one, "lang string, text string"), "text", langid.learn(labelled, block=100)).orderBy("lang").collect()
+    asked = spark.createDataFrame(one, "lang string, text string").withColumn("_Score", F.lit("mine"))
+    whole = langid.identify(asked, "text", langid.learn(labelled, block=100)).orderBy("lang").collect()
+    assert whole[0]._Score_given == "mine"
     assert all(r.lang == r._lang for r in whole)
-    assert len(langid.learn(labelled)) == 2
-    parts = langid.identify(spark.createDataFrame(one, "lang string, text string"), "text", langid.learn(labelled)).orderBy("lang").collect()
+    trees = list(langid.learn(labelled, tree_bytes=1_000_000))
+    assert len(trees) > 4 and all(t.bytes <= 1_000_000 for t in trees)
+    parts = langid.identify(asked, "text", iter(trees)).orderBy("lang").collect()
     assert [(r.lang, r._lang) for r in parts] == [(r.lang, r._lang) for r in whole]
     assert np.allclose([r._score for r in parts], [r._score for r in whole])
 
