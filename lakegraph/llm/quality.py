@@ -1,9 +1,8 @@
 """Quality rules and an isolation forest on their statistics.
 
-Fixed rules reject what is plainly unusable. What they let pass is judged by an isolation forest: random splits over the
-rule statistics isolate unusual documents on short paths. Path lengths count labelled good rows only, so that bad rows
-cannot hide each other however common they are; splits range over rows of all kinds, so that places without good rows are
-cut off early. Both samples are bounded; the threshold is calibrated on all labelled rows.
+Fixed rules reject what is plainly unusable. What they let pass is judged by an isolation forest: trees of random splits
+over the rule statistics of a sample of all rows isolate unusual documents on short paths. Labels are not seen by the
+trees; they only set the threshold. The sample is bounded; the threshold is calibrated on all labelled rows.
 """
 
 from __future__ import annotations
@@ -15,14 +14,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakegraph.llm.common import map_texts, written
+from lakegraph.llm.common import map_texts, set_aside, written
 
+#: The contract's statistics, and further ones that only the forest uses.
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+MORE = "n_symbol_words long, sq_chars long, n_punct long"
+NAMES = [x.split()[0] for x in f"{STATS}, {MORE}".split(", ")]
 REPEAT = 5
 SYMBOL = re.compile(rb"[#*$%&|<>]")
-TREES = 100
-SUBSAMPLE = 256
-#: Rows of each of the forest's two samples, at most; a document is in a sample by the hash of its id and statistics.
+PUNCT = re.compile(rb"[!-/:-@\[-`{-~]")
+TREES = 200
+#: Rows of one tree: few, so that odd rows don't hide each other.
+SUBSAMPLE = 128
+#: Rows that the trees are grown on, at most about; a document is in the sample by the hash of its id and statistics.
 SAMPLE_ROWS = 20_000
 #: Share of the labelled good documents that the threshold may reject at most.
 GOOD_LOSS = 0.01
@@ -59,12 +63,16 @@ def repeat_words(words: list[bytes], width: int = REPEAT) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def text_stats(text: bytes | None) -> tuple[int, int, int, int, int]:
-    """Words, code points in words, symbols, repeated lines, repeated words. Null counts as empty."""
+def text_stats(text: bytes | None) -> tuple[int, ...]:
+    """Words, code points in words, symbols, repeated lines, repeated words; words with symbols, sum of squared word
+    lengths, punctuation marks of ASCII. Null counts as empty."""
     if not text:
-        return 0, 0, 0, 0, 0
+        return (0,) * len(NAMES)
     words = text.split()
-    chars = len(b"".join(words).decode())
+    joined = b"".join(words)
+    plain = joined.isascii()
+    lengths = np.fromiter(map(len, words) if plain else (len(w.decode()) for w in words), np.int64, len(words))
+    symbols = len(SYMBOL.findall(joined))
     dup, seen = 0, set()
     if b"\n" in text:
         for line in text.split(b"\n"):
@@ -72,17 +80,18 @@ def text_stats(text: bytes | None) -> tuple[int, int, int, int, int]:
                 dup += 1
             elif line.strip():
                 seen.add(line)
-    return len(words), chars, len(SYMBOL.findall(text)), dup, repeat_words(words)
+    marked = sum(1 for w in words if SYMBOL.search(w)) if symbols else 0
+    return len(words), int(lengths.sum()), symbols, dup, repeat_words(words), marked, int(lengths @ lengths), len(PUNCT.findall(joined))
 
 
 def statistics(docs: DataFrame, text: str) -> DataFrame:
-    names = [x.split()[0] for x in STATS.split(", ")]
+    """Replaces ``text`` by its statistics, each under its name with ``_`` before it."""
 
     def make(texts: list[bytes | None]) -> dict[str, list]:
         rows = [text_stats(t) for t in texts]
-        return {f"_{n}": [r[i] for r in rows] for i, n in enumerate(names)}
+        return {f"_{n}": [r[i] for r in rows] for i, n in enumerate(NAMES)}
 
-    return map_texts(docs, text, ", ".join(f"_{x}" for x in STATS.split(", ")), make)
+    return map_texts(docs, text, ", ".join(f"_{n} long" for n in NAMES), make)
 
 
 def base_failed() -> Column:
@@ -90,9 +99,13 @@ def base_failed() -> Column:
 
 
 def features(s: pd.DataFrame) -> np.ndarray:
-    """Ratios that do not depend on the length of a text."""
-    n = np.maximum(1, s["_n_words"].to_numpy(float))
-    return np.stack([s["_word_chars"].to_numpy(float) / n, s["_n_symbols"].to_numpy(float) / n, s["_n_dup_lines"].to_numpy(float) / n, s["_n_repeat_words"].to_numpy(float) / n], 1)
+    """Ratios that do not depend on the length of a text: mean and spread of the word length, symbols for each word and for
+    each character, share of words with symbols, punctuation for each word. Repetition is left to the base rules."""
+    x = {n: s[f"_{n}"].to_numpy(float) for n in NAMES}
+    n, chars = np.maximum(1, x["n_words"]), np.maximum(1, x["word_chars"])
+    mean = x["word_chars"] / n
+    spread = np.sqrt(np.maximum(0, x["sq_chars"] / n - mean**2))
+    return np.stack([mean, spread, x["n_symbols"] / n, x["n_symbols"] / chars, x["n_symbol_words"] / n, x["n_punct"] / n], 1)
 
 
 def expected_path(n: float) -> float:
@@ -100,36 +113,34 @@ def expected_path(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def _pick(points: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    return points[rng.choice(len(points), n, replace=False)] if len(points) > n else points
-
-
 class IsolationForest:
     """Trees as flat arrays: feature (-1: leaf), threshold, left child (right is the next), and the leaf's path length."""
 
-    def __init__(self, good: np.ndarray, mixed: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 0):
+    def __init__(self, points: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 0):
         rng = np.random.default_rng(seed)
-        self.size = max(2, min(subsample, len(good)))
-        self.trees = [self._grow(_pick(good, subsample, rng), _pick(mixed, subsample, rng), rng) for _ in range(trees)] if len(good) else []
+        self.size = max(2, min(subsample, len(points)))
+        self.trees = [self._grow(points[rng.choice(len(points), min(subsample, len(points)), replace=False)], rng) for _ in range(trees)] if len(points) else []
 
-    def _grow(self, good: np.ndarray, mixed: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    def _grow(self, points: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
         feature, cut, left, path = [0], [0.0], [0], [0.0]
-        limit, todo = int(np.ceil(np.log2(self.size))), [(0, good, mixed, 0)]
+        limit, todo = int(np.ceil(np.log2(self.size))), [(0, points, 0)]
         while todo:
-            node, g, m, depth = todo.pop()
-            both = np.concatenate([g, m])
-            low, high = (both.min(0), both.max(0)) if len(both) else (np.zeros(1), np.zeros(1))
+            node, x, depth = todo.pop()
+            low, high = x.min(0), x.max(0)
             open_dims = np.flatnonzero(high > low)
-            if depth >= limit or len(g) <= 1 or not len(open_dims):
-                feature[node], path[node] = -1, depth + expected_path(len(g))
+            if depth >= limit or len(x) <= 1 or not len(open_dims):
+                feature[node], path[node] = -1, depth + expected_path(len(x))
                 continue
             f = int(rng.choice(open_dims))
             at = float(rng.uniform(low[f], high[f]))
             feature[node], cut[node], left[node] = f, at, len(feature)
-            g_below, m_below = g[:, f] <= at, m[:, f] <= at
-            for g_part, m_part in ((g[g_below], m[m_below]), (g[~g_below], m[~m_below])):
-                todo.append((len(feature), g_part, m_part, depth + 1))
-                feature.append(-1), cut.append(0.0), left.append(0), path.append(float(depth + 1))
+            below = x[:, f] <= at
+            for part in (x[below], x[~below]):
+                todo.append((len(feature), part, depth + 1))
+                feature.append(-1)
+                cut.append(0.0)
+                left.append(0)
+                path.append(0.0)
         return np.array(feature), np.array(cut), np.array(left), np.array(path)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -149,11 +160,10 @@ class IsolationForest:
 
 def _sample(table: DataFrame, rows: int) -> np.ndarray:
     """At most about ``rows`` rows, chosen by hash so that the same table always gives the same ones; copies share a fate."""
-    n = table.count()
-    names = [f"_{x.split()[0]}" for x in STATS.split(", ")]
-    chosen = table if n <= rows else table.where(F.pmod(F.xxhash64("_id", *names), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    got = chosen.select(*names).orderBy(*names).limit(2 * rows).toPandas() if n else pd.DataFrame({c: [] for c in names})
-    return features(got)
+    n, names = table.count(), [f"_{x}" for x in NAMES]
+    h = F.pmod(F.xxhash64("_id", *names), F.lit(1_000_000))
+    chosen = table.select(*names, h.alias("_h")).where(F.col("_h") < (1_000_000 if n <= rows else int(1_000_000 * rows / n)))
+    return features(chosen.orderBy("_h", *names).limit(2 * rows).drop("_h").toPandas())
 
 
 def judge(docs: DataFrame, text: str, labels: DataFrame, seed: int = 0) -> DataFrame:
@@ -161,22 +171,21 @@ def judge(docs: DataFrame, text: str, labels: DataFrame, seed: int = 0) -> DataF
 
     A row is kept if the base rules pass and its score is not above the threshold: the least one that rejects at most
     ``GOOD_LOSS`` of the labelled good rows (all labelled rows count, each as often as it occurs). Without labelled good
-    rows the forest rejects nothing. Null and empty texts have no words and fail; repeated rows are judged alike; null
-    ids have no label; an empty table stays empty.
+    rows there is nothing to calibrate on and the forest rejects nothing. Null and empty texts have no words and fail;
+    repeated rows and ties are judged alike; null ids have no label; an empty table stays empty. A caller's column with
+    an output column's name goes on under its name and ``_given``.
     """
-    table = written(statistics(docs, text), "statistics")
+    names = [f"_{n}" for n in NAMES]
+    table = written(statistics(set_aside(docs, ", ".join([*names, "_score", "_base_failed", "_kept", "_label_id"])), text), "statistics")
     passed = table.where(~base_failed())
     good = labels.where("quality = 1").select(F.col("doc_id").alias("_label_id")).where("_label_id is not null").distinct()
-    good_rows = passed.join(good, F.col("_id") == F.col("_label_id"), "left_semi")
-    forest = docs.sparkSession.sparkContext.broadcast(IsolationForest(_sample(good_rows, SAMPLE_ROWS), _sample(passed, SAMPLE_ROWS), seed=seed))
-    names = [f"_{x.split()[0]}" for x in STATS.split(", ")]
+    forest = docs.sparkSession.sparkContext.broadcast(IsolationForest(_sample(passed, SAMPLE_ROWS), seed=seed))
 
     @F.pandas_udf("double")
     def score(*cols: pd.Series) -> pd.Series:
         return pd.Series(forest.value.scores(features(pd.DataFrame(dict(zip(names, cols, strict=True))))))
 
-    scored = table.withColumn("_score", score(*names))
-    labelled = scored.where(~base_failed()).join(good, F.col("_id") == F.col("_label_id"), "left_semi")
+    labelled = passed.select("_id", *names).join(good, F.col("_id") == F.col("_label_id"), "left_semi").select(score(*names).alias("_score"))
     counts = {r.b: r.n for r in labelled.groupBy(F.floor(F.col("_score") * BINS).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()}
     total, above, threshold = sum(counts.values()), 0, BINS + 1
     if total:
@@ -184,6 +193,7 @@ def judge(docs: DataFrame, text: str, labels: DataFrame, seed: int = 0) -> DataF
             if above + counts.get(b, 0) > GOOD_LOSS * total:
                 break
             above, threshold = above + counts.get(b, 0), b
+    scored = table.withColumn("_score", score(*names))
     odd = F.floor(F.col("_score") * BINS) >= F.lit(threshold)
     return scored.withColumn("_base_failed", base_failed()).withColumn("_kept", ~base_failed() & ~odd)
 
@@ -192,13 +202,17 @@ def document_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The query's digest."""
     out = judge(docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), "_text", labels)
     names = [x.split()[0] for x in STATS.split(", ")]
-    return out.select(F.col("_id").alias("doc_id"), *(F.col(f"_{n}").alias(n) for n in names), F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_score").alias("score"))
+    return out.select(
+        F.col("_id").alias("doc_id"), *(F.col(f"_{n}").alias(n) for n in names), F.col("_base_failed").alias("base_failed"),
+        F.col("_kept").alias("kept"), F.col("_score").alias("score"),
+    )
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Whole documents that are kept, with the columns they came with."""
-    packed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tie"), F.col("text").alias("_text"))
-    judged = judge(packed.select("_id", "_tie", "_text"), "_text", labels)
-    keep = judged.where("_kept").select(F.col("_id").alias("_kid"), F.col("_tie").alias("_ktie")).distinct()
-    out = packed.join(keep, F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_tie") == F.col("_ktie")), "left_semi")
-    return out.select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))
+    """Whole documents that are kept, with the columns they came with, repeated ones included.
+
+    The documents are written once with their statistics and filtered where they lie, so that no text is shuffled.
+    """
+    packed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    kept = judge(packed, "_text", labels).where("_kept")
+    return kept.select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))
