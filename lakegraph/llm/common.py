@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,9 +30,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: the lineage ends there and survives lost executors."""
     path = f"{scratch_root(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Paths written since the outermost scratch() that are to be removed at its end.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes what was ``written`` inside at the end; nothing lazy that reads it may leave the block."""
+    _OPEN.append([])
+    try:
+        yield _OPEN[-1]
+    finally:
+        remove(spark, _OPEN.pop())
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table with ``_row``, a number of each row that later reads agree on."""
+    return written(df.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def positions(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """Adds ``_pos``, each row's 0-based place in the total order, without ever gathering rows in one task.
 

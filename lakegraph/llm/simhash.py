@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakegraph.llm.common import map_texts, written
+from lakegraph.llm.common import map_texts, numbered, set_aside, written
 
 SEED = 42
 #: Rows of one bucket that one task verifies at once; larger buckets are dealt out in blocks of half as many.
@@ -32,20 +32,17 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
     return votes
 
 
-def shingle_hashes(text: bytes | None, width: int, seeds: tuple[int, ...]) -> list[np.ndarray]:
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
     """XXH64 of every ``width``-word shingle (A-Z lower-cased, single spaces), repeats included; shorter texts are one shingle."""
     words = (text or b"").lower().split()
     if not words:
-        return [np.zeros(0, np.uint64) for _ in seeds]
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     spans = list(zip(starts, ends[width - 1 :].tolist(), strict=False)) if len(words) >= width else [(0, len(joined))]
-    out = []
-    for seed in seeds:
-        digest = xxhash.xxh64_intdigest
-        out.append(np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(spans)))
-    return out
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(spans))
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -55,66 +52,51 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits((2 * _bits(hashes) > len(hashes)).astype(np.uint8)).view(">i8")[0])
 
 
-def fingerprints(df: DataFrame, text: str, width: int, words: int = 1) -> DataFrame:
-    """Replaces column ``text`` by ``_f0`` and, for ``words = 2``, an independent ``_f1``."""
-    seeds = tuple(SEED + i for i in range(words))
+def fingerprints(df: DataFrame, text: str, width: int) -> DataFrame:
+    """Replaces column ``text`` by its fingerprint ``_f0``."""
 
     def make(texts: list[bytes | None]) -> dict[str, list]:
-        rows = [[fingerprint(h) for h in shingle_hashes(t, width, seeds)] for t in texts]
-        return {f"_f{i}": [r[i] for r in rows] for i in range(words)}
+        return {"_f0": [fingerprint(shingle_hashes(t, width)) for t in texts]}
 
-    return map_texts(df, text, ", ".join(f"_f{i} long" for i in range(words)), make)
+    return map_texts(df, text, "_f0 long", make)
 
 
-def _distances(a: np.ndarray, b: np.ndarray, near: int, most: int) -> np.ndarray:
-    """Whether rows of a and b (columns: fingerprint words) link: first words within ``near`` bits, all words within ``most``."""
-    d = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]).astype(np.int16)
-    ok = d <= near
-    if a.shape[1] > 1:
-        for w in range(1, a.shape[1]):
-            d += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
-        ok &= (d <= most) | (a[:, None, 0] == b[None, :, 0])
-    return ok
-
-
-def spanning_links(f: np.ndarray, near: int, most: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def spanning_links(f: np.ndarray, near: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Links (a < b by index) that join what linked pairs join; at most one for each row but the first of its group."""
-    if len(f) == 2:
-        return (np.array([0]), np.array([1])) if _distances(f[:1], f[1:], near, most)[0, 0] else (np.zeros(0, int), np.zeros(0, int))
     left, tails, heads = np.arange(len(f)), [], []
     while len(left):
         front, left, root = left[:1], left[1:], left[0]
         while len(front) and len(left):
             hit = np.zeros(len(left), bool)
             for s in range(0, len(front), block):
-                hit |= _distances(f[front[s : s + block]], f[left], near, most).any(0)
+                hit |= (np.bitwise_count(f[front[s : s + block], None] ^ f[None, left]) <= near).any(0)
             front, left = left[hit], left[~hit]
             heads.append(front)
             tails.append(np.full(len(front), root))
     return (np.concatenate(tails), np.concatenate(heads)) if heads else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _scan(columns: list[str], near: int, most: int, bucket: int | None):
-    """Reads rows sorted by the key columns; yields links ``a, b`` and, beyond ``bucket`` rows of a key, the rows again under ``hot``."""
-    keys = [c for c in columns if not c.startswith("_f")]
-    words = [c for c in columns if c.startswith("_f")]
+def _scan(keys: list[str], near: int, bucket: int | None):
+    """Reads ``_f0`` sorted by the key columns; yields links ``a, b`` and, beyond ``bucket`` rows of a key, the rows again under ``hot``."""
+    names = ["a", "b", "hot", "_f0"]
 
     def rows_of(f: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(f), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.array(key), *(pa.array(f[:, i].view(np.int64)) for i in range(f.shape[1]))], names=["a", "b", "hot", *words])
+        return pa.RecordBatch.from_arrays([none, none, pa.array(key), pa.array(f.view(np.int64))], names=names)
 
     def links_of(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
         x, y = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
         none = pa.nulls(len(x), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), none, *(none for _ in words)], names=["a", "b", "hot", *words])
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), none, none], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f, spilling = np.zeros((0, len(keys)), np.int64), np.zeros((0, len(words)), np.uint64), None
+        held_k, held_f, spilling = np.zeros((0, len(keys)), np.int64), np.zeros(0, np.uint64), None
         for batch in batches:
-            k = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in keys], 1)
-            f = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).view(np.uint64) for c in words], 1)
+            column = {n: c.to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+            k, f = np.stack([column[c] for c in keys], 1), column["_f0"].view(np.uint64)
             if spilling is not None:  # the rest of a bucket that is dealt out again
-                same = int((k == spilling).all(1).argmin()) if not (k == spilling).all() else len(k)
+                other = (k != spilling).any(1)
+                same = int(other.argmax()) if other.any() else len(k)
                 if same:
                     yield rows_of(f[:same], k[:same, 0])
                 k, f = k[same:], f[same:]
@@ -138,52 +120,49 @@ def _scan(columns: list[str], near: int, most: int, bucket: int | None):
         sizes, a, b = stops - starts, [], []
         two = starts[sizes == 2]
         if len(two):
-            d = np.bitwise_count(f[two] ^ f[two + 1]).astype(np.int16)
-            ok = d[:, 0] <= near
-            if len(words) > 1:
-                ok &= (d.sum(1) <= most) | (d[:, 0] == 0)
-            a.append(f[two[ok], 0])
-            b.append(f[two[ok] + 1, 0])
+            ok = np.bitwise_count(f[two] ^ f[two + 1]) <= near
+            a.append(f[two[ok]])
+            b.append(f[two[ok] + 1])
         for i in np.flatnonzero(sizes > 2):
             part = f[starts[i] : stops[i]]
             if bucket and len(part) > bucket:
                 yield rows_of(part, k[starts[i] : stops[i], 0])
                 continue
-            tails, heads = spanning_links(part, near, most)
+            tails, heads = spanning_links(part, near)
             if len(heads):
-                a.append(part[tails, 0])
-                b.append(part[heads, 0])
+                a.append(part[tails])
+                b.append(part[heads])
         if a:
             yield links_of(a, b)
 
     return run
 
 
-def links(prints: DataFrame, words: int, segments: int, near: int, most: int, bucket: int = BUCKET) -> DataFrame:
-    """``a, b``: links that join the distinct first words of ``prints`` as all pairs within the limits would."""
+def links(prints: DataFrame, segments: int, near: int, bucket: int = BUCKET) -> DataFrame:
+    """``a, b``: links that join the distinct fingerprints ``_f0`` as all pairs within the limit would."""
     if near // segments > 2:
         raise ValueError("two balls of radius one meet only for up to two bits a segment")
-    cols = [f"_f{i}" for i in range(words)]
     width = 64 // segments
     mask = F.lit((1 << width) - 1).cast("long")
 
     def keys(s: int):
         part = F.shiftrightunsigned("_f0", s * width).bitwiseAND(mask)
-        ball = F.transform(F.sequence(F.lit(-1), F.lit(width - 1)), lambda i: F.when(i < 0, part).otherwise(part.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(i, F.lit(0))))))
-        return F.transform(ball, lambda x: x * segments + s) if width < 60 else ball
-
-    table = prints.select(F.explode(F.concat(*(keys(s) for s in range(segments)))).alias("key"), *cols)
-    schema = "a long, b long, hot long, " + ", ".join(f"{c} long" for c in cols)
-    first = written(table.repartition("key").sortWithinPartitions("key", "_f0").mapInArrow(_scan(["key", *cols], near, most, bucket), schema), "links")
-    hot = first.where("hot is not null").select(F.col("hot").alias("key"), *cols)
+        flip = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))
+        return F.when(F.col("_bit") < 0, part).otherwise(part.bitwiseXOR(flip)) * segments + s
+
+    bits = F.explode(F.sequence(F.lit(-1), F.lit(width - 1)))
+    table = prints.select("_f0", bits.alias("_bit")).select(F.explode(F.array(*(keys(s) for s in range(segments)))).alias("key"), "_f0")
+    schema = "a long, b long, hot long, _f0 long"
+    first = written(table.repartition("key").sortWithinPartitions("key", "_f0").mapInArrow(_scan(["key"], near, bucket), schema), "links")
+    hot = first.where("hot is not null").select(F.col("hot").alias("key"), "_f0")
     found = first.where("a is not null").select("a", "b")
     if not hot.isEmpty():
         # Each row meets each block of its bucket once: block pairs (i, j) with i <= j, a bounded number of rows each.
-        blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / F.lit(bucket / 2)).cast("long").alias("_n"))
-        own = F.pmod(F.xxhash64("_f0", F.lit(7)), F.col("_n"))
-        pairs = hot.join(blocks, "key").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-        pairs = pairs.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), *cols)
-        again = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "_f0").mapInArrow(_scan(["key", "i", "j", *cols], near, most, None), schema)
+        counts = written(hot.groupBy("key").agg(F.ceil(F.count("*") / F.lit(bucket / 2)).cast("long").alias("_n")), "hot-buckets")
+        dealt = hot.join(counts, "key")
+        pairs = dealt.withColumn("_own", F.pmod(F.xxhash64("_f0", F.lit(7)), F.col("_n"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+        pairs = pairs.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_f0")
+        again = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "_f0").mapInArrow(_scan(["key", "i", "j"], near, None), schema)
         found = found.unionByName(again.select("a", "b"))
     # A group's buckets give its members several roots: each member keeps its least root, and the roots link to it.
     found = written(found.distinct(), "distinct-links")
@@ -195,39 +174,40 @@ def links(prints: DataFrame, words: int, segments: int, near: int, most: int, bu
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for all ends of links ``a, b``: the least node that can be reached, by hooking and pointer jumping.
 
-    A round takes two joins and one aggregation over bounded rows; hot nodes only meet partial minima and joins that
-    Spark can split. Rounds grow with the logarithm of the longest chain.
+    Rounds grow with the logarithm of the longest chain. Hot nodes and labels only meet partial minima, and joins of plain
+    written tables, whose partitions Spark splits where they are skewed.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("seen"))
-        hooked = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "seen").alias("low"))
+        hooked = written(labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "seen").alias("low")), "hooked")
+        if hooked.where("low <> label").isEmpty():
+            return hooked.select("node", "label")
         # A node's old root also takes the least label seen below it, so that whole trees move at once.
-        roots = hooked.groupBy(F.col("label").alias("root")).agg(F.min("low").alias("moved"))
-        moved = hooked.join(roots, hooked.low == roots.root, "left").select("node", "label", F.least("low", F.coalesce("moved", "low")).alias("next"))
-        new = written(moved, "labels")
-        if new.where("next <> label").isEmpty():
-            return new.select("node", F.col("next").alias("label"))
-        labels = new.select("node", F.col("next").alias("label"))
+        roots = written(hooked.groupBy(F.col("label").alias("root")).agg(F.min("low").alias("moved")), "roots")
+        moved = hooked.join(roots, hooked.low == roots.root, "left")
+        labels = written(moved.select("node", F.least("low", F.coalesce("moved", "low")).alias("label")), "labels")
+
+
+OUT = "_f0 long, _least long, _component long, _of long"
 
 
-def near_duplicates(docs: DataFrame, width: int, segments: int, near: int, words: int = 1, most: int = 0, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int, segments: int, near: int, bucket: int = BUCKET) -> DataFrame:
     """Adds ``_f0`` and ``_component`` to rows with ``_id`` and ``_text``: the least ``_id`` that can be reached through links.
 
-    Fingerprints link when their first words differ in at most ``near`` bits and, with two words, both together in at
-    most ``most`` (equal first words always link). Texts without words have fingerprint 0 and link like any other. Null
-    ids have a component if any linked row has an id, else null. Repeated rows fall into one component; an empty table
-    stays empty. Exact copies collapse to one fingerprint before any candidate is looked up.
+    Fingerprints link when they differ in at most ``near`` bits. Texts without words have fingerprint 0 and link like any
+    other. Null ids have a component if any linked row has an id, else null. Repeated rows fall into one component; an
+    empty table stays empty. Exact copies collapse to one fingerprint before any candidate is looked up. A caller's column
+    with an output column's name goes on under its name and ``_given``.
     """
-    table = written(fingerprints(docs, "_text", width, words), "fingerprints")
-    cols = [f"_f{i}" for i in range(words)]
-    prints = table.groupBy("_f0").agg(F.min("_id").alias("_least"), *(F.min(c).alias(c) for c in cols[1:]))
-    labels = components(links(prints.select(*cols), words, segments, near, most, bucket))
-    named = prints.join(labels, prints._f0 == labels.node, "left").select("_f0", "_least", F.coalesce("label", "_f0").alias("_label"))
-    least = named.groupBy("_label").agg(F.min("_least").alias("_component"))
-    member = named.join(least, "_label").select("_f0", "_component")
-    return table.drop(*cols[1:]).join(member, "_f0")
+    table = written(fingerprints(set_aside(docs, OUT), "_text", width), "fingerprints")
+    prints = written(table.groupBy("_f0").agg(F.min("_id").alias("_least")), "prints")
+    labels = components(links(prints.select("_f0"), segments, near, bucket))
+    named = written(prints.join(labels, prints._f0 == labels.node, "left").select("_f0", "_least", F.coalesce("label", "_f0").alias("_label")), "named")
+    least = written(named.groupBy("_label").agg(F.min("_least").alias("_component")), "least")
+    member = named.join(least, "_label").select(F.col("_f0").alias("_of"), "_component")
+    return table.join(member, F.col("_f0") == F.col("_of")).drop("_of")
 
 
 def document_components(docs: DataFrame) -> DataFrame:
@@ -248,7 +228,7 @@ _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * VALUES, 1)
 
 def shingle_set(text: bytes | None) -> np.ndarray:
     """Sorted distinct hashes of the stage's shingles."""
-    return np.unique(shingle_hashes(text, WIDTH, (SEED,))[0])
+    return np.unique(shingle_hashes(text, WIDTH))
 
 
 def bands(shingles: np.ndarray) -> list[int]:
@@ -311,7 +291,7 @@ def _block_links(table: pa.Table) -> pa.Table:
 def similar_links(nodes: DataFrame, texts: DataFrame, few: int = FEW, block: int = BLOCK) -> DataFrame:
     """``a, b``: verified links that join what the pairs with a common band and similarity ``SIMILAR`` join.
 
-    ``nodes`` has ``node, _tie, _bands``, one row for each set of shingles; ``texts`` has ``_tie, _text``. Pairs of small
+    ``nodes`` has ``node, _row, _bands``, one row for each set of shingles; ``texts`` has ``_row, _text``. Pairs of small
     buckets are listed once and verified; a large bucket gives spanning links of its exact similarities.
     """
     keys = nodes.select("node", F.explode("_bands").alias("key"))
@@ -322,9 +302,9 @@ def similar_links(nodes: DataFrame, texts: DataFrame, few: int = FEW, block: int
     pairs = written(shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(pairs).distinct(), "pairs")
     hot = more.where(F.col("n") > few)
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(hot.select("node")).distinct()
-    chosen = nodes.select("node", "_tie").join(wanted, "node")
-    found = texts.join(chosen, "_tie").select("node", "_text")
-    sets = written(map_texts(found, "_text", "_set binary", lambda ts: {"_set": [shingle_set(t).tobytes() for t in ts]}).dropDuplicates(["node"]), "sets")
+    chosen = nodes.select("node", "_row").join(wanted, "node")
+    found = texts.join(chosen, "_row").select("node", "_text")
+    sets = written(map_texts(found, "_text", "_set binary", lambda ts: {"_set": [shingle_set(t).tobytes() for t in ts]}), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("_set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("_set").alias("y")), "b")
     links = both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
     if not hot.isEmpty():
@@ -337,22 +317,26 @@ def similar_links(nodes: DataFrame, texts: DataFrame, few: int = FEW, block: int
 
 
 def distinct_rows(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group: the one with the least id, and of repeated ids the first by text hash.
+    """One document of each near-duplicate group: the one with the least id, and of equal ids the least by the hash of all its columns.
 
     Groups are the components of all pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
     MinHash bands find the candidates, the sets decide. Documents with equal sets are one node; texts without words too.
+    Null ids come last, so that a group keeps a document with an id where it has one; rows that are equal in all columns
+    are one. Columns pass as they came, whatever their names; an empty table stays empty. The documents are written once
+    with row numbers; all decisions are made on narrow rows, and texts meet them in one join.
     """
-    packed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tie"), F.col("text").alias("_text"))
+    packed = numbered(docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), F.col("text").alias("_text")), "rows")
 
     def make(texts: list[bytes | None]) -> dict[str, list]:
         sets = [shingle_set(t) for t in texts]
         return {"node": [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets], "_bands": [bands(s) for s in sets]}
 
-    table = written(map_texts(packed.select("_id", "_tie", "_text"), "_text", "node long, _bands array<long>", make), "minhash")
-    nodes = table.groupBy("node").agg(F.min(F.struct("_tie", "_bands")).alias("x")).select("node", "x.*")
-    labels = components(similar_links(nodes, packed.select("_tie", "_text"))).withColumnRenamed("node", "_node")
-    member = table.drop("_bands").join(labels, F.col("node") == F.col("_node"), "left").withColumn("_label", F.coalesce("label", "node"))
-    first = member.groupBy("_label").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_tie")).alias("w"))
-    keep = first.select("w._id", "w._tie").withColumnRenamed("_id", "_kid").withColumnRenamed("_tie", "_ktie")
-    kept = packed.drop("_text").join(keep, F.col("_id").eqNullSafe(F.col("_kid")) & F.col("_tie").eqNullSafe(F.col("_ktie")))
-    return kept.dropDuplicates(["_id", "_tie"]).select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))
+    narrow = packed.select("_row", "_id", F.xxhash64("_doc").alias("_tie"), "_text")
+    table = written(map_texts(narrow, "_text", "node long, _bands array<long>", make), "minhash")
+    first = F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_tie", "_row")).alias("w")
+    nodes = written(table.groupBy("node").agg(first, F.first("_bands").alias("_bands")), "nodes")
+    labels = components(similar_links(nodes.select("node", F.col("w._row").alias("_row"), "_bands"), packed.select("_row", "_text"))).withColumnRenamed("node", "_node")
+    member = nodes.join(labels, F.col("node") == F.col("_node"), "left").select("w", F.coalesce("label", "node").alias("_label"))
+    keep = member.groupBy("_label").agg(F.min("w").alias("w")).select(F.col("w._row").alias("_keep"))
+    kept = packed.select("_row", "_doc").join(keep, F.col("_row") == F.col("_keep"), "left_semi")
+    return kept.select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))

@@ -335,6 +335,8 @@ def test_simhash(spark, docs):
     got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.document_components(docs).collect())
     assert got == want
     assert simhash.document_components(empty(spark)).count() == 0
+    clash = simhash.near_duplicates(docs.selectExpr("doc_id as _id", "text as _text", "doc_id as _Of", "1 as _F0"), 4, 2, 4)
+    assert set(clash.columns) == {"_id", "_Of_given", "_F0_given", "_f0", "_component"} and clash.where("_Of_given <> _id").count() == 0
 
 
 @pytest.mark.parametrize(("segments", "near", "bucket"), [(2, 4, 8192), (2, 4, 8), (4, 11, 16)])
@@ -348,7 +350,7 @@ def test_links_join_what_pairs_join(spark, segments, near, bucket):
         f.append(x)
     signed = sorted({x - (1 << 64) if x >> 63 else x for x in f})
     df = spark.createDataFrame([(x,) for x in signed], "_f0 long")
-    got = {r.node: r.label for r in simhash.components(simhash.links(df, 1, segments, near, near, bucket)).collect()}
+    got = {r.node: r.label for r in simhash.components(simhash.links(df, segments, near, bucket)).collect()}
     want = brute_components([(x, x & (1 << 64) - 1) for x in signed], near)
     assert {x: got.get(x, x) for x in signed} == dict(zip(signed, want, strict=True))
 
