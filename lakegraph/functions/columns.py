@@ -81,6 +81,12 @@ def parse_number(raw: Column) -> Column:
     return plain.try_cast("double")
 
 
+def to_bool(raw: Column) -> Column:
+    """``true``, ``yes``, ``si``, ``1`` and ``false``, ``no``, ``0`` in any case; else null."""
+    s = F.lower(F.trim(raw.cast("string")))
+    return F.when(s.isin("true", "yes", "si", "1"), True).when(s.isin("false", "no", "0"), False)
+
+
 def cosine(a: Column, b: Column) -> Column:
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
@@ -112,3 +118,8 @@ def grade(score: Column) -> Column:
 
 def intent_label(score: Column) -> Column:
     return F.when(score >= 80, "hot").when(score >= 60, "warm").when(score >= 30, "tepid").otherwise("cold")
+
+
+def headline(summary: Column, job_title: Column, website: Column) -> Column:
+    """A summary's first 160 characters, else the job, else the site; else empty."""
+    return F.coalesce(F.substring(summary, 1, 160), job_title, F.concat(F.lit("Sito: "), website), F.lit(""))

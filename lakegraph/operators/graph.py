@@ -25,6 +25,36 @@ def best_paths(start: DataFrame, edges: DataFrame, hops: list[tuple[str, str]])
     return state.select("origin", "node", F.lit(len(hops)).alias("hops"), (F.col("total") / n).alias("mean_confidence"), "path")
 
 
+def paths(start: DataFrame, edges: DataFrame, hops: list[tuple[str, str, DataFrame | None]]) -> DataFrame:
+    """``origin, node, hops, mean_confidence, age_days, path``: the best path from each ``id`` of ``start`` to each node.
+
+    A hop is (kind, direction ``out``, ``in`` or ``any``, targets or None); with targets (``id``) only they are reached, and
+    targets that are empty reach nothing. Best is the highest mean confidence, then the least path. ``age_days`` is that of
+    the newest edge. The best path is kept after every hop, so that a hub passes on one row for each origin.
+    """
+    state = start.select(F.col("id").alias("origin"), F.col("id").alias("node"), F.lit(0.0).alias("total"), F.lit(None).cast("long").alias("age_days"), F.col("id").alias("path"))
+    for kind, direction, targets in hops:
+        e = edges.where(F.col("relationship_type") == kind)
+        out = e.select(F.col("source_id").alias("near"), F.col("target_id").alias("far"), "confidence", F.col("age_days").alias("age"))
+        back = e.select(F.col("target_id").alias("near"), F.col("source_id").alias("far"), "confidence", F.col("age_days").alias("age"))
+        step = {"out": out, "in": back, "any": out.unionByName(back)}[direction]
+        if targets is not None:
+            step = step.join(targets.select(F.col("id").alias("far")), "far", "left_semi")
+        longer = state.join(step, F.col("node") == F.col("near")).select(
+            "origin", F.col("far").alias("node"), (F.col("total") + F.col("confidence")).alias("total"), F.concat_ws(">", "path", "far").alias("path"), F.least("age_days", "age").cast("long").alias("age_days")
+        )
+        best = F.min(F.struct((-F.col("total")).alias("minus"), "path", "age_days")).alias("best")
+        state = longer.groupBy("origin", "node").agg(best).select("origin", "node", (-F.col("best.minus")).alias("total"), "best.age_days", "best.path")
+    return state.select("origin", "node", F.lit(len(hops)).alias("hops"), (F.col("total") / max(1, len(hops))).alias("mean_confidence"), "age_days", "path")
+
+
+def resolve_aliases(aliases: DataFrame, entities: DataFrame) -> DataFrame:
+    """``alias_type, alias_value, entity_id``: the unmerged entity of each alias, by confidence, then the newest (``created``)."""
+    alive = entities.where("merged_into_id is null").select(F.col("id").alias("entity_id"))
+    rows = aliases.join(alive, "entity_id", "left_semi")
+    return rows.groupBy("alias_type", "alias_value").agg(F.max_by("entity_id", F.struct("confidence", "created")).alias("entity_id"))
+
+
 def resolve_merges(entities: DataFrame, most: int = 10) -> DataFrame:
     """``id, final_id``: the end of each merge chain by pointer doubling; a cycle ends at its least id.
 
