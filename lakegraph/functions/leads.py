@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakegraph.functions.columns import clamp, contains_ci, half_up
@@ -201,3 +201,136 @@ def score_colour(score: Column) -> Column:
     t = F.greatest(F.lit(0.0), F.least(F.lit(100.0), half_up(score).cast("double"))) / 100
     parts = [half_up(F.lit(220) - t * 96), half_up(F.lit(38) + t * 20), half_up(F.lit(38) + t * 199)]
     return F.concat(F.lit("rgb("), F.concat_ws(",", *[p.cast("long").cast("string") for p in parts]), F.lit(")"))
+
+
+#: The sixteen gaps that a search can ask for; ``no_site`` is the only one that needs no site.
+GAP_TESTS = {
+    "seo_errors": lambda: is_true(F.col("seo_errors")),
+    "no_pixel": lambda: ~is_true(F.col("meta_pixel")),
+    "no_tag_manager": lambda: ~is_true(F.col("tag_manager")),
+    "no_ssl": lambda: F.col("ssl").eqNullSafe(False),
+    "no_ads": lambda: ~is_true(F.col("google_ads")),
+    "no_instagram": lambda: ~present(F.col("instagram")),
+    "no_analytics": lambda: ~is_true(F.col("analytics")),
+    "slow_site": lambda: F.coalesce(F.col("load_seconds") > 3, F.lit(False)),
+    "no_site": lambda: ~present(F.col("site")),
+    "no_facebook": lambda: ~present(F.col("facebook")),
+    "no_dmarc": lambda: ~is_true(F.col("dmarc")),
+    "not_mobile": lambda: ~is_true(F.col("mobile")),
+    "no_linkedin": lambda: ~present(F.col("linkedin")),
+    "no_email": lambda: ~present(F.col("email")),
+    "low_rating": lambda: F.coalesce((F.col("rating") > 0) & (F.col("rating") < 4), F.lit(False)),
+    "few_reviews": lambda: F.coalesce((F.col("reviews") >= 0) & (F.col("reviews") < 10), F.lit(False)),
+}
+#: Gaps of a site; with one of them, and where ``no_site`` is not asked for alone, a lead must have a site.
+SITE_GAPS = {"seo_errors", "no_pixel", "no_tag_manager", "no_ssl", "no_ads", "no_analytics", "slow_site", "no_dmarc", "not_mobile"}
+
+
+def any_gap(names: list[str]) -> Column:
+    """Leads with any of the gaps. Where ``no_site`` is among less than all gaps, leads without a site count."""
+    asked = reduce(Column.__or__, [GAP_TESTS[n]() for n in names], F.lit(False))
+    needs_site = bool(SITE_GAPS & set(names)) and ("no_site" not in names or len(names) == len(GAP_TESTS))
+    return asked & present(F.col("site")) if needs_site else asked
+
+
+def meeting(rows: DataFrame, found: DataFrame, wanted: list[tuple[str, float | None, float | None]]) -> DataFrame:
+    """Leads that meet every (kind, least confidence, greatest age in hours); one aggregation of the signals."""
+    tests = []
+    for kind, confidence, age in wanted:
+        test = F.col("kind") == kind
+        test = test & (F.col("confidence") >= confidence) if confidence is not None else test
+        tests.append(test & (F.col("age_hours") <= age) if age is not None else test)
+    met = found.groupBy("lead").agg(*(F.bool_or(t).alias(f"t{n}") for n, t in enumerate(tests)))
+    met = met.where(reduce(Column.__and__, [F.col(f"t{n}") for n in range(len(tests))], F.lit(True)))
+    return rows.join(met.select("lead"), F.col("id") == F.col("lead"), "left_semi") if wanted else rows
+
+
+def hits_or_all(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """Rows whose ``id`` is among the hits; all rows where none is. Decided inside the plan, by one row that is broadcast."""
+    marked = rows.join(hits.select(F.col("id").alias("_hit")).distinct(), F.col("id") == F.col("_hit"), "left")
+    some = rows.join(hits, "id", "left_semi").limit(1).agg((F.count("*") > 0).alias("_some"))
+    return marked.join(F.broadcast(some)).where(F.col("_hit").isNotNull() | ~F.col("_some")).drop("_hit", "_some")
+
+
+def relevant(conflicts: list[str]) -> Column:
+    """No word of a conflicting trade in category or name."""
+    text = F.lower(F.concat_ws(" ", "name", "category"))
+    return ~reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in conflicts], F.lit(False))
+
+
+# What marks an agency's name.
+AGENCY = [r"\bagenzia\b.*\b(marketing|comunicaz|digital|web)", r"\b(marketing|comunicaz|digital)\b.*\bagenzia\b", r"\bdigital\s+marketing\b", r"\bweb\s+agenc", r"\bagency\b", r"\bmarketing\s+italia\b", r"\bpasso\s+al\s+marketing\b", r"\bmedia\s*marketing\b"]
+
+
+def is_agency(name: Column, category: Column) -> Column:
+    kind = F.lower(F.coalesce(category, F.lit("")))
+    text = F.lower(F.concat_ws(" ", name, category))
+    return (kind.rlike("agenz") & kind.rlike("marketing|comunicaz|pubblicit|digital")) | kind.isin("marketing", "agenzie di marketing", "agenzie marketing") | text.rlike("|".join(AGENCY))
+
+
+# Words that stand for a sales role.
+SALES = r"\bcommerciale\b|\bcommercial\b|\bsales\b|\bvenditor\w*\b|\baccount manager\b"
+
+
+def role_match(text: Column, roles: list[str]) -> Column:
+    """Roles of up to four letters as whole words, sales roles by their own words, others as substrings."""
+    t = F.lower(text)
+
+    def one(r: str) -> Column:
+        return t.rlike(rf"\b{r}\b") if len(r) <= 4 else t.rlike(SALES) if r in ("commerciale", "commercial") else F.contains(t, F.lit(r))
+
+    return reduce(Column.__or__, [one(r.lower()) for r in roles], F.lit(not roles))
+
+
+def subtype(text: Column, positives: list[str], negatives: list[str]) -> Column:
+    """``match`` with a positive phrase, else ``opposite`` with a negative one, else ``unknown``."""
+    phrase = lambda words: F.lower(F.coalesce(text, F.lit(""))).rlike(r"\b(" + "|".join(words) + r")\b")
+    return F.when(phrase(positives), "match").when(phrase(negatives), "opposite").otherwise("unknown")
+
+
+def strict_category(category: Column, wanted: list[str]) -> Column:
+    """Whole-phrase match; the last vowel may differ (singular and plural), ``agenzie x`` is ``agenzia di x``."""
+
+    def pattern(w: str) -> str:
+        stem = w.lower().strip().removeprefix("agenzie di ").removeprefix("agenzie ").removeprefix("agenzia di ")
+        stem = stem[:-1] + "[aeio]?" if stem[-1] in "aeio" else stem + "s?"
+        return f"^(agenzi[ae] (di )?)?{stem}$"
+
+    return F.lower(F.trim(category)).rlike("|".join(pattern(w) for w in wanted))
+
+
+def merge_people(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Both sides by ``key`` (of equal keys the least name); blanks of the first are filled by the second."""
+    one = first.groupBy("key").agg(F.min_by(F.struct("name", "phone", "title", "size"), "name").alias("a"))
+    two = second.groupBy("key").agg(F.min_by(F.struct("name", "phone", "title", "size", "seniority"), "name").alias("b"))
+    both = one.join(two, "key", "full")
+    n = F.col("a").isNotNull().cast("int") + F.col("b").isNotNull().cast("int")
+    return both.select("key", *(F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("name", "phone", "title", "size")), F.col("b.seniority").alias("seniority"), n.alias("sources"))
+
+
+def overlay(rows: DataFrame, payload: str, names: list[str]) -> DataFrame:
+    """Columns that aren't empty win over the payload's fields of the same names."""
+    def shown(n: str) -> Column:
+        own = F.nullif(F.col(n), F.lit("")) if dict(rows.dtypes)[n] == "string" else F.col(n)
+        return F.coalesce(own, F.col(f"{payload}.{n}")).alias(n)
+
+    return rows.select(*[c for c in rows.columns if c not in names and c != payload], *map(shown, names))
+
+
+def csv_line(names: list[str]) -> Column:
+    """All fields quoted, quotes doubled, null as empty."""
+    cells = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(n).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for n in names]
+    return F.concat_ws(",", *cells)
+
+
+def new_only(rows: DataFrame, stored: DataFrame, key: str, order: str) -> DataFrame:
+    """One row for each key (the least ``order``) that no stored row has."""
+    return rows.groupBy(key).agg(F.min(order).alias(order)).join(stored.select(key), key, "left_anti")
+
+
+def names_company(blob: Column, tokens: list[str], site: str) -> Column:
+    """The site's first label of four letters or more, or two of the name's tokens (or its only one), in a lower-case text."""
+    label = site.split(".")[0]
+    hits = reduce(Column.__add__, [F.contains(blob, F.lit(t)).cast("int") for t in tokens], F.lit(0))
+    named = (hits >= min(2, len(tokens))) & F.lit(bool(tokens))
+    return named | F.contains(blob, F.lit(label)) if len(label) >= 4 else named

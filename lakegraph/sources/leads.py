@@ -33,6 +33,18 @@ _FIELDS = {
     "founded": "CASE WHEN c_custkey % 13 > 0 THEN (1950 + c_custkey % 70) || '-01-01' END",
     "score": "c_custkey % 101",
     "audited_days": "CASE WHEN c_custkey % 6 <> 2 THEN c_custkey % 120 END",
+    "google_ads": "CASE c_custkey % 4 WHEN 3 THEN true WHEN 2 THEN false END",
+    "analytics": "CASE c_custkey % 5 WHEN 2 THEN true WHEN 4 THEN false END",
+    "facebook": "CASE c_custkey % 4 WHEN 1 THEN 'fb' || c_custkey WHEN 2 THEN 'N/D' END",
+    "linkedin": "CASE c_custkey % 6 WHEN 1 THEN 'https://www.linkedin.com/company/C' || c_custkey || '/' WHEN 2 THEN 'https://linkedin.com/in/p' || c_custkey WHEN 3 THEN 'linkedin c' END",
+    "vat": "CASE WHEN c_custkey % 3 = 0 THEN lpad(CAST(c_custkey AS STRING), 11, '0') END",
+    "copyright_year": "CASE WHEN c_custkey % 4 > 0 THEN 1994 + c_custkey % 9 END",
+    "address": "'Via ' || c_custkey || ', ' || (20100 + c_custkey % 50) || ' ' || n_name",
+    "forms": "CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 3 END",
+    "clickable": "c_custkey % 4 = 0",
+    "performance": "CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 100 END",
+    "active_ads": "CASE WHEN c_custkey % 6 = 4 THEN c_custkey % 9 END",
+    "pending": "c_custkey % 17 = 0",
     "has_wordpress": "c_custkey % 2 = 0",
     "has_shopify": "c_custkey % 5 = 3",
     "has_ga4": "c_custkey % 3 = 0",
