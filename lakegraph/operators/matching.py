@@ -146,3 +146,23 @@ def fill_blanks(leads: DataFrame, known: DataFrame, keys: list[str], fields: lis
         out = out.join(side, F.col(k) == F.col("_k"), "left").drop("_k")
     filled = [F.coalesce(F.nullif(F.trim(F.col(f)), F.lit("")), *[F.col(f"_{k}_{f}") for k in keys]).alias(f) for f in fields]
     return out.select(*[c for c in leads.columns if c not in fields], *filled)
+
+
+def containing(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """Pairs of rows where ``text`` contains ``needle``, as an equi join.
+
+    Every part of a text that is as long as some needle is a key; the lengths that occur are few (domains: at most 253) and
+    the only thing that comes to the driver. Null and empty needles match nothing.
+    """
+    keys = needles.where(F.length(needle) > 0)
+    lengths = sorted(r[0] for r in keys.select(F.length(needle)).distinct().collect())
+    n = F.length(text)
+    if not lengths:
+        return texts.join(keys, F.lit(False))
+
+    def cut(size: int) -> Column:
+        starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+
+    pieces = texts.withColumn("_part", F.explode(F.array_distinct(F.concat(*[cut(k) for k in lengths]))))
+    return pieces.join(keys, F.col("_part") == F.col(needle)).drop("_part")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -31,4 +31,29 @@ def consume(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpo
 def retry_state(events: DataFrame, most: int = 3) -> DataFrame:
     """Status after an attempt: processed, pending, or failed from ``most`` errors on."""
     errors = F.col("error_count") + F.col("failed").cast("int")
-    return events.withColumn("error_count", errors).withColumn("status", F.when(~F.col("failed"), "processed").when(errors >= most, "failed").otherwise("pending"))
+    status = F.when(~F.col("failed"), "processed").when(errors >= most, "failed").otherwise("pending")
+    return events.withColumns({"error_count": errors, "status": status})
+
+
+def subscribed(stream: DataFrame, kinds: list[str] | None = None, entities: list[str] | None = None) -> DataFrame:
+    """Events of some types and of some entities; None asks for all."""
+    out = stream if kinds is None else stream.where(F.col("event_type").isin(kinds))
+    return out if entities is None else out.where(F.col("entity_id").isin(entities))
+
+
+def consumed(stream: DataFrame, error: Column, name: str) -> DataFrame:
+    """Unprocessed events, handled in micro-batches and marked: ``error`` is null where an event could be handled.
+
+    One event that fails doesn't hold up the others. A batch that is handed on again overwrites its own folder, so that
+    no event counts twice.
+    """
+    from lakegraph.sources.sinks import new_path
+
+    path = new_path(stream.sparkSession, name)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        marked = batch.orderBy(F.desc("occurred_at")).withColumn("error", error).withColumn("processed", F.col("error").isNull())
+        marked.write.mode("overwrite").parquet(f"{path}/batches/batch={number}")
+
+    consume(stream, handle, f"{path}/state").awaitTermination()
+    return stream.sparkSession.read.parquet(f"{path}/batches").drop("batch")
