@@ -152,6 +152,14 @@ def company_match(t: Tables) -> DataFrame:
     return M.match_companies(a, b)
 
 
+@query("j18_exact_matches", """, ld AS (SELECT id, name, lower(city) AS city, CASE WHEN coalesce(site, 'N/D') <> 'N/D' THEN regexp_replace(site, '^https://www\\.([^/]*)/.*$', '\\1') END AS d FROM lead),
+  rc AS (SELECT 's:' || s_suppkey AS id, replace(s_name, 'Supplier', 'Customer') AS name, lower(n_name) AS city, 'shop' || s_suppkey || '.it' AS d FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+  SELECT ld.id AS lead_id, rc.id AS record_id, 'domain' AS reason FROM ld JOIN rc ON ld.d = rc.d UNION ALL SELECT ld.id, rc.id, 'name and city' FROM ld JOIN rc ON ld.name = rc.name WHERE ld.d IS DISTINCT FROM rc.d AND (contains(ld.city, rc.city) OR contains(rc.city, ld.city))""")
+def exact_matches(t: Tables) -> DataFrame:
+    """Accepted pairs that identities or equal names decide."""
+    return company_match(t).where(F.col("accepted") & F.col("reason").isin("domain", "name and city")).select("lead_id", "record_id", "reason")
+
+
 # Aggregates and ranks
 
 

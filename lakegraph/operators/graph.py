@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakegraph.functions.columns import days_between, half_up
-from lakegraph.llm.common import written
 from lakegraph.plans.query import ends
+from lakegraph.sources.sinks import stored as written
 
 
 def best_paths(start: DataFrame, edges: DataFrame, hops: list[tuple[str, str]]) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from lakegraph.sources.sinks import stored as written
+
 # Name tokens that identify nobody.
 GENERIC_TOKENS = "srl spa sas snc group holding italia italy service services impresa imprese azienda company societa studio centro".split()
 
@@ -49,10 +51,9 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() * 100 for x, y in zip(a, b)])
 
 
-def name_ratio(a: Column, b: Column) -> Column:
-    """100 for equal folded names, 92 where one contains the other, else the share of matching blocks; 0 for an empty one."""
-    easy = F.when((a == "") | (b == ""), 0.0).when(a == b, 100.0).when(F.contains(a, b) | F.contains(b, a), 92.0)
-    return F.coalesce(easy, sequence_ratio(a, b))
+def easy_ratio(a: Column, b: Column) -> Column:
+    """0 for an empty name, 100 for equal folded names, 92 where one contains the other; else null."""
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 100.0).when(F.contains(a, b) | F.contains(b, a), 92.0)
 
 
 def _prepared(df: DataFrame, side: str) -> DataFrame:
@@ -63,41 +64,59 @@ def _prepared(df: DataFrame, side: str) -> DataFrame:
 
 
 def _ranked_tokens(df: DataFrame, side: str, frequency: DataFrame) -> DataFrame:
-    """``id, city, token, place, half``: tokens from the rarest on; names that share half of the longer list share one up to place ``half``."""
-    rows = df.select(f"{side}_id", F.col(f"{side}_city").alias("city"), F.size(f"{side}_tokens").alias("n"), F.explode(f"{side}_tokens").alias("token")).join(frequency, "token")
+    """``id, city, token, place, n, prefix``: tokens from the rarest on.
+
+    Names of two tokens and more that share half of the longer list share two tokens at least and half of their own, so that
+    they have a token in common among the first ``prefix`` of each.
+    """
+    rows = df.select(f"{side}_id", F.col(f"{side}_city").alias(f"{side}_city"), F.size(f"{side}_tokens").alias("n"), F.explode(f"{side}_tokens").alias("token")).join(frequency, "token")
     w = Window.partitionBy(f"{side}_id").orderBy("many", "token")
-    return rows.select(f"{side}_id", "city", "token", F.row_number().over(w).alias("place"), (F.col("n") - F.ceil(F.col("n") / 2) + 1).alias("half"))
+    need = F.greatest(F.ceil(F.col("n") / 2), F.least(F.lit(2), F.col("n")))
+    return rows.select(f"{side}_id", f"{side}_city", "token", "n", F.row_number().over(w).alias("place"), (F.col("n") - need + 1).alias("prefix"))
 
 
-def match_companies(leads: DataFrame, records: DataFrame) -> DataFrame:
-    """``lead_id, record_id, score, reason, accepted, ambiguous`` for all candidate pairs.
+def city_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``lead_city, record_city``: distinct cities of which one contains the other; an empty lead city goes with every record city."""
+    left, right = a.select("lead_city").distinct(), b.select("record_city").distinct()
+    inside = containing(left, "lead_city", right, "record_city").unionByName(containing(right, "record_city", left, "lead_city").select("lead_city", "record_city"))
+    # One row at most on the left: the empty city.
+    return inside.unionByName(left.where("lead_city = ''").join(right, F.lit(True))).distinct()
+
 
-    Candidates share a VAT number, domain or phone, or have the same city (or the lead none) and a name token that is
-    the rarest of one side or among the rarer half of both. VAT decides alone where both have one; then domain 95, phone 90, then names: 75 with half of the tokens
-    shared, 88 with two tokens, 92 with one of six letters. Half of the tokens shared, and all
-    tokens of the shorter name, are found always; names that are only similar, or generic tokens alone, need such a token. ``ambiguous``: the lead's best score is under 75 or its second
-    is at least 0.85 of it. Ids must be unique on each side; null names have no tokens.
+def match_companies(leads: DataFrame, records: DataFrame) -> DataFrame:
+    """``lead_id, record_id, score, reason, accepted, ambiguous`` of the pairs that are accepted, and of each lead's best pair.
+
+    Candidates share a VAT number, domain or phone, or a name token that is among the rare ones of both where one city contains
+    the other or the lead has none. VAT decides alone where both have one; then domain 95, phone 90, then names: 75 with half
+    of the tokens shared, 88 with two tokens, 92 with one of six letters. Pairs by identity, by half of the tokens
+    or by all tokens of the shorter name are found always. Names that are only similar (88 and more) are found if they share such a token; others, as two words with a
+    typing error each, are not. ``ambiguous``: of several candidates the lead's best scores under 75 or the second at least
+    0.85 of it. Ids must be unique on each side; null names have no tokens. Names are compared letter by letter only where
+    nothing else decides.
     """
     a, b = _prepared(leads, "lead"), _prepared(records, "record")
     frequency = a.select(F.explode("lead_tokens").alias("token")).unionAll(b.select(F.explode("record_tokens").alias("token"))).groupBy("token").agg(F.count("*").alias("many"))
     left, right = _ranked_tokens(a, "lead", frequency), _ranked_tokens(b, "record", frequency)
     pairs = [a.join(b, a[f"lead_{k}"] == b[f"record_{k}"]).select("lead_id", "record_id") for k in ("vat", "domain", "phone")]
-    for l, r in (("place <= half", "place <= half"), ("true", "place = 1"), ("place = 1", "true")):
-        pairs.append(left.where("city <> ''").where(l).join(right.where(r), ["city", "token"]).select("lead_id", "record_id"))
-        pairs.append(left.where("city = ''").where(l).join(right.where(r), "token").select("lead_id", "record_id"))
-    all_pairs = pairs[0]
-    for p in pairs[1:]:
-        all_pairs = all_pairs.unionByName(p)
+    left = left.join(city_pairs(a, b), "lead_city").select("lead_id", "record_city", "token", "n", "place", "prefix")
+    # By the rare tokens of both, or by the rarest of one: a name that holds all tokens of the other has that.
+    near = [left.where(l).join(right.where(r), ["token", "record_city"]).select("lead_id", "record_id") for l, r in (("place <= prefix", "place <= prefix"), ("true", "place = 1"), ("place = 1", "true"))]
+    near = near[0].unionByName(near[1]).unionByName(near[2])
+    all_pairs = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).unionByName(near)
     both = all_pairs.distinct().join(a, "lead_id").join(b, "record_id")
     same = {k: F.coalesce(F.col(f"lead_{k}") == F.col(f"record_{k}"), F.lit(False)) for k in ("vat", "domain", "phone")}
     two_vats = F.col("lead_vat").isNotNull() & F.col("record_vat").isNotNull()
-    both = both.withColumn("tokens", token_score(F.col("lead_tokens"), F.col("record_tokens")))
-    both = both.withColumn("name", F.greatest("tokens", name_ratio(F.col("lead_name"), F.col("record_name"))))
     n, first = F.size("lead_tokens"), F.length(F.get("lead_tokens", F.lit(0)))
     place = (F.col("lead_city") == "") | ((F.col("record_city") != "") & (F.contains("lead_city", "record_city") | F.contains("record_city", "lead_city")))
+    exact = F.when(two_vats & same["vat"], "vat").when(two_vats, "other vat").when(same["domain"], "domain").when(same["phone"], "phone").when(n == 0, "no name")
+    both = both.withColumns({"exact": exact, "place": place, "tokens": token_score(F.col("lead_tokens"), F.col("record_tokens")), "easy": easy_ratio(F.col("lead_name"), F.col("record_name"))})
+    both = written(both, "candidates")
+    open_ = F.col("exact").isNull() & F.col("easy").isNull()
+    decided = both.where(~open_).withColumn("ratio", F.col("easy"))
+    compared = both.where(open_).withColumn("ratio", sequence_ratio(F.col("lead_name"), F.col("record_name")))
+    both = decided.unionByName(compared).withColumn("name", F.greatest("tokens", F.coalesce("ratio", F.lit(0.0))))
     reason = (
-        F.when(two_vats & same["vat"], "vat").when(two_vats, "other vat").when(same["domain"], "domain").when(same["phone"], "phone")
-        .when(n == 0, "no name").when(~place, "other city")
+        F.when(F.col("exact").isNotNull(), F.col("exact")).when(~F.col("place"), "other city")
         .when((F.col("name") >= 75) & (F.col("tokens") >= 50), "name and city")
         .when((F.col("name") >= 88) & (n >= 2), "similar name").when((F.col("name") >= 92) & (n == 1) & (first >= 6), "single token").otherwise("weak name")
     )
@@ -110,7 +129,8 @@ def match_companies(leads: DataFrame, records: DataFrame) -> DataFrame:
     top, second = F.max(F.when(F.col("_r") == 1, F.col("score"))).over(of_lead), F.max(F.when(F.col("_r") == 1, F.col("_next"))).over(of_lead)
     ambiguous = F.coalesce((top < 75) | (second >= top * 0.85), F.lit(False)) & second.isNotNull()
     accepted = ~F.col("reason").isin("other vat", "no name", "other city", "weak name")
-    return both.select("lead_id", "record_id", "score", "reason", accepted.alias("accepted"), ambiguous.alias("ambiguous"))
+    out = both.select("lead_id", "record_id", "score", "reason", accepted.alias("accepted"), ambiguous.alias("ambiguous"), "_r")
+    return out.where("accepted or _r = 1").drop("_r")
 
 
 def by_site_or_name(leads: DataFrame, deals: DataFrame) -> DataFrame:
