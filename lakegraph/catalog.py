@@ -11,6 +11,7 @@ from lakegraph.functions import columns as C
 from lakegraph.functions import text as X
 from lakegraph.operators import graph
 from lakegraph.plans.query import Event, Observation, Query, Relationship, execute, having_observation
+from lakegraph.sources.sinks import stored
 from lakegraph.sources.tables import BINDING_SQL, Tables
 
 AS_OF = "2001-08-02"
@@ -377,8 +378,8 @@ def canonical_job(t: Tables) -> DataFrame:
 c AS (SELECT f.*, (SELECT count(*) FROM ev WHERE entity_id = f.id) AS e, (SELECT count(*) FROM rel WHERE source_id = f.id) AS r, (SELECT count(*) FROM obs WHERE entity_id = f.id) AS o, epoch(TIMESTAMP '2001-08-02') - epoch(last_seen_at) AS age FROM f)
 SELECT id, name, CAST(least(100, 35 + CASE WHEN age <= 604800 THEN 12 WHEN age <= 2592000 THEN 8 WHEN age <= 7776000 THEN 4 ELSE 0 END + CASE WHEN contains(lower(city), 'nation_6') THEN 10 ELSE 0 END + CASE WHEN contains(lower(category), 'building') THEN 8 ELSE 0 END + least(20, e * 4) + least(12, r * 2) + least(10, o // 2) + floor(confidence * 5 + 0.5)) AS BIGINT) AS score FROM c""")
 def ranked(t: Tables) -> DataFrame:
-    found = execute(FLAGSHIP, t.entities(), t.observations(), t.relationships(), t.events())
-    counted = graph.with_counts(found, t.events(), t.relationships(), t.observations())
+    found = stored(execute(FLAGSHIP, t.entities(), t.observations(), t.relationships(), t.events()), "found")  # 200 rows at most
+    counted = graph.with_counts(found, t.events(), t.relationships(), t.observations(), few=True)
     return counted.select("id", "name", graph.rank_score(as_of(), "nation_6", "building").alias("score"))
 
 
@@ -491,7 +492,7 @@ def vector_top_k(t: Tables) -> DataFrame:
     return scored.orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", F.round("s", 4).alias("similarity"))
 
 
-@query("n40_contact_gate", "SELECT page_id FROM pages WHERE contains(html, '<form') OR regexp_matches(html, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[a-z]+')", bound=False)
+@query("d1_contact_pages", "SELECT page_id FROM pages WHERE contains(html, '<form') OR regexp_matches(html, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[a-z]+')", bound=False)
 def contact_gate(t: Tables) -> DataFrame:
     return t.raw("pages").where(F.contains("html", F.lit("<form")) | F.col("html").rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[a-z]+")).select("page_id")
 

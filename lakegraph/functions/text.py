@@ -30,26 +30,36 @@ SITE_BUILDERS = {
 NO_BUILDER = "Custom HTML"
 
 
-def code_units(text: Column) -> Column:
-    """UTF-16 code units of a text as numbers."""
-    return F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), F.lit(1)), lambda x: F.conv(x, 16, 10).cast("long"))
+def _rolling_hashes(texts: pd.Series, start: int, factor: int) -> np.ndarray:
+    """Unsigned 32-bit ``h = h * factor + unit`` over the UTF-16 code units of each text, by powers of the factor."""
+    powers = np.ones(1, np.uint32)
+    out = np.zeros(len(texts), np.uint32)
+    for n, text in enumerate(texts):
+        units = np.frombuffer(("" if text is None else text).encode("utf-16-le"), np.uint16).astype(np.uint32)
+        while len(powers) <= len(units):
+            powers = np.concatenate([powers, powers * np.uint32(pow(factor, len(powers), WORD))])
+        out[n] = np.uint32((int((units * powers[: len(units)][::-1]).sum(dtype=np.uint64)) + start * int(powers[len(units)])) % WORD)
+    return out
 
 
-def _rolling_hash(text: Column, start: int, factor: int) -> Column:
-    """Unsigned 32-bit ``h = h * factor + unit`` over the code units."""
-    return F.aggregate(code_units(text), F.lit(start).cast("long"), lambda h, c: (h * factor + c) % WORD)
+def stable_hash(text: Column) -> Column:
+    """djb2 in base 36, seven digits at least; null stays null."""
 
+    @F.pandas_udf("long")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series(_rolling_hashes(texts, 5381, 33).astype(np.int64))
 
-def stable_hash(text: Column) -> Column:
-    """djb2 in base 36, seven digits at least."""
-    digits = F.lower(F.conv(_rolling_hash(text, 5381, 33).cast("string"), 10, 36))
-    return F.lpad(digits, 7, "0")
+    return F.when(text.isNotNull(), F.lpad(F.lower(F.conv(hashed(text).cast("string"), 10, 36)), 7, "0"))
 
 
 def page_hash(text: Column) -> Column:
-    """31-polynomial of 32 bits with sign, printed as ``h`` and the hex digits of its absolute value."""
-    h = _rolling_hash(text, 0, 31)
-    return F.concat(F.lit("h"), F.lower(F.hex(F.when(h >= WORD // 2, WORD - h).otherwise(h))))
+    """31-polynomial of 32 bits with sign, printed as ``h`` and the hex digits of its absolute value; null stays null."""
+
+    @F.pandas_udf("long")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.abs(_rolling_hashes(texts, 0, 31).view(np.int32).astype(np.int64)))
+
+    return F.when(text.isNotNull(), F.concat(F.lit("h"), F.lower(F.hex(hashed(text)))))
 
 
 def sentiment(text: Column, stars: Column) -> Column:

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from lakegraph.functions.columns import clamp, grade, half_up
 from lakegraph.functions.leads import is_true, present
 
-WON, CLOSED = F.col("stage") == "vinto", F.col("stage").isin("vinto", "perso")
+
+def won() -> Column:
+    return F.col("stage") == "vinto"
+
+
+def closed() -> Column:
+    return F.col("stage").isin("vinto", "perso")
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -23,13 +29,13 @@ def closure_patterns(deals: DataFrame, outreach: DataFrame) -> DataFrame:
     Segments need two closed deals, the whole three; without them there is no row. Ties go by name.
     """
     contact = outreach.groupBy("lead").agg(F.bool_or(F.col("status") == "interested").alias("interested"), *(F.bool_or(F.col("channel") == c).alias(c) for c in ("whatsapp", "email")), F.min("day").alias("first_day"))
-    closed = deals.where(CLOSED).join(contact, "lead", "left").withColumn("won", WON)
+    ended = deals.where(closed()).join(contact, "lead", "left").withColumn("won", won())
     score = F.col("score")
     tests = {
         "score_hot": score >= 70, "score_warm": (score >= 50) & (score < 70), "outreach_interested": F.col("interested"), "channel_whatsapp": F.col("whatsapp"),
         "channel_email": F.col("email"), "fast_close": F.col("day") - F.col("first_day") <= 14, "all": F.lit(True),
     }
-    rows = closed.select("won", F.explode(F.array_compact(F.array(*(F.when(test, F.lit(n)) for n, test in tests.items())))).alias("signal"))
+    rows = ended.select("won", F.explode(F.array_compact(F.array(*(F.when(test, F.lit(n)) for n, test in tests.items())))).alias("signal"))
     groups = rows.groupBy("signal").agg(F.count_if("won").alias("won"), F.count_if(~F.col("won")).alias("lost"))
     n = F.col("won") + F.col("lost")
     rated = groups.withColumn("segment", share(F.col("won"), n).cast("long"))
@@ -93,13 +99,13 @@ def top_in_group(rows: DataFrame, group: str, by: str, most: int) -> DataFrame:
 
 def best_group(deals: DataFrame, by: str) -> DataFrame:
     """The group with the best win rate, then revenue, then name."""
-    g = deals.groupBy(by).agg(F.count_if(CLOSED).alias("closed"), F.count_if(WON).alias("won"), F.round(F.sum(F.when(WON, F.col("deal_value"))), 2).alias("revenue")).where("closed > 0")
+    g = deals.groupBy(by).agg(F.count_if(closed()).alias("closed"), F.count_if(won()).alias("won"), F.round(F.sum(F.when(won(), F.col("deal_value"))), 2).alias("revenue")).where("closed > 0")
     return g.select(by, share(F.col("won"), F.col("closed")).cast("long").alias("win_rate"), "revenue").orderBy(F.desc("win_rate"), F.desc("revenue"), by).limit(1)
 
 
 def composite(deals: DataFrame, outreach: DataFrame, leads: DataFrame, knowledge: DataFrame, today: int) -> DataFrame:
     """One row: five components (0 to 100), their weighted score, its grade, and the segment with the greatest lift."""
-    p = deals.agg(F.count_if(WON).alias("won"), F.count_if(F.col("stage") == "perso").alias("lost"), F.count_if(~CLOSED).alias("active"), F.count_if(~CLOSED & (F.col("day") < today - 7)).alias("stagnant"))
+    p = deals.agg(F.count_if(won()).alias("won"), F.count_if(F.col("stage") == "perso").alias("lost"), F.count_if(~closed()).alias("active"), F.count_if(~closed() & (F.col("day") < today - 7)).alias("stagnant"))
     o = outreach.agg(share(F.count_if(F.col("status").isin("replied", "interested")), F.count("*")).alias("response"), share(F.count_if(F.col("status") == "interested"), F.count("*")).alias("interest"))
     e = leads.agg(F.count_distinct("city").alias("segments"), F.count("*").alias("total"), F.least(F.lit(8), F.count_distinct("category")).alias("groups"))
     k = knowledge.agg(F.count("*").alias("objects"))
@@ -123,7 +129,7 @@ def composite(deals: DataFrame, outreach: DataFrame, leads: DataFrame, knowledge
 def actions(deals: DataFrame, outreach: DataFrame, leads: DataFrame, signals: DataFrame, today: int) -> DataFrame:
     """``type, severity, n`` of the rules that count something, by severity, then type. One pass over each table."""
     d = deals.agg(
-        F.count_if(~CLOSED & (F.col("day") < today - 7)).alias("stagnant"), F.count_if((F.col("stage") == "proposta") & (F.col("day") < today - 3)).alias("urgent_proposal"),
+        F.count_if(~closed() & (F.col("day") < today - 7)).alias("stagnant"), F.count_if((F.col("stage") == "proposta") & (F.col("day") < today - 3)).alias("urgent_proposal"),
         F.count_if((F.col("stage") == "nuovo") & (F.col("score") >= 70)).alias("hot_uncontacted"), F.count_if((F.col("stage") == "meeting") & (F.col("day") < today - 5)).alias("stale_meeting"),
     )
     fresh = clamp(F.lit(100.0) - F.col("audited_days") / 30.0 * 100)

@@ -100,9 +100,15 @@ def rank_score(as_of: Column, city: str, category: str) -> Column:
     return F.least(F.lit(100), score).cast("long")
 
 
-def with_counts(entities: DataFrame, events: DataFrame, edges: DataFrame, observations: DataFrame) -> DataFrame:
-    """Counts of events, outgoing edges and observations; each is aggregated before its join."""
+def with_counts(entities: DataFrame, events: DataFrame, edges: DataFrame, observations: DataFrame, few: bool = False) -> DataFrame:
+    """Counts of events, outgoing edges and observations; each is aggregated before its join.
+
+    With ``few`` (a page of entities), only rows of these entities are counted: their ids go to each side first.
+    """
+    ids = entities.select("id")
+
     def counted(df: DataFrame, key: str, name: str) -> DataFrame:
+        df = df.join(F.broadcast(ids), F.col(key) == F.col("id"), "left_semi") if few else df
         return df.groupBy(F.col(key).alias("id")).agg(F.count("*").alias(name))
 
     out = entities

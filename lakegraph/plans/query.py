@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,7 +52,13 @@ class Query:
     offset: int = 0
     limit: int | None = 50
     exclude_merged: bool = False
-    hops: tuple[Relationship, ...] = field(default=())
+
+
+def _comparable(value: object) -> tuple[Column, object]:
+    """The column that a value compares with, and the value in its form: numbers, truth values (as text), texts."""
+    if isinstance(value, bool):
+        return F.lower("value_text"), str(value).lower()
+    return (F.col("value_num"), value) if isinstance(value, (int, float)) else (F.col("value_text"), value)
 
 
 def predicate(p: Observation) -> Column:
@@ -62,12 +68,12 @@ def predicate(p: Observation) -> Column:
     if p.operator == "not_null":
         return F.lit(True)
     if p.operator == "contains":
-        return contains_ci(F.col("value_text"), str(p.value))
-    sample = p.value[0] if p.operator == "in" and p.value else p.value
-    col = F.col("value_num") if isinstance(sample, (int, float)) and not isinstance(sample, bool) else F.col("value_text")
+        return contains_ci(F.coalesce("value_text", F.col("value_num").cast("string")), str(p.value))
     if p.operator == "in":
-        return col.isin(*p.value)
-    return {"eq": col == p.value, "neq": col != p.value, "gt": col > p.value, "gte": col >= p.value, "lt": col < p.value, "lte": col <= p.value}[p.operator]
+        pairs = [_comparable(v) for v in p.value]
+        return reduce(Column.__or__, [F.coalesce(col == v, F.lit(False)) for col, v in pairs], F.lit(False))
+    col, v = _comparable(p.value)
+    return {"eq": col == v, "neq": col != v, "gt": col > v, "gte": col >= v, "lt": col < v, "lte": col <= v}[p.operator]
 
 
 def having_observation(entities: DataFrame, observations: DataFrame, p: Observation, latest_only: bool = False) -> DataFrame:

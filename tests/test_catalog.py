@@ -1,9 +1,13 @@
 """Every query of the catalogue that has SQL gives the SQL's rows."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
-from lakegraph import catalog, lead_catalog  # noqa: F401 - the second adds to the first
+from lakegraph import analytics_catalog, catalog, lead_catalog, record_catalog, signal_catalog  # noqa: F401 - the others add to the first
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -18,7 +22,12 @@ def duck():
 
 
 def plain(v):
-    return round(v, 6) if isinstance(v, float) else v
+    return round(v, 6) if isinstance(v, float) else tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
+
+
+def test_entry_imports_without_a_session():
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and len(q) > 250"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
