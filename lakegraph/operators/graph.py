@@ -105,10 +105,10 @@ def with_counts(entities: DataFrame, events: DataFrame, edges: DataFrame, observ
 
     With ``few`` (a page of entities), only rows of these entities are counted: their ids go to each side first.
     """
-    ids = entities.select("id")
+    wanted = entities.select(F.col("id").alias("_wanted"))
 
     def counted(df: DataFrame, key: str, name: str) -> DataFrame:
-        df = df.join(F.broadcast(ids), F.col(key) == F.col("id"), "left_semi") if few else df
+        df = df.join(F.broadcast(wanted), F.col(key) == F.col("_wanted"), "left_semi") if few else df
         return df.groupBy(F.col(key).alias("id")).agg(F.count("*").alias(name))
 
     out = entities
