@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakegraph.llm.common import map_texts, numbered, set_aside, written
+from lakegraph.llm.common import map_texts, set_aside, written
 
 SEED = 42
 #: Rows of one bucket that one task verifies at once; larger buckets are dealt out in blocks of half as many.
@@ -222,7 +222,7 @@ WIDTH, SIMILAR = 5, 0.8
 #: MinHash bands and values a band: a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 40 = 1e-7.
 BANDS, VALUES = 40, 5
 #: Documents of one band key that are paired one by one; more are compared as a block, larger ones in blocks of half as many.
-FEW, BLOCK = 64, 1024
+FEW, BLOCK = 8, 1024
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * VALUES, 1), np.uint32)
 
 
@@ -291,19 +291,21 @@ def _block_links(table: pa.Table) -> pa.Table:
 def similar_links(nodes: DataFrame, texts: DataFrame, few: int = FEW, block: int = BLOCK) -> DataFrame:
     """``a, b``: verified links that join what the pairs with a common band and similarity ``SIMILAR`` join.
 
-    ``nodes`` has ``node, _row, _bands``, one row for each set of shingles; ``texts`` has ``_row, _text``. Pairs of small
-    buckets are listed once and verified; a large bucket gives spanning links of its exact similarities.
+    ``nodes`` has ``node, _tie, _bands``, one row for each set of shingles; ``texts`` has ``_tie, _text``. Buckets with the
+    same nodes count once. Pairs of small buckets are listed once and verified; a large bucket gives spanning links of its
+    exact similarities.
     """
     keys = nodes.select("node", F.explode("_bands").alias("key"))
-    shared = written(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1"), "bands")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("all")).where("n > 1")
+    shared = written(sizes.groupBy("n", "lo", "hi", "all").agg(F.min("key").alias("key")), "bands")
     more = written(keys.join(shared.where("n > 2").select("key", "n"), "key"), "buckets")
     some = more.where(F.col("n") <= few)
     pairs = some.select("key", F.col("node").alias("a")).join(some.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
     pairs = written(shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(pairs).distinct(), "pairs")
     hot = more.where(F.col("n") > few)
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(hot.select("node")).distinct()
-    chosen = nodes.select("node", "_row").join(wanted, "node")
-    found = texts.join(chosen, "_row").select("node", "_text")
+    chosen = nodes.select("node", "_tie").join(wanted, "node")
+    found = texts.join(chosen, "_tie").select("node", "_text").dropDuplicates(["node"])
     sets = written(map_texts(found, "_text", "_set binary", lambda ts: {"_set": [shingle_set(t).tobytes() for t in ts]}), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("_set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("_set").alias("y")), "b")
     links = both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
@@ -322,21 +324,27 @@ def distinct_rows(docs: DataFrame) -> DataFrame:
     Groups are the components of all pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
     MinHash bands find the candidates, the sets decide. Documents with equal sets are one node; texts without words too.
     Null ids come last, so that a group keeps a document with an id where it has one; rows that are equal in all columns
-    are one. Columns pass as they came, whatever their names; an empty table stays empty. The documents are written once
-    with row numbers; all decisions are made on narrow rows, and texts meet them in one join.
+    are one. Columns pass as they came, whatever their names; an empty table stays empty. All decisions are made on narrow
+    rows, which know a document by its id and the hash of all its columns.
     """
-    packed = numbered(docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), F.col("text").alias("_text")), "rows")
+    packed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id")).withColumn("_tie", F.xxhash64("_doc"))
 
     def make(texts: list[bytes | None]) -> dict[str, list]:
         sets = [shingle_set(t) for t in texts]
         return {"node": [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets], "_bands": [bands(s) for s in sets]}
 
-    narrow = packed.select("_row", "_id", F.xxhash64("_doc").alias("_tie"), "_text")
-    table = written(map_texts(narrow, "_text", "node long, _bands array<long>", make), "minhash")
-    first = F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_tie", "_row")).alias("w")
+    texts = packed.select("_id", "_tie", F.col("_doc.text").alias("_text"))
+    table = written(map_texts(texts, "_text", "node long, _bands array<long>", make), "minhash")
+    first = F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_tie")).alias("w")
     nodes = written(table.groupBy("node").agg(first, F.first("_bands").alias("_bands")), "nodes")
-    labels = components(similar_links(nodes.select("node", F.col("w._row").alias("_row"), "_bands"), packed.select("_row", "_text"))).withColumnRenamed("node", "_node")
+    labels = components(similar_links(nodes.select("node", "w._tie", "_bands"), texts.select("_tie", "_text"))).withColumnRenamed("node", "_node")
     member = nodes.join(labels, F.col("node") == F.col("_node"), "left").select("w", F.coalesce("label", "node").alias("_label"))
-    keep = member.groupBy("_label").agg(F.min("w").alias("w")).select(F.col("w._row").alias("_keep"))
-    kept = packed.select("_row", "_doc").join(keep, F.col("_row") == F.col("_keep"), "left_semi")
+    winners = member.groupBy("_label").agg(F.min("w").alias("w")).select(F.col("w._id").alias("_kid"), F.col("w._tie").alias("_ktie"))
+    same = F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_tie") == F.col("_ktie"))
+    # Rows that are equal in all columns are as one only where a winner has some; the others need no further exchange.
+    copies = table.groupBy("_id", "_tie").agg(F.count("*").alias("_n")).where("_n > 1")
+    keep = written(winners.join(copies, same, "left").select("_kid", "_ktie", F.col("_n").isNotNull().alias("_twice")), "winners")
+    kept = packed.join(keep.where("not _twice"), same, "left_semi")
+    if not keep.where("_twice").isEmpty():
+        kept = kept.unionByName(packed.join(keep.where("_twice"), same, "left_semi").dropDuplicates(["_id", "_tie"]))
     return kept.select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))
