@@ -55,11 +55,6 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table with ``_row``, a number of each row that later reads agree on."""
-    return written(df.withColumn("_row", F.monotonically_increasing_id()), name)
-
-
 def positions(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """Adds ``_pos``, each row's 0-based place in the total order, without ever gathering rows in one task.
 
@@ -120,6 +115,19 @@ def map_texts(df: DataFrame, text: str, schema: str, fn: Callable[..., dict[str,
     return df.mapInArrow(run, out)
 
 
+def text_udf(schema: str, fn: Callable[[list[bytes | None]], dict[str, list]]) -> Callable[[Column], Column]:
+    """A column function from texts to a struct of ``schema``; only the text goes to Python, other columns stay in the JVM."""
+    made = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(made)
+
+    @F.arrow_udf(made)
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [fn(utf8_bytes(texts.slice(at, SLICE))) for at in range(0, len(texts), SLICE)] or [fn([])]
+        return pa.StructArray.from_arrays([pa.array([x for p in parts for x in p[f.name]], f.type) for f in arrow], fields=list(arrow))
+
+    return run
+
+
 def unsigned_bytes(text: Column) -> Column:
     """UTF-8 length of a text, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakegraph.llm.common import numbered, positions, word_count, written
+from lakegraph.llm.common import positions, word_count, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -129,11 +129,15 @@ def mix_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
 def mix_rows(docs: DataFrame, seed: int = 0) -> DataFrame:
     """Whole documents, each as often as the mix takes it, with the columns they came with.
 
-    The documents are written once with row numbers; the mix is made on narrow rows, and texts meet their copies in one join.
+    The mix is made on narrow rows, which know a document by its id and the hash of all its columns; texts meet their copies
+    in one join. Rows that are equal in all columns share their copies.
     """
-    packed = numbered(docs.select(F.struct("*").alias("_doc")), "rows")
-    words, tie = word_count(F.col("_doc.text")).alias("_words"), F.xxhash64("_doc").alias("_tie")
-    narrow = packed.select("_row", F.col("_doc.doc_id").alias("_id"), F.col("_doc.source").cast("string").alias("_source"), words, tie)
-    taken = mix(narrow, seed).where("_copies > 0").select(F.col("_row").alias("_from"), "_copies")
-    both = packed.join(taken, F.col("_row") == F.col("_from")).select("_doc", F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy"))
-    return both.select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))
+    packed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id")).withColumn("_tie", F.xxhash64("_doc"))
+    narrow = packed.select("_id", "_tie", F.col("_doc.source").cast("string").alias("_source"), word_count(F.col("_doc.text")).alias("_words"))
+    taken = mix(narrow, seed).groupBy(F.col("_id").alias("_mid"), F.col("_tie").alias("_mtie")).agg(F.sum("_copies").cast("int").alias("_copies"), F.count("*").alias("_n")).where("_copies > 0")
+    taken = written(taken, "copies")
+    same = F.col("_id").eqNullSafe(F.col("_mid")) & (F.col("_tie") == F.col("_mtie"))
+    both = packed.join(taken.where("_n = 1"), same).select("_doc", "_copies")
+    if not taken.where("_n > 1").isEmpty():
+        both = both.unionByName(packed.join(taken.where("_n > 1"), same).dropDuplicates(["_id", "_tie"]).select("_doc", "_copies"))
+    return both.select("_doc", F.explode(F.sequence(F.lit(1), "_copies"))).select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))

@@ -8,13 +8,14 @@ trees; they only set the threshold. The sample is bounded; the threshold is cali
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakegraph.llm.common import map_texts, set_aside, written
+from lakegraph.llm.common import set_aside, text_udf, written
 
 #: The contract's statistics, and further ones that only the forest uses.
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -91,7 +92,8 @@ def statistics(docs: DataFrame, text: str) -> DataFrame:
         rows = [text_stats(t) for t in texts]
         return {f"_{n}": [r[i] for r in rows] for i, n in enumerate(NAMES)}
 
-    return map_texts(docs, text, ", ".join(f"_{n} long" for n in NAMES), make)
+    stats = text_udf(", ".join(f"_{n} long" for n in NAMES), make)
+    return docs.withColumn("_stats", stats(F.col(text))).select(*[c for c in docs.columns if c != text], "_stats.*")
 
 
 def base_failed() -> Column:
@@ -166,36 +168,63 @@ def _sample(table: DataFrame, rows: int) -> np.ndarray:
     return features(chosen.orderBy("_h", *names).limit(2 * rows).drop("_h").toPandas())
 
 
-def judge(docs: DataFrame, text: str, labels: DataFrame, seed: int = 0) -> DataFrame:
-    """Replaces ``text`` of rows with ``_id`` by their statistics (``_n_words`` ...), ``_score``, ``_base_failed`` and ``_kept``.
+@dataclass
+class Judge:
+    """A forest and the score (in ``BINS`` steps) from which on a row is rejected; beyond all scores without labels."""
 
-    A row is kept if the base rules pass and its score is not above the threshold: the least one that rejects at most
-    ``GOOD_LOSS`` of the labelled good rows (all labelled rows count, each as often as it occurs). Without labelled good
-    rows there is nothing to calibrate on and the forest rejects nothing. Null and empty texts have no words and fail;
-    repeated rows and ties are judged alike; null ids have no label; an empty table stays empty. A caller's column with
-    an output column's name goes on under its name and ``_given``.
-    """
+    forest: IsolationForest
+    threshold: int
+
+    def scores(self, stats: pd.DataFrame) -> np.ndarray:
+        return self.forest.scores(features(stats))
+
+    def kept(self, stats: pd.DataFrame) -> np.ndarray:
+        words, repeated = stats["_n_words"].to_numpy(), stats["_n_repeat_words"].to_numpy()
+        failed = (words < 10) | (repeated * 100 > words * 20)
+        return ~failed & (np.floor(self.scores(stats) * BINS) < self.threshold)
+
+
+def fit(table: DataFrame, labels: DataFrame, seed: int = 0) -> Judge:
+    """From rows with ``_id`` and statistics: the forest on a sample of those that pass the base rules, the threshold on all
+    labelled good ones, each as often as it occurs. Without them there is nothing to calibrate on and none is rejected."""
     names = [f"_{n}" for n in NAMES]
-    table = written(statistics(set_aside(docs, ", ".join([*names, "_score", "_base_failed", "_kept", "_label_id"])), text), "statistics")
     passed = table.where(~base_failed())
     good = labels.where("quality = 1").select(F.col("doc_id").alias("_label_id")).where("_label_id is not null").distinct()
-    forest = docs.sparkSession.sparkContext.broadcast(IsolationForest(_sample(passed, SAMPLE_ROWS), seed=seed))
+    judge = Judge(IsolationForest(_sample(passed, SAMPLE_ROWS), seed=seed), BINS + 1)
+    shared = table.sparkSession.sparkContext.broadcast(judge)
 
     @F.pandas_udf("double")
     def score(*cols: pd.Series) -> pd.Series:
-        return pd.Series(forest.value.scores(features(pd.DataFrame(dict(zip(names, cols, strict=True))))))
+        return pd.Series(shared.value.scores(pd.DataFrame(dict(zip(names, cols, strict=True)))))
 
     labelled = passed.select("_id", *names).join(good, F.col("_id") == F.col("_label_id"), "left_semi").select(score(*names).alias("_score"))
     counts = {r.b: r.n for r in labelled.groupBy(F.floor(F.col("_score") * BINS).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()}
-    total, above, threshold = sum(counts.values()), 0, BINS + 1
-    if total:
-        for b in range(BINS, -1, -1):
-            if above + counts.get(b, 0) > GOOD_LOSS * total:
-                break
-            above, threshold = above + counts.get(b, 0), b
-    scored = table.withColumn("_score", score(*names))
-    odd = F.floor(F.col("_score") * BINS) >= F.lit(threshold)
-    return scored.withColumn("_base_failed", base_failed()).withColumn("_kept", ~base_failed() & ~odd)
+    total, above = sum(counts.values()), 0
+    for b in range(BINS, -1, -1) if total else []:
+        if above + counts.get(b, 0) > GOOD_LOSS * total:
+            break
+        above, judge.threshold = above + counts.get(b, 0), b
+    return judge
+
+
+def judge(docs: DataFrame, text: str, labels: DataFrame, seed: int = 0) -> DataFrame:
+    """Replaces ``text`` of rows with ``_id`` by their statistics (``_n_words`` ...), ``_score``, ``_base_failed`` and ``_kept``.
+
+    A row is kept if the base rules pass and its score is not above the threshold: the least one that rejects at most
+    ``GOOD_LOSS`` of the labelled good rows. Without labelled good rows the forest rejects nothing. Null and empty texts
+    have no words and fail; repeated rows and ties are judged alike; null ids have no label; an empty table stays empty. A
+    caller's column with an output column's name goes on under its name and ``_given``.
+    """
+    names = [f"_{n}" for n in NAMES]
+    table = written(statistics(set_aside(docs, ", ".join([*names, "_score", "_base_failed", "_kept", "_stats"])), text), "statistics")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(table, labels, seed))
+
+    @F.pandas_udf("_score double, _kept boolean")
+    def judged(*cols: pd.Series) -> pd.DataFrame:
+        stats = pd.DataFrame(dict(zip(names, cols, strict=True)))
+        return pd.DataFrame({"_score": shared.value.scores(stats), "_kept": shared.value.kept(stats)})
+
+    return table.withColumn("_stats", judged(*names)).withColumn("_base_failed", base_failed()).select(*table.columns, "_base_failed", "_stats.*")
 
 
 def document_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -211,8 +240,14 @@ def document_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Whole documents that are kept, with the columns they came with, repeated ones included.
 
-    The documents are written once with their statistics and filtered where they lie, so that no text is shuffled.
+    The statistics are made twice, once to fit the forest and once to filter where the documents lie: that costs less than
+    to shuffle or copy all texts.
     """
-    packed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    kept = judge(packed, "_text", labels).where("_kept")
-    return kept.select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns))
+    table = written(statistics(docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), "_text"), "statistics")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(table, labels))
+
+    def make(texts: list[bytes | None]) -> dict[str, list]:
+        stats = pd.DataFrame([text_stats(t) for t in texts], columns=[f"_{n}" for n in NAMES], dtype="int64")
+        return {"kept": shared.value.kept(stats).tolist()}
+
+    return docs.where(text_udf("kept boolean", make)(F.col("text"))["kept"])
