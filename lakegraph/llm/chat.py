@@ -100,6 +100,25 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(pieces, lambda p: F.struct(unescaped(F.substring_index(p, BODY, 1)).alias("role"), unescaped(F.substring_index(F.substring_index(p, BODY, -1), END, 1)).alias("text")))
 
 
+def read_parts(body: Column, attachments: Column) -> Column:
+    """Parts (kind, text, ref, tokens) of a formatted turn's body, given the turn's attachments: what ``visit`` flattened.
+
+    No text holds a ``<``, so that a placeholder is told from a text that says the same. Neighbouring texts are one part;
+    empty ones are none.
+    """
+    mark = "<\\|(?:" + "|".join(MEDIA) + "):[0-9]+\\|>"
+    pieces = F.regexp_extract_all(body, F.lit(f"({mark}|[^<]+)"), F.lit(1))
+
+    def part(p: Column) -> Column:
+        n = F.regexp_extract(p, "^<\\|[a-z]+:([0-9]+)\\|>$", 1).try_cast("int")
+        a = F.get(attachments, n - 1)
+        return F.when(
+            n.isNotNull(), F.struct(a["kind"].alias("kind"), F.lit(None).cast("string").alias("text"), a["ref"].alias("ref"), a["tokens"].alias("tokens"))
+        ).otherwise(F.struct(F.lit("text").alias("kind"), unescaped(p).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("tokens")))
+
+    return F.transform(pieces, part)
+
+
 def read_masked(formatted: Column, spans: Column) -> Column:
     """The text under the loss mask, unescaped."""
     return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")

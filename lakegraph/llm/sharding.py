@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakegraph.llm.common import positions, unsigned_bytes
+from lakegraph.llm.common import positions, set_aside, unsigned_bytes
 
 BITS = 5
 SHARDS = 8
@@ -115,8 +115,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Whole documents with ``shard``, ``slot`` and ``curve``. A column that already has such a name is replaced."""
+    """Whole documents with ``shard``, ``slot`` and ``curve``. A column that already has such a name goes on under it and ``_given``."""
+    given = set_aside(docs, "shard, slot, curve")
     packed = docs.select(F.struct("*").alias("_doc"), F.col("source").cast("string").alias("_source"), F.col("lang").cast("string").alias("_lang"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text_hash"), unsigned_bytes(F.col("text")).alias("_size"))
     placed = hilbert_shards(packed, ["_source", "_lang"], F.col("_size"), [F.col("_id"), F.col("_text_hash")], shards)
-    own = {"shard", "slot", "curve"}
-    return placed.select(*(F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c.lower() not in own), F.col("_shard").alias("shard"), F.col("_slot").cast("long").alias("slot"), F.col("_curve").alias("curve"))
+    kept = [F.col(f"_doc.`{c}`").alias(new) for c, new in zip(docs.columns, given.columns, strict=True)]
+    return placed.select(*kept, F.col("_shard").alias("shard"), F.col("_slot").cast("long").alias("slot"), F.col("_curve").alias("curve"))

@@ -76,7 +76,31 @@ def test_sharding(spark, docs):
     assert sharding.shard_documents(empty(spark)).count() == 0
     clash = docs.withColumn("shard", docs.doc_id).withColumn("_pos", docs.doc_id)
     out = sharding.shard_rows(clash)
-    assert out.count() == docs.count() and set(out.columns) == {*docs.columns, "_pos", "shard", "slot", "curve"}
+    assert out.count() == docs.count() and set(out.columns) == {*docs.columns, "_pos", "shard_given", "shard", "slot", "curve"}
+
+
+def test_shards_prune(spark, tmp_path):
+    """Row-group statistics of the written shards rule out most rows for a filter on any dimension."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(2)
+    rows = [(i, "x" * 2 ** rng.randrange(12), rng.choice("abcdefgh"), rng.choice("stuvwxyz"), 1) for i in range(4000)]
+    made = spark.createDataFrame(rows, SCHEMA).withColumn("size", F.length("text"))
+    sharding.write_shards(sharding.hilbert_shards(made, ["source", "lang"], F.col("size"), [F.col("doc_id")], shards=64), str(tmp_path / "s"))
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "s").rglob("*.parquet")]
+    assert sum(f.num_rows for f in files) == 4000
+
+    def read(column, low, high):
+        kept = 0
+        for f in files:
+            at = f.schema.names.index(column)
+            for g in range(f.num_row_groups):
+                s = f.row_group(g).column(at).statistics
+                kept += f.row_group(g).num_rows * (s.min <= high and s.max >= low)
+        return kept
+
+    assert read("source", "c", "c") < 2600 and read("lang", "a", "a") < 2600 and read("size", 1, 1) < 2600
+    assert read("source", "c", "c") + read("lang", "a", "a") + read("size", 1, 1) < 6500
 
 
 # 2
@@ -186,7 +210,7 @@ def test_token_counts(spark):
     for i, t in enumerate(texts):
         n = len(library.encode(t or "", add_special_tokens=False).ids)
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 2048), repr(t)
-    whole = tokencount.prove_whole_tokens(library)
+    whole = tokencount.prove_whole_tokens(library, tokencount.word_pattern(library.to_str()))
     assert len(whole) > 10_000 and all(len(library.encode(w, add_special_tokens=False).ids) == 1 for w in whole[::50])
 
 
@@ -207,6 +231,7 @@ def test_chat(spark):
         turns.sort()
         text = "".join(f"{r}\n{x}\n" for _, r, _, x in turns)
         loss = "".join(x for _, r, _, x in turns if r == "assistant")
+        assert got[c].formatted_chars == sum(len(f"<|turn|>{chat_escape(r)}<|body|>{chat_escape(x)}<|end|>") for _, r, _, x in turns)
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), hashlib.sha256(text.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()), c
 
 
@@ -220,6 +245,11 @@ def test_chat_parts(spark):
     r = chat.format_conversations(df).first()
     assert r.formatted == "<|turn|>user<|body|>see &lt;<|image:1|><|audio:2|>end<|end|><|turn|>assistant<|body|><|end|>"
     assert [tuple(a) for a in r.attachments] == [(1, "image", "s3://i", 85), (2, "audio", "a.wav", 0)]
+    said = spark.createDataFrame([([("text", "<|image:1|> &lt; &amp;", None, None), ("document", None, "d.pdf", 7), ("image", None, "i", 1), ("text", "z", None, None)],), (None,), ([("text", "", None, None)],)], f"p {parts}")
+    seen = said.select(chat.visit(F.col("p")).alias("v")).select(chat.read_parts(F.col("v.text"), F.col("v.attachments")).alias("p"), "v.tokens").collect()
+    assert [[tuple(x) for x in r.p] for r in seen] == [[("text", "<|image:1|> &lt; &amp;", None, None), ("document", None, "d.pdf", 7), ("image", None, "i", 1), ("text", "z", None, None)], [], []]
+    assert [r.tokens for r in seen] == [8, 0, 0]
+    assert chat.conversation_digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 1
 
 
 # 7
@@ -519,7 +549,15 @@ def test_mixing(spark, docs):
     assert all(abs(taken[s] - target[s]) <= max(own[s]) for s in names)
     assert Counter(map(tuple, mixing.mix_documents(docs).collect())) == Counter(map(tuple, got))
     assert mixing.mix_documents(empty(spark)).count() == 0
-    assert mixing.mix_rows(docs).columns == docs.columns
+    twice = docs.unionByName(docs.where("doc_id = 903")).withColumn("_copies", docs.doc_id)
+    mixed = mixing.mix_rows(twice)
+    copies, want = Counter((r.doc_id, r.text) for r in mixed.collect()), Counter()
+    for r in mixing.mix_documents(twice).collect():
+        want[r.doc_id] += r.copies
+    got = Counter()
+    for (i, _), n in copies.items():
+        got[i] += n
+    assert mixed.columns == twice.columns and got == +want
 
 
 def test_pivotal_tree(spark):
@@ -541,3 +579,18 @@ def test_automaton_is_small():
     assert flat < 60 * 500_000 and len(a.sets) < 220_000
     spans, sets = a.hits([b"x", *shared, *items[7][1][30:]])
     assert spans == [(1, 51)] and a.names(sets) == {i for i, _ in items} and len(sets) < 60
+
+
+def test_token_counts_refuse_other_files(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    config = Tokenizer.from_file(public_tokenizers.path(tokencount.VOCABULARY)).to_str()
+    assert tokencount.word_pattern(config).findall("don't 12") == ["don", "'t", "1", "2"]
+    for a, b in (('"</w>"', '"@@"'), ('"Lowercase"', '"NFKC"'), ('"ByteLevel"', '"Whitespace"')):
+        with pytest.raises(ValueError):
+            tokencount.word_pattern(config.replace(a, b))
+    rows = spark.createDataFrame([("a b", 1), ("a b", 1), (None, 2)], "text string, _N_Bytes int")
+    got = tokencount.count_tokens(rows, "text", public_tokenizers.path(tokencount.VOCABULARY))
+    assert sorted(got.columns) == ["_N_Bytes_given", "_n_bytes", "_n_tokens"] and got.count() == 3
+    assert tokencount.document_tokens(spark.createDataFrame([], "doc_id long, text string")).count() == 0
