@@ -190,9 +190,10 @@ def event_names(t: Tables) -> DataFrame:
     return t.events().where("event_type = 'signup'").join(t.entities().select(F.col("id").alias("entity_id"), "name"), "entity_id", "left").select("id", "name")
 
 
-@query("j16_alert_fan_out", ", watch AS (SELECT 'u' || (c_custkey % 7) AS user_id, 'c:' || c_custkey AS entity_id FROM customer WHERE c_custkey < 100), dom AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages) SELECT DISTINCT user_id, ev.id AS event_id FROM ev JOIN watch USING (entity_id) WHERE event_type IN ('error', 'purchase')")
+@query("j16_alert_fan_out", ", watch AS (SELECT 'u' || (c_custkey % 7) AS user_id, 'c:' || c_custkey AS entity_id FROM customer) SELECT DISTINCT user_id, ev.id AS event_id FROM ev JOIN watch USING (entity_id) WHERE event_type IN ('error', 'purchase')")
 def fan_out(t: Tables) -> DataFrame:
-    watch = t.raw("customer").where("c_custkey < 100").select(F.concat(F.lit("u"), F.col("c_custkey") % 7).alias("user_id"), F.concat(F.lit("c:"), "c_custkey").alias("entity_id"))
+    """Events for the users who keep the entity; ``j16_alerts`` adds those who monitor its site."""
+    watch = t.raw("customer").select(F.concat(F.lit("u"), F.col("c_custkey") % 7).alias("user_id"), F.concat(F.lit("c:"), "c_custkey").alias("entity_id"))
     return t.events().where(F.col("event_type").isin("error", "purchase")).join(watch, "entity_id").select("user_id", F.col("id").alias("event_id")).distinct()
 
 
@@ -202,9 +203,9 @@ def drift(t: Tables) -> DataFrame:
     return hosts.join(t.entities().select(F.lower("name").alias("host")), "host", "left_anti")
 
 
-@query("j21_merge_chain", "SELECT id, CASE WHEN id LIKE 's:%7' THEN 's:' || (CAST(substr(id, 3) AS BIGINT) + 2) WHEN id LIKE 's:%8' THEN 's:' || (CAST(substr(id, 3) AS BIGINT) + 1) ELSE id END AS final_id FROM ent WHERE category = 'SUPPLIER'")
+@query("j21_merge_chain", "SELECT id, CASE WHEN id LIKE 's:%7' THEN 's:' || (CAST(substr(id, 3) AS BIGINT) + 2) WHEN id LIKE 's:%8' THEN 's:' || (CAST(substr(id, 3) AS BIGINT) + 1) ELSE id END AS final_id FROM ent")
 def merge_chain(t: Tables) -> DataFrame:
-    return graph.resolve_merges(t.entities().where("category = 'SUPPLIER'"))
+    return graph.resolve_merges(t.entities())
 
 
 # Aggregations
@@ -565,9 +566,9 @@ def modal_source(t: Tables) -> DataFrame:
 # Lifecycle and events
 
 
-@query("m2_merge_entities", ", m AS (SELECT id, CASE WHEN id LIKE 's:%7' THEN 's:' || (CAST(substr(id, 3) AS BIGINT) + 2) WHEN id LIKE 's:%8' THEN 's:' || (CAST(substr(id, 3) AS BIGINT) + 1) ELSE id END AS f FROM ent WHERE category = 'SUPPLIER') SELECT f AS source_id, target_id, max(confidence) AS confidence FROM rel JOIN m ON source_id = m.id WHERE relationship_type = 'sells_to' AND f <> target_id GROUP BY f, target_id")
+@query("m2_merge_entities", ", m AS (SELECT id, CASE WHEN id LIKE 's:%7' THEN 's:' || (CAST(substr(id, 3) AS BIGINT) + 2) WHEN id LIKE 's:%8' THEN 's:' || (CAST(substr(id, 3) AS BIGINT) + 1) ELSE id END AS f FROM ent) SELECT f AS source_id, target_id, max(confidence) AS confidence FROM rel JOIN m ON source_id = m.id WHERE relationship_type = 'sells_to' AND f <> target_id GROUP BY f, target_id")
 def merge_entities(t: Tables) -> DataFrame:
-    final = graph.resolve_merges(t.entities().where("category = 'SUPPLIER'"))
+    final = graph.resolve_merges(t.entities())
     e = t.relationships().where("relationship_type = 'sells_to'").join(final, F.col("source_id") == F.col("id"))
     return e.where("final_id <> target_id").groupBy(F.col("final_id").alias("source_id"), "target_id").agg(F.max("confidence").alias("confidence"))
 
