@@ -51,9 +51,10 @@ def consumed(stream: DataFrame, error: Column, name: str) -> DataFrame:
 
     path = new_path(stream.sparkSession, name)
 
-    def handle(batch: DataFrame, number: int) -> None:
+    def handle(batch: DataFrame, number: int) -> None:  # number -1: no rows, so that a stream without events leaves an empty table
         marked = batch.orderBy(F.desc("occurred_at")).withColumn("error", error).withColumn("processed", F.col("error").isNull())
         marked.write.mode("overwrite").parquet(f"{path}/batches/batch={number}")
 
+    handle(stream.sparkSession.createDataFrame([], stream.schema), -1)
     consume(stream, handle, f"{path}/state").awaitTermination()
     return stream.sparkSession.read.parquet(f"{path}/batches").drop("batch")
