@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakegraph.llm import chat, decontam, langid, mixing, pii, quality, sharding, simhash, tokencount, urlfilter
+from lakegraph.llm import chat, decontam, divergence, langid, mixing, pii, quality, sharding, simhash, tokencount, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": lambda s, d: simhash.document_components(_table(s, d, "documents")),
         "op9_quality": lambda s, d: quality.document_quality(_table(s, d, "documents"), _table(s, d, "labels")),
         "op10_mixing": lambda s, d: mixing.mix_documents(_table(s, d, "documents")),
+        "op11_source_divergence": lambda s, d: divergence.source_divergence(_table(s, d, "documents")),
     }
 
 
@@ -69,6 +70,32 @@ SELECT page_id, host, path, rule, CASE
 FROM judged
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), c AS (
+  SELECT lang, source, t, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM (
+    SELECT lang, source, unnest(w) AS t, 1 AS n, 0 AS docs FROM d UNION ALL SELECT lang, source, unnest(list_distinct(w)), 0, 1 FROM d) GROUP BY ALL
+), voc AS (SELECT lang, t, sum(n)::BIGINT AS n FROM c GROUP BY ALL HAVING sum(docs) >= 3
+), v AS (SELECT lang, count(*) AS v, sum(n) AS nl FROM voc GROUP BY lang
+), g AS (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce(nl, 0) AS nl, coalesce((SELECT sum(c.n) FROM c JOIN voc USING (lang, t) WHERE c.lang = x.lang AND c.source = x.source), 0) AS ng
+  FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN v USING (lang)
+), full_ AS (
+  SELECT g.lang, g.source, voc.t, coalesce(c.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.ng + g.v)::HUGEINT)::BIGINT AS p,
+         (1 + (1000000000::HUGEINT * (voc.n + 1)) // (g.nl + g.v)::HUGEINT)::BIGINT AS pl
+  FROM g JOIN voc USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = voc.t
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN full_ x ON x.lang = a.lang AND x.source = a.source LEFT JOIN full_ y ON y.lang = b.lang AND y.source = b.source AND y.t = x.t GROUP BY ALL
+), terms AS (SELECT lang, source, t AS item, ((p - pl) * (p - pl) // pl)::BIGINT AS value FROM full_ WHERE n > 0 AND p > pl)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pairs
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM terms) WHERE rank <= 200
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op3_url_filter": OP3_SQL}
+    return {"op11_source_divergence": OP11_SQL, "op2_decontamination": OP2_SQL, "op3_url_filter": OP3_SQL}
