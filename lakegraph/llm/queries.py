@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakegraph.llm import chat, decontam, divergence, langid, mixing, pii, quality, sharding, simhash, tokencount, urlfilter
+from lakegraph.llm import chat, decontam, divergence, langid, mixing, pii, prefixtrie, quality, sharding, simhash, tokencount, tokenfiles, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": lambda s, d: quality.document_quality(_table(s, d, "documents"), _table(s, d, "labels")),
         "op10_mixing": lambda s, d: mixing.mix_documents(_table(s, d, "documents")),
         "op11_source_divergence": lambda s, d: divergence.source_divergence(_table(s, d, "documents")),
+        "op12_prefix_trie": lambda s, d: prefixtrie.conversation_trie(_table(s, d, "conversations")),
+        "op13_token_files": lambda s, d: tokenfiles.document_files(_table(s, d, "documents")),
     }
 
 
@@ -96,6 +98,32 @@ UNION ALL
 SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM terms) WHERE rank <= 200
 """
 
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [1::BIGINT, 2, 3, 4, 5, 6, 7, 8]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, k, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND k <= h
+  UNION ALL SELECT conv_id, k, role, text FROM c JOIN t USING (conv_id) WHERE k > h
+), s AS (
+  SELECT c.conv_id, coalesce(list({'role': role, 'text': text} ORDER BY k) FILTER (WHERE k IS NOT NULL), []) AS q FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id
+), n AS (
+  SELECT q[1:d] AS key, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(q) = d), '') AS ends,
+         coalesce((count(*) - 1) * length(q[1:d][d].text), 0) AS saved
+  FROM (SELECT conv_id, q, unnest(generate_series(0, len(q))) AS d FROM s) GROUP BY q[1:d], d
+), kids AS (SELECT key[1:d - 1] AS key, d - 1 AS d, count(*) AS n FROM n WHERE d > 0 GROUP BY 1, 2
+), sub AS (
+  SELECT key[1:a] AS key, a AS d, sum(saved) AS saved, sum(leaf) AS leaves
+  FROM (SELECT n.key, n.saved, (kids.n IS NULL)::BIGINT AS leaf, unnest(generate_series(0, n.d)) AS a FROM n LEFT JOIN kids ON kids.key = n.key AND kids.d = n.d) GROUP BY 1, 2
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, sub.leaves::BIGINT AS n_leaves, sub.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN sub ON sub.key = n.key AND sub.d = n.d LEFT JOIN kids ON kids.key = n.key AND kids.d = n.d LEFT JOIN n p ON p.d = n.d - 1 AND p.key = n.key[1:n.d - 1]
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_source_divergence": OP11_SQL, "op2_decontamination": OP2_SQL, "op3_url_filter": OP3_SQL}
+    return {"op11_source_divergence": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op2_decontamination": OP2_SQL, "op3_url_filter": OP3_SQL}
