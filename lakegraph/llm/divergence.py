@@ -22,6 +22,8 @@ from lakegraph.llm.common import positions, written
 
 #: What stands between terms.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of text that a task splits at once; one text may have more.
+PART_BYTES = 8 << 20
 UNIT = 1_000_000_000
 #: Documents of a language that a kept term is in at least, and the ranks of terms that are reported.
 MIN_DOCS, TOP = 3, 200
@@ -38,9 +40,17 @@ def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(starts, append=len(ordered))
 
 
+def small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``PART_BYTES`` of text."""
+    part = np.cumsum(pc.binary_length(batch.column(2)).to_numpy()) // PART_BYTES
+    starts, sizes = runs(part)
+    for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+        yield batch.slice(start, size)
+
+
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``COUNTS`` of each batch of documents, and a row without term for each of its groups."""
-    for batch in batches:
+    """``COUNTS`` of some documents at a time, and a row without term for each of their groups."""
+    for batch in (part for whole in batches for part in small(whole)):
         lang, source, text = batch.columns
         words = pc.split_pattern_regex(pc.ascii_lower(text), BETWEEN)
         coded = words.flatten().dictionary_encode()
