@@ -7,7 +7,7 @@ at most ``RUN`` turns are joined in parallel with their loss masks, and only fin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Marks of the template. No escaped text holds a ``<``, so that marks can't be forged.
@@ -17,6 +17,10 @@ MEDIA = ("image", "audio", "document")
 TRAINED = "assistant"
 #: Turns that are joined at once.
 RUN = 256
+#: Ends of addresses that a text may link to, by the kind of part that they become, and the tokens that one expands to.
+LINKED = {"image": "png|jpg|jpeg|gif|webp|svg", "audio": "mp3|wav|ogg|flac", "document": "pdf|doc|docx|ppt|pptx"}
+EXPANDED = {"image": 256, "audio": 512, "document": 1024}
+LINK = r"(?i)https?://[^\s<>\"]+\.(?:" + "|".join(LINKED.values()) + ")(?![A-Za-z0-9])"
 
 
 def escaped(text: Column) -> Column:
@@ -48,34 +52,63 @@ def visit(parts: Column) -> Column:
     return F.struct(text.alias("text"), attachments.alias("attachments"), tokens.alias("tokens"))
 
 
+def parts_of(text: Column) -> Column:
+    """Parts of a text: links to images, audio and documents become parts of their kind, what stands between stays text.
+
+    A link's part has the address as its reference, so that reading the parts one after the other gives the text back.
+    """
+    none = F.lit(None).cast("string")
+
+    def plain(t: Column) -> Column:
+        return F.struct(F.lit("text").alias("kind"), t.alias("text"), none.alias("ref"), F.lit(None).cast("long").alias("tokens"))
+
+    def linked(link: Column) -> Column:
+        kind, tokens = none, F.lit(None).cast("long")
+        for k, ends in LINKED.items():
+            is_k = link.rlike(f"(?i)\\.(?:{ends})$")
+            kind, tokens = F.when(is_k, F.lit(k)).otherwise(kind), F.when(is_k, F.lit(EXPANDED[k]).cast("long")).otherwise(tokens)
+        return F.struct(kind.alias("kind"), none.alias("text"), link.alias("ref"), tokens.alias("tokens"))
+
+    whole = F.coalesce(text, F.lit(""))
+    links = F.regexp_extract_all(whole, F.lit(LINK), F.lit(0))
+    between = F.transform(F.split(whole, LINK, -1), plain)
+    mixed = F.flatten(F.transform(between, lambda p, i: F.when(F.get(links, i).isNull(), F.array(p)).otherwise(F.array(p, linked(F.get(links, i))))))
+    return F.when(F.contains(whole, F.lit("://")), mixed).otherwise(F.array(plain(whole)))
+
+
+SPANS = "array<struct<start:int,end:int,turn:int>>"
+
+
 def format_runs(turns: DataFrame, run: int = RUN) -> DataFrame:
     """``_conv, _order, _n, _formatted, _spans, _attachments``: runs of formatted turns, in order, from ``_conv, _turn, _role, _parts``.
 
-    ``_spans`` are the loss mask: start and end (code points in the run) of what trained roles say. Turns go by turn
-    (null first), then role, then text; repeated turns stay. Sorting is distributed, so that one conversation may have
-    any share of the rows.
+    ``_spans`` are the loss mask: start and end (code points in the run) of what trained roles say, and the turn; attachments
+    have the turn, too. Turns count from 1 in a run. Turns go by turn (null first), then role, text and attachments;
+    repeated turns stay. Sorting is distributed, so that one conversation may have any share of the rows.
     """
     said = turns.withColumn("_said", visit(F.col("_parts"))).drop("_parts")
     role = escaped(F.coalesce("_role", F.lit("")))
     said = said.withColumn("_head", F.concat(F.lit(TURN), role, F.lit(BODY))).withColumn("_plain", F.coalesce("_role", F.lit("")))
-    order = ["_conv", "_turn", "_plain", "_said.text"]
+    order = ["_conv", "_turn", "_plain", "_said.text", "_said.attachments"]
     laid = said.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
     rows = laid.groupBy("_conv", F.expr(f"_mid div {run}").alias("_order")).agg(F.sort_array(F.collect_list(F.struct("_mid", "_head", "_said", "_plain"))).alias("_rows"))
 
     def add(acc: Column, r: Column) -> Column:
         start = acc["at"] + F.length(r["_head"])
         end = start + F.length(r["_said"]["text"])
-        mask = F.when(r["_plain"] == TRAINED, F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["spans"])
-        return F.struct((end + len(END)).alias("at"), mask.alias("spans"))
+        turn = acc["turn"] + 1
+        mask = F.when(r["_plain"] == TRAINED, F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), turn.alias("turn"))))).otherwise(acc["spans"])
+        return F.struct((end + len(END)).alias("at"), turn.alias("turn"), mask.alias("spans"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("turn"), F.array().cast(SPANS).alias("spans"))
+    in_turn = F.transform("_rows", lambda r, i: F.transform(r["_said"]["attachments"], lambda a: F.struct((i + 1).cast("long").alias("turn"), a["ordinal"].alias("ordinal"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens"))))
     return rows.select(
         "_conv",
         "_order",
         F.size("_rows").cast("long").alias("_n"),
         F.array_join(F.transform("_rows", lambda r: F.concat(r["_head"], r["_said"]["text"], F.lit(END))), "").alias("_formatted"),
         F.aggregate("_rows", start, add, lambda acc: acc["spans"]).alias("_spans"),
-        F.flatten(F.transform("_rows", lambda r: r["_said"]["attachments"])).alias("_attachments"),
+        F.flatten(in_turn).alias("_attachments"),
     )
 
 
@@ -85,19 +118,43 @@ def joined(texts: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """``conv_id, n_turns, formatted, attachments`` for turns with ``conv_id, turn, role, parts``: the operator's output.
+    """``conv_id, n_turns, formatted, spans, attachments`` for turns with ``conv_id, turn, role, parts``: the operator's output.
 
-    A conversation's text is one value by nature, so it meets in one row; its turns don't.
+    ``spans`` are the loss mask (start, end in code points, turn); ``attachments`` have their turn (from 1), the ordinal that
+    their placeholder has in it, and a ``number`` that runs through the conversation. Turns without ``conv_id`` are one
+    conversation without id; null roles, parts and texts are empty; turns that tie stand by role, text and attachments, and
+    repeated ones stay; an empty table stays empty. Further columns are not looked at, whatever their names. A
+    conversation's text is one value by nature, so it meets in one row; its turns don't.
     """
     runs = format_runs(turns.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("role").alias("_role"), F.col("parts").alias("_parts")))
-    whole = runs.groupBy("_conv").agg(F.sum("_n").alias("n_turns"), joined(F.collect_list(F.struct("_order", F.col("_formatted").alias("text")))).alias("formatted"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_order", "_attachments"))), lambda x: x["_attachments"])).alias("attachments"))
-    return whole.withColumnRenamed("_conv", "conv_id")
+    before = Window.partitionBy("_conv").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)  # a row for each run
+    runs = runs.withColumns({"_turns": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_chars": F.coalesce(F.sum(F.length("_formatted")).over(before), F.lit(0))})
+    spans = F.transform("_spans", lambda x: F.struct((x["start"] + F.col("_chars")).alias("start"), (x["end"] + F.col("_chars")).alias("end"), (x["turn"] + F.col("_turns")).alias("turn")))
+    moved = F.transform("_attachments", lambda a: F.struct((a["turn"] + F.col("_turns")).alias("turn"), a["ordinal"].alias("ordinal"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))
+    whole = runs.select("_conv", "_n", F.struct("_order", F.col("_formatted").alias("text"), spans.alias("spans"), moved.alias("attachments")).alias("_run"))
+    whole = whole.groupBy("_conv").agg(F.sum("_n").alias("n_turns"), F.sort_array(F.collect_list("_run")).alias("_runs"))
+    numbered = F.transform(F.flatten("_runs.attachments"), lambda a, i: F.struct((i + 1).cast("long").alias("number"), a["turn"].alias("turn"), a["ordinal"].alias("ordinal"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))
+    return whole.select(F.col("_conv").alias("conv_id"), "n_turns", F.array_join("_runs.text", "").alias("formatted"), F.flatten("_runs.spans").alias("spans"), numbered.alias("attachments"))
+
+
+def read_body(body: Column, attachments: Column | None, turn: Column) -> Column:
+    """What a formatted turn's body says: texts unescaped, placeholders as what they refer to."""
+    if attachments is None:
+        return unescaped(body)
+    mine = F.filter(attachments, lambda a: a["turn"] == turn)
+    parts = F.array_join(F.transform(read_parts(body, mine), lambda p: F.coalesce(p["text"], p["ref"], F.lit(""))), "")
+    return F.when(F.size(mine) == 0, unescaped(body)).otherwise(parts)
+
+
+def read_turns(formatted: Column, attachments: Column | None = None) -> Column:
+    """Role and text of each turn, from formatted text and, where links became parts, its attachments."""
+    pieces = F.filter(F.split(formatted, r"<\|turn\|>"), lambda p: p != "")
 
+    def turn(p: Column, i: Column) -> Column:
+        body = F.substring_index(F.substring_index(p, BODY, -1), END, 1)
+        return F.struct(unescaped(F.substring_index(p, BODY, 1)).alias("role"), read_body(body, attachments, i + 1).alias("text"))
 
-def read_turns(formatted: Column) -> Column:
-    """Role and text of each turn, from formatted text alone."""
-    pieces = F.filter(F.split(formatted, r"<\|turn\|>"), lambda p: p != "")
-    return F.transform(pieces, lambda p: F.struct(unescaped(F.substring_index(p, BODY, 1)).alias("role"), unescaped(F.substring_index(F.substring_index(p, BODY, -1), END, 1)).alias("text")))
+    return F.transform(pieces, turn)
 
 
 def read_parts(body: Column, attachments: Column) -> Column:
@@ -119,9 +176,9 @@ def read_parts(body: Column, attachments: Column) -> Column:
     return F.transform(pieces, part)
 
 
-def read_masked(formatted: Column, spans: Column) -> Column:
-    """The text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+def read_masked(formatted: Column, spans: Column, attachments: Column | None = None) -> Column:
+    """What is said under the loss mask."""
+    return F.array_join(F.transform(spans, lambda s: read_body(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]), attachments, s["turn"])), "")
 
 
 def adversarial(conversations: DataFrame) -> DataFrame:
@@ -132,12 +189,23 @@ def adversarial(conversations: DataFrame) -> DataFrame:
 
 
 def conversation_digests(conversations: DataFrame) -> DataFrame:
-    """The query's digest: everything is read back from the formatted runs and their masks."""
+    """The query's digest: everything is read back from the formatted runs, their masks and their attachments.
+
+    Links in texts become typed parts. Nulls, ties, repeated turns and empty tables are treated as in
+    ``format_conversations``; conversation -7 is always there.
+    """
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     rows = rows.unionByName(adversarial(conversations))
-    part = F.struct(F.lit("text").alias("kind"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("tokens"))
-    runs = format_runs(rows.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("role").alias("_role"), F.array(part).alias("_parts")))
-    turns = F.array_join(F.transform(read_turns(F.col("_formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    read = runs.select("_conv", "_order", F.size(read_turns(F.col("_formatted"))).cast("long").alias("n"), turns.alias("turns"), read_masked(F.col("_formatted"), F.col("_spans")).alias("loss"), F.length("_formatted").cast("long").alias("chars"))
-    whole = read.groupBy("_conv").agg(F.sum("n").alias("n_turns"), joined(F.collect_list(F.struct("_order", F.col("turns").alias("text")))).alias("turns"), joined(F.collect_list(F.struct("_order", F.col("loss").alias("text")))).alias("loss"), F.sum("chars").alias("formatted_chars"))
-    return whole.select(F.col("_conv").alias("conv_id"), "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+    runs = format_runs(rows.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("role").alias("_role"), parts_of(F.col("text")).alias("_parts")))
+    said = read_turns(F.col("_formatted"), F.col("_attachments"))
+    turns = F.array_join(F.transform(said, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    tokens = F.aggregate("_attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"])
+    read = runs.select(
+        "_conv", "_order", F.size(said).cast("long").alias("n"), turns.alias("turns"), read_masked(F.col("_formatted"), F.col("_spans"), F.col("_attachments")).alias("loss"), F.length("_formatted").cast("long").alias("chars"),
+        F.size("_attachments").cast("long").alias("attached"), tokens.alias("tokens"),
+    )
+    whole = read.groupBy("_conv").agg(
+        F.sum("n").alias("n_turns"), joined(F.collect_list(F.struct("_order", F.col("turns").alias("text")))).alias("turns"), joined(F.collect_list(F.struct("_order", F.col("loss").alias("text")))).alias("loss"),
+        F.sum("chars").alias("formatted_chars"), F.sum("attached").alias("n_attachments"), F.sum("tokens").alias("expanded_tokens"),
+    )
+    return whole.select(F.col("_conv").alias("conv_id"), "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_attachments", "expanded_tokens")

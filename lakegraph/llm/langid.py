@@ -8,27 +8,31 @@ shortest code wins.
 
 from __future__ import annotations
 
+import io
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakegraph.llm.common import map_texts, set_aside, written
+from lakegraph.llm.common import map_texts, set_aside, utf8_bytes, written
 
 ORDER = 3
-#: Labelled rows for each language that the trees are grown on, about; rows are chosen by the hash of their text.
+#: Labelled texts for each language that the trees are grown on, at most; they are chosen by the hash of the text.
 SAMPLE_ROWS = 300
-#: Longest piece of a text (UTF-8 bytes) in that sample, and the languages whose trees are in memory at once.
+#: Longest piece of a text (UTF-8 bytes) in that sample.
 SAMPLE_BYTES = 32_768
-BLOCK_LANGUAGES = 64
 #: Bytes of the trees that are broadcast at once; a block of languages with larger trees is divided.
 MOST_BYTES = 128 << 20
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
 
+Levels = list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
 class ContextTrees:
     """Code lengths (bits) of bytes after their contexts, for each language; only what was seen is stored.
 
@@ -39,25 +43,41 @@ class ContextTrees:
     """
 
     def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER, alphabet: bytes = b""):
-        self.langs, self.order = sorted(texts), order
-        pad = b"\0" * order
-        joined = {lang: np.frombuffer(pad + pad.join(t.lower() for t in texts[lang]), np.uint8) for lang in self.langs}
-        seen = np.unique(np.concatenate([*joined.values(), np.frombuffer(b"\0" + alphabet.lower(), np.uint8)]))
-        self.size = a = len(seen) + 1
-        self.symbol = np.full(256, a - 1, np.int64)
-        self.symbol[seen] = np.arange(len(seen))
+        seen = b"".join(t for some in texts.values() for t in some)
+        self._take_alphabet(seen + alphabet, order)
+        self._merge({lang: self.levels(some) for lang, some in texts.items()})
+
+    @classmethod
+    def merged(cls, levels: dict[str, Levels], alphabet: bytes, order: int = ORDER) -> ContextTrees:
+        """Trees of several languages from what ``levels`` made of each."""
+        trees = cls({}, order, alphabet)
+        trees._merge(levels)
+        return trees
+
+    def _take_alphabet(self, seen: bytes, order: int) -> None:
+        known = np.unique(np.frombuffer(b"\0" + seen.lower(), np.uint8))
+        self.order, self.size = order, len(known) + 1
+        self.symbol = np.full(256, self.size - 1, np.int64)
+        self.symbol[known] = np.arange(len(known))
         self.symbol[65:91] = self.symbol[97:123]
-        streams = [self.symbol[x] for x in joined.values()]
-        own = [self._counted(s) for s in streams]
+
+    def levels(self, texts: list[bytes]) -> Levels:
+        """One language: for each order its keys, their lengths, its contexts and their escape lengths."""
+        pad = b"\0" * self.order
+        return self._counted(self.symbol[np.frombuffer(pad + pad.join(texts), np.uint8)])
+
+    def _merge(self, levels: dict[str, Levels]) -> None:
+        self.langs, a = sorted(levels), self.size
+        own = [levels[lang] for lang in self.langs]
         self.keys, self.bits, self.contexts, self.escapes = [], [], [], []
         none = np.zeros(0, np.int64)
-        for k in range(order + 1):
+        for k in range(self.order + 1):
             keys = np.unique(np.concatenate([x[k][0] for x in own])) if own else none
             contexts = np.unique(keys // a)
             bits, escapes = np.zeros((len(keys), len(own)), np.float32), np.zeros((len(contexts), len(own)), np.float32)
             up = np.searchsorted(self.keys[k - 1], keys % a**k) if k else none
-            for n, levels in enumerate(own):
-                mine, length, known, escape = levels[k]
+            for n, known_levels in enumerate(own):
+                mine, length, known, escape = known_levels[k]
                 escapes[np.searchsorted(contexts, known), n] = escape
                 below = self.bits[k - 1][up, n] if k else np.float32(np.log2(a))
                 bits[:, n] = below + escapes[np.searchsorted(contexts, keys // a), n]
@@ -67,8 +87,7 @@ class ContextTrees:
             self.contexts.append(contexts)
             self.escapes.append(escapes)
 
-    def _counted(self, s: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-        """One language: for each order its keys, their lengths, its contexts and their escape lengths."""
+    def _counted(self, s: np.ndarray) -> Levels:
         a, out = self.size, []
         for k in range(self.order + 1):
             code = self._codes(s, k + 1)
@@ -145,52 +164,74 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(
-    labelled: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, block: int = BLOCK_LANGUAGES, tree_bytes: int = MOST_BYTES
-) -> Iterator[ContextTrees]:
-    """From ``lang, text``: trees of all languages, part by part, from a bounded sample that is the same for the same rows.
+def sampled(labelled: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """``lang, _h, text``: of each language the ``rows`` distinct texts of the least hashes, or all where there are no more.
 
-    All distinct texts of a language are taken where there are no more than ``rows``, else about so many; of a text
-    above ``most_bytes`` a piece from a place that its hash gives.
+    The hashes are ranked in each task first, then among the tasks' least ones, so that a language of any size hands on
+    ``rows`` hashes a task. Of a text above ``most_bytes`` a piece is taken from a place that its hash gives.
     """
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") > 0)).withColumn("_h", F.xxhash64("text"))
-    bars = usable.select("lang", "_h").distinct().groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.expr(f"1 + {rows} * 1000000 div n").alias("bar"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    least = usable.select("lang", "_h").distinct().withColumn("_rank", rank).where(F.col("_rank") <= rows).select("lang", "_h")
     piece = most_bytes // 4
     start = F.pmod(F.xxhash64("_h"), F.greatest(F.lit(1), F.length("text") - piece + 1)).cast("int") + 1
     part = F.when(F.octet_length("text") <= most_bytes, F.col("text")).otherwise(F.substring("text", start, F.lit(piece)))
-    chosen = usable.join(F.broadcast(bars), "lang").where(F.pmod("_h", F.lit(1_000_000)) < F.col("bar"))
-    sample = written(chosen.select("lang", "_h", part.alias("text")).dropDuplicates(["lang", "_h"]), "language-sample")
-    langs = sorted(r.lang for r in sample.select("lang").distinct().collect())
-    blocks = [langs[i : i + block] for i in range(0, len(langs), block)]
+    return usable.join(written(least, "language-hashes"), ["lang", "_h"], "left_semi").select("lang", "_h", part.alias("text")).dropDuplicates(["lang", "_h"])
+
+
+#: All bytes, so that languages can be counted apart and compared.
+ALPHABET = bytes(range(256))
+LEVELS = "lang string, size long, levels binary"
 
-    def texts(some: list[str]):
-        return ((r.lang, r.text.encode()) for r in sample.where(F.col("lang").isin(some)).orderBy("lang", "_h").toLocalIterator())
 
-    alphabet: set[int] = set()
-    for some in blocks:
-        for _, t in texts(some):
-            alphabet.update(t.lower())
+def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One language's texts become its levels, in one row."""
+    lang, texts = None, []
+    for batch in batches:
+        lang = batch.column("lang")[0].as_py() if batch.num_rows else lang
+        texts += list(zip(batch.column("_h").to_pylist(), utf8_bytes(batch.column("text")), strict=True))
+    levels = ContextTrees({}, alphabet=ALPHABET).levels([t for _, t in sorted(texts)])
+    packed = io.BytesIO()
+    np.savez(packed, *(x.astype(np.float32) if x.dtype == np.float64 else x for level in levels for x in level))
+    yield pa.RecordBatch.from_pydict({"lang": [lang], "size": pa.array([sum(x.nbytes for level in levels for x in level)], pa.int64()), "levels": pa.array([packed.getvalue()], pa.binary())})
 
-    def grow(some: list[str]) -> ContextTrees:
-        found: dict[str, list[bytes]] = {}
-        for lang, t in texts(some):
-            found.setdefault(lang, []).append(t)
-        return ContextTrees(found, alphabet=bytes(sorted(alphabet)))
 
-    for some in blocks:
-        yield from _bounded(grow, some, tree_bytes)
+def _unpacked(levels: bytes) -> Levels:
+    with np.load(io.BytesIO(levels)) as found:
+        flat = [found[f"arr_{k}"] for k in range(len(found.files))]
+    return [tuple(flat[k : k + 4]) for k in range(0, len(flat), 4)]
 
 
-def _bounded(grow: Callable[[list[str]], ContextTrees], langs: list[str], most_bytes: int) -> Iterator[ContextTrees]:
+def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, tree_bytes: int = MOST_BYTES) -> Iterator[ContextTrees]:
+    """From ``lang, text``: trees of all languages, part by part, from a bounded sample that is the same for the same rows.
+
+    Each language is counted by a task; the driver only merges counted languages, as many at a time as have a quarter of
+    ``tree_bytes`` (or one), and halves a part whose trees would be larger than ``tree_bytes``.
+    """
+    grown = written(sampled(labelled, rows, most_bytes).groupBy("lang").applyInArrow(_grow, LEVELS), "language-levels")
+    part, held = [], 0
+    for r in grown.select("lang", "size").orderBy("lang").collect():
+        if part and held + r["size"] > tree_bytes // 4:
+            yield from _bounded(grown, part, tree_bytes)
+            part, held = [], 0
+        part.append(r["lang"])
+        held += r["size"]
+    if part:
+        yield from _bounded(grown, part, tree_bytes)
+
+
+def _bounded(grown: DataFrame, langs: list[str], most_bytes: int) -> Iterator[ContextTrees]:
     """The trees of some languages, in as many parts as keep each within ``most_bytes`` (one language is never divided)."""
-    trees = grow(langs)
+    rows = grown.where(F.col("lang").isin(langs)).collect()
+    trees = ContextTrees.merged({r["lang"]: _unpacked(r["levels"]) for r in rows}, ALPHABET)
+    del rows
     if trees.bytes <= most_bytes or len(langs) == 1:
         yield trees
         return
     del trees
     half = len(langs) // 2
-    yield from _bounded(grow, langs[:half], most_bytes)
-    yield from _bounded(grow, langs[half:], most_bytes)
+    yield from _bounded(grown, langs[:half], most_bytes)
+    yield from _bounded(grown, langs[half:], most_bytes)
 
 
 OUT = "_lang string, _bits double, _weight double, _judged string, _score double"

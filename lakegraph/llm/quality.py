@@ -161,11 +161,22 @@ class IsolationForest:
 
 
 def _sample(table: DataFrame, rows: int) -> np.ndarray:
-    """At most about ``rows`` rows, chosen by hash so that the same table always gives the same ones; copies share a fate."""
+    """About ``rows`` rows (all, if there are no more), chosen by hash so that the same table always gives the same ones; copies share a fate.
+
+    The 64-bit hash is held against a bar that leaves so many of any number of rows; where copies leave none, the least
+    hashes are taken.
+    """
     n, names = table.count(), [f"_{x}" for x in NAMES]
-    h = F.pmod(F.xxhash64("_id", *names), F.lit(1_000_000))
-    chosen = table.select(*names, h.alias("_h")).where(F.col("_h") < (1_000_000 if n <= rows else int(1_000_000 * rows / n)))
-    return features(chosen.orderBy("_h", *names).limit(2 * rows).drop("_h").toPandas())
+    hashed = table.select(*names, F.xxhash64("_id", *names).alias("_h"))
+    chosen = hashed.where(F.col("_h") <= F.lit(hash_bar(rows, n))).orderBy("_h", *names).limit(2 * rows).drop("_h").toPandas()
+    if n and chosen.empty:
+        chosen = hashed.orderBy("_h", *names).limit(rows).drop("_h").toPandas()
+    return features(chosen)
+
+
+def hash_bar(rows: int, n: int) -> int:
+    """The greatest of 64-bit signed hashes of which ``rows`` of ``n`` are no greater."""
+    return 2**63 - 1 if n <= rows else 2**64 * rows // n - 2**63
 
 
 @dataclass
@@ -186,10 +197,10 @@ class Judge:
 
 def fit(table: DataFrame, labels: DataFrame, seed: int = 0) -> Judge:
     """From rows with ``_id`` and statistics: the forest on a sample of those that pass the base rules, the threshold on all
-    labelled good ones, each as often as it occurs. Without them there is nothing to calibrate on and none is rejected."""
+    labelled ones, each as often as it occurs; an id that is labelled both ways counts as good."""
     names = [f"_{n}" for n in NAMES]
     passed = table.where(~base_failed())
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("_label_id")).where("_label_id is not null").distinct()
+    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("_label_id")).agg(F.max("quality").alias("_good"))
     judge = Judge(IsolationForest(_sample(passed, SAMPLE_ROWS), seed=seed), BINS + 1)
     shared = table.sparkSession.sparkContext.broadcast(judge)
 
@@ -197,21 +208,35 @@ def fit(table: DataFrame, labels: DataFrame, seed: int = 0) -> Judge:
     def score(*cols: pd.Series) -> pd.Series:
         return pd.Series(shared.value.scores(pd.DataFrame(dict(zip(names, cols, strict=True)))))
 
-    labelled = passed.select("_id", *names).join(good, F.col("_id") == F.col("_label_id"), "left_semi").select(score(*names).alias("_score"))
-    counts = {r.b: r.n for r in labelled.groupBy(F.floor(F.col("_score") * BINS).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()}
-    total, above = sum(counts.values()), 0
-    for b in range(BINS, -1, -1) if total else []:
-        if above + counts.get(b, 0) > GOOD_LOSS * total:
-            break
-        above, judge.threshold = above + counts.get(b, 0), b
+    labelled = passed.select("_id", *names).join(known, F.col("_id") == F.col("_label_id")).select("_good", score(*names).alias("_score"))
+    counts = labelled.groupBy("_good", F.floor(F.col("_score") * BINS).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()
+    judge.threshold = threshold({r.b: r.n for r in counts if r["_good"] == 1}, {r.b: r.n for r in counts if r["_good"] == 0})
     return judge
 
 
+def threshold(good: dict[int, int], bad: dict[int, int]) -> int:
+    """The step from which on rows are rejected, from the labelled rows of each step.
+
+    Of the steps that lose at most ``GOOD_LOSS`` of the good rows, the one with the greatest difference between the shares of
+    bad and of good rows that it rejects, the highest of several; without bad rows the lowest; without good rows none.
+    """
+    all_good, all_bad = sum(good.values()), sum(bad.values())
+    lost, caught, best = 0, 0, (0.0, BINS + 1)
+    for b in range(BINS, -1, -1) if all_good else []:
+        lost, caught = lost + good.get(b, 0), caught + bad.get(b, 0)
+        if lost > GOOD_LOSS * all_good:
+            break
+        gain = caught / all_bad - lost / all_good if all_bad else 1.0 + BINS - b
+        if gain > best[0]:
+            best = (gain, b)
+    return best[1]
+
+
 def judge(docs: DataFrame, text: str, labels: DataFrame, seed: int = 0) -> DataFrame:
     """Replaces ``text`` of rows with ``_id`` by their statistics (``_n_words`` ...), ``_score``, ``_base_failed`` and ``_kept``.
 
-    A row is kept if the base rules pass and its score is not above the threshold: the least one that rejects at most
-    ``GOOD_LOSS`` of the labelled good rows. Without labelled good rows the forest rejects nothing. Null and empty texts
+    A row is kept if the base rules pass and its score is under the threshold: of those that reject at most ``GOOD_LOSS`` of
+    the labelled good rows the one that tells bad from good best. Without labelled good rows the forest rejects nothing. Null and empty texts
     have no words and fail; repeated rows and ties are judged alike; null ids have no label; an empty table stays empty. A
     caller's column with an output column's name goes on under its name and ``_given``.
     """
@@ -238,7 +263,9 @@ def document_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Whole documents that are kept, with the columns they came with, repeated ones included.
+    """Whole documents that are kept, with the columns they came with (any names), repeated ones included.
+
+    Nulls, empty texts, ties and empty tables are treated as ``judge`` treats them.
 
     The statistics are made twice, once to fit the forest and once to filter where the documents lie: that costs less than
     to shuffle or copy all texts.

@@ -244,7 +244,8 @@ def test_chat_parts(spark):
     df = spark.createDataFrame([(1, 0, "user", [("text", "see <", None, None), ("image", None, "s3://i", 85), None, ("audio", None, "a.wav", None), (None, "end", None, None)]), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts {parts}")
     r = chat.format_conversations(df).first()
     assert r.formatted == "<|turn|>user<|body|>see &lt;<|image:1|><|audio:2|>end<|end|><|turn|>assistant<|body|><|end|>"
-    assert [tuple(a) for a in r.attachments] == [(1, "image", "s3://i", 85), (2, "audio", "a.wav", 0)]
+    assert [tuple(a) for a in r.attachments] == [(1, 1, 1, "image", "s3://i", 85), (2, 1, 2, "audio", "a.wav", 0)]
+    assert [tuple(x) for x in r.spans] == [(r.formatted.index("assistant") + len("assistant<|body|>"),) * 2 + (2,)]
     said = spark.createDataFrame([([("text", "<|image:1|> &lt; &amp;", None, None), ("document", None, "d.pdf", 7), ("image", None, "i", 1), ("text", "z", None, None)],), (None,), ([("text", "", None, None)],)], f"p {parts}")
     seen = said.select(chat.visit(F.col("p")).alias("v")).select(chat.read_parts(F.col("v.text"), F.col("v.attachments")).alias("p"), "v.tokens").collect()
     assert [[tuple(x) for x in r.p] for r in seen] == [[("text", "<|image:1|> &lt; &amp;", None, None), ("document", None, "d.pdf", 7), ("image", None, "i", 1), ("text", "z", None, None)], [], []]
@@ -252,6 +253,27 @@ def test_chat_parts(spark):
     assert chat.conversation_digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 1
 
 
+def test_chat_attachments_run_through_the_conversation(spark):
+    parts = "array<struct<kind:string,text:string,ref:string,tokens:bigint>>"
+    turns = [(1, t, "assistant" if t % 2 else "user", [("text", f"turn {t} ", None, None), ("image", None, f"i{t}.png", 10)]) for t in range(600)]
+    df = spark.createDataFrame(turns + [(None, 0, None, [("audio", None, "a", 1)])], f"conv_id long, turn long, role string, parts {parts}").withColumn("_said", F.lit(1)).withColumn("spans", F.lit(2)).repartition(4)
+    r = next(x for x in chat.format_conversations(df).collect() if x.conv_id == 1)
+    assert [tuple(a) for a in r.attachments] == [(t + 1, t + 1, 1, "image", f"i{t}.png", 10) for t in range(600)]
+    assert [(r.formatted[x.start : x.end], x.turn) for x in r.spans] == [(f"turn {t} <|image:1|>", t + 1) for t in range(1, 600, 2)]
+
+
+def test_chat_links_become_parts(spark):
+    texts = ["see https://a.it/x.png and HTTP://b.it/y.PDF.", "https://a.it/x.pngs http://c.it/", "https://a.it/1.wav", "a < b https://a.it/&<x.jpg", None, "two https://a.it/1.gif https://a.it/2.gif", "<|image:1|> http://q.it/z.jpg"]
+    data = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)]
+    r = next(x for x in chat.conversation_digests(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect() if x.conv_id == 1)
+    whole = "".join(f"{role}\n{t or ''}\n" for _, _, role, t in data)
+    assert r.turns_sha256 == hashlib.sha256(whole.encode()).hexdigest()
+    loss = "".join(t or "" for _, _, role, t in data if role == "assistant")
+    assert (r.loss_sha256, r.loss_chars) == (hashlib.sha256(loss.encode()).hexdigest(), len(loss))
+    kinds = ["image", "document", "audio", "image", "image", "image"]
+    assert (r.n_attachments, r.expanded_tokens) == (6, sum(chat.EXPANDED[k] for k in kinds))
+
+
 # 7
 
 
@@ -322,7 +344,7 @@ def test_every_language_is_learned(spark):
     labelled = spark.createDataFrame(rows, "lang string, text string")
     one = [(lang, texts[0]) for lang, texts in made.items()]
     asked = spark.createDataFrame(one, "lang string, text string").withColumn("_Score", F.lit("mine"))
-    whole = langid.identify(asked, "text", langid.learn(labelled, block=100)).orderBy("lang").collect()
+    whole = langid.identify(asked, "text", langid.learn(labelled)).orderBy("lang").collect()
     assert whole[0]._Score_given == "mine"
     assert all(r.lang == r._lang for r in whole)
     trees = list(langid.learn(labelled, tree_bytes=1_000_000))
@@ -332,6 +354,18 @@ def test_every_language_is_learned(spark):
     assert np.allclose([r._score for r in parts], [r._score for r in whole])
 
 
+def test_language_sample_is_bounded(spark):
+    rows = [("a", f"text {i % 50}") for i in range(400)] + [("b", "one")] * 300 + [("c", "\u0436" * 40_000)]
+    labelled = spark.createDataFrame(rows, "lang string, text string").repartition(6)
+    got = langid.sampled(labelled, rows=5, most_bytes=1000).collect()
+    hashes = {r[0] for r in labelled.where("lang = 'a'").select(F.xxhash64("text")).distinct().collect()}
+    assert {r._h for r in got if r.lang == "a"} == set(sorted(hashes)[:5])
+    assert sorted(Counter(r.lang for r in got).items()) == [("a", 5), ("b", 1), ("c", 1)]
+    assert all(len(r.text.encode()) <= 1000 for r in got)
+    trees = list(langid.learn(labelled, rows=5, tree_bytes=1))
+    assert [t.langs for t in trees] == [["a"], ["b"], ["c"]]
+
+
 # 8
 
 
@@ -597,3 +631,14 @@ def test_token_counts_refuse_other_files(spark):
     got = tokencount.count_tokens(rows, "text", public_tokenizers.path(tokencount.VOCABULARY))
     assert sorted(got.columns) == ["_N_Bytes_given", "_n_bytes", "_n_tokens"] and got.count() == 3
     assert tokencount.document_tokens(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_quality_bar_and_threshold():
+    assert quality.hash_bar(10, 10) == 2**63 - 1
+    for n in (10**5, 10**11, 10**17):
+        share = (quality.hash_bar(20_000, n) + 2**63) / 2**64
+        assert 0.99 < share * n / 20_000 < 1.01
+    good, bad = {300: 980, 500: 15, 700: 4, 800: 1}, {500: 3, 700: 40, 800: 7}
+    assert quality.threshold(good, bad) == 700  # 500 would lose two per cent
+    assert quality.threshold(good, {}) == 501 and quality.threshold({}, bad) == quality.BINS + 1
+    assert quality.threshold({300: 1000}, {600: 5}) == 600  # no good row is lost for nothing
