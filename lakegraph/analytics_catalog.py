@@ -305,10 +305,10 @@ def registry_growth(t: Tables) -> DataFrame:
 # State over ordered rows
 
 
-@query("e6_monotone_results", "SELECT key, max_by(id, n) AS id, count(*) AS seen FROM (SELECT id, CAST(substr(id, 3) AS BIGINT) AS n, coalesce(nullif(site, 'N/D'), name) AS key FROM lead WHERE score < 90) GROUP BY key ORDER BY min(n) LIMIT 10000")
+@query("e6_monotone_results", "SELECT key, max_by(id, n) AS id, count(*) AS seen FROM (SELECT id, CAST(substr(id, 3) AS BIGINT) AS n, coalesce(nullif(site, 'N/D'), name) AS key FROM lead) GROUP BY key ORDER BY min(n) LIMIT 10000")
 def monotone_results(t: Tables) -> DataFrame:
     """Batches in order: a key that was shown stays, its newest row is shown, and the list has at most ten thousand rows."""
-    rows = leads(t).where("score < 90").select("id", F.substring("id", 3, 20).cast("long").alias("n"), F.coalesce(F.nullif(F.col("site"), F.lit("N/D")), "name").alias("key"))
+    rows = leads(t).select("id", F.substring("id", 3, 20).cast("long").alias("n"), F.coalesce(F.nullif(F.col("site"), F.lit("N/D")), "name").alias("key"))
     return Y.accumulated(rows, "key", "n", 10_000).select("key", "id", "seen")
 
 
@@ -328,26 +328,31 @@ SNAP_SQL = """, sn AS (SELECT event_id AS id, user_id AS entity, ts AS tm, event
   CASE WHEN p5 <> email THEN 'email' || CASE WHEN email THEN '+' ELSE '-' END END, CASE WHEN p6 <> site THEN 'site' || CASE WHEN site THEN '+' ELSE '-' END END, CASE WHEN abs(rating - p7) >= 0.3::DOUBLE - 1e-9 THEN 'rating' || CASE WHEN rating > p7 THEN '+' ELSE '-' END END, CASE WHEN p6 <> site THEN 'website_status' || CASE WHEN site THEN '+' ELSE '-' END END], lambda x: x IS NOT NULL)) AS change FROM pv WHERE had IS NOT NULL""")
 def all_changes(t: Tables) -> DataFrame:
     """Changes between an entity's snapshots: six flags, the rating by 0.3 and more, and the site's status."""
+    snaps, flags = snapshots(t.raw("events"))
+    return Y.changes(snaps, flags, "rating").select("id", "change")
+
+
+def snapshots(events: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Events as snapshots of their user, and the names of the flags."""
     n = F.col("event_id")
     flags = {"meta_pixel": n % 2 == 0, "google_tag_manager": n % 3 == 0, "instagram": n % 5 < 2, "facebook": n % 7 < 3, "email": n % 11 > 1, "site": n % 13 > 2}
     rating = F.when(n % 9 > 0, (n % 31 + 20) / F.lit(10.0))
-    snaps = t.raw("events").select(n.alias("id"), F.col("user_id").alias("entity"), F.col("ts").alias("at"), *(c.alias(k) for k, c in flags.items()), rating.alias("rating"))
-    return Y.changes(snaps, list(flags), "rating").select("id", "change")
+    return events.select(n.alias("id"), F.col("user_id").alias("entity"), F.col("ts").alias("at"), *(c.alias(k) for k, c in flags.items()), rating.alias("rating")), list(flags)
 
 
-@query("e11_circuit_breaker", """, ca AS (SELECT id, lead, epoch_us(seen_at) / 1000000 AS tm, confidence >= 60 AS ok FROM sig), lf AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY lead ORDER BY tm, id) AS island FROM ca), fl AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY lead, island ORDER BY tm, id) AS failures FROM lf), bf AS (SELECT *, lag(failures) OVER (PARTITION BY lead ORDER BY tm, id) AS f0, lag(tm) OVER (PARTITION BY lead ORDER BY tm, id) AS tm0, lag(ok) OVER (PARTITION BY lead ORDER BY tm, id) AS ok0 FROM fl)
- SELECT id, failures, coalesce(f0, 0) < 3 OR tm - tm0 > 300 AS tried FROM bf""")
+@query("e11_circuit_breaker", """WITH ca AS (SELECT event_id AS id, user_id AS lead, epoch_us(ts) / 1000000 AS tm, event_type <> 'error' AS ok FROM events), lf AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY lead ORDER BY tm, id) AS island FROM ca), fl AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY lead, island ORDER BY tm, id) AS failures FROM lf), bf AS (SELECT *, lag(failures) OVER (PARTITION BY lead ORDER BY tm, id) AS f0, lag(tm) OVER (PARTITION BY lead ORDER BY tm, id) AS tm0 FROM fl)
+ SELECT id, failures, coalesce(f0, 0) < 3 OR tm - tm0 > 300 AS tried FROM bf""", bound="none")
 def circuit_breaker(t: Tables) -> DataFrame:
-    """Failures in a row after each call, and whether the call should have been tried: not within 300 s after three failures."""
-    calls = signals(t).select("id", "lead", (F.unix_micros(F.col("seen_at").cast("timestamp")) / 1_000_000).alias("at"), (F.col("confidence") >= 60).alias("ok"))
+    """Failures (errors) in a row after each event of a user, and whether the call should have been tried: not within 300 s after three failures."""
+    calls = t.raw("events").select(F.col("event_id").alias("id"), F.col("user_id").alias("lead"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at"), (F.col("event_type") != "error").alias("ok"))
     return Y.breaker(calls, "lead").select("id", "failures", "tried")
 
 
-@query("e11_mean_response", ", ca AS (SELECT lead, 100.0::DOUBLE + confidence AS ms, row_number() OVER (PARTITION BY lead ORDER BY seen_at DESC, id DESC) - 1 AS back FROM sig WHERE confidence >= 60) SELECT lead, round(sum(ms * 0.2::DOUBLE * pow(0.8::DOUBLE, back)), 4) AS mean_ms FROM ca GROUP BY lead")
+@query("e11_mean_response", "WITH ca AS (SELECT user_id AS lead, value AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS back FROM events WHERE event_type <> 'error' AND value IS NOT NULL) SELECT lead, round(sum(ms * 0.2::DOUBLE * pow(0.8::DOUBLE, back)), 4) AS mean_ms FROM ca GROUP BY lead", bound="none")
 def mean_response(t: Tables) -> DataFrame:
-    """Exponential mean of the response times of successful calls (0.8 of the old, 0.2 of the new, from 0)."""
-    calls = signals(t).where("confidence >= 60").select("lead", (F.col("confidence") + 100.0).alias("ms"), "seen_at", "id")
-    return Y.exponential_mean(calls, "lead", "ms", ["seen_at", "id"], 0.8).select("lead", F.round("mean", 4).alias("mean_ms"))
+    """Exponential mean of the values of a user's events without errors (0.8 of the old, 0.2 of the new, from 0)."""
+    calls = t.raw("events").where("event_type <> 'error' and value is not null").select(F.col("user_id").alias("lead"), F.col("value").alias("ms"), "ts", "event_id")
+    return Y.exponential_mean(calls, "lead", "ms", ["ts", "event_id"], 0.8).select("lead", F.round("mean", 4).alias("mean_ms"))
 
 
 # Lifecycle
@@ -371,11 +376,11 @@ def merged_observations(t: Tables) -> DataFrame:
     return rows.groupBy("entity_id", "attribute").agg(F.count("*").alias("n"), F.max_by("id", F.struct("observed_at", "id")).alias("newest"))
 
 
-@query("m1_upsert_metadata", "SELECT coalesce(a.id, b.id) AS id, coalesce(a.id, '') = '' AS is_new, CASE WHEN a.id IS NULL THEN map {'category': b.category, 'tier': 'new'}['category'] ELSE coalesce(b.category, a.category) END AS category, CASE WHEN b.id IS NULL THEN 'old' ELSE 'new' END AS tier, a.city AS old_city FROM (SELECT * FROM lead WHERE score < 60) a FULL JOIN (SELECT id, category FROM lead WHERE score >= 40) b ON a.id = b.id")
+@query("m1_upsert_metadata", "SELECT coalesce(a.id, b.id) AS id, coalesce(a.id, '') = '' AS is_new, CASE WHEN a.id IS NULL THEN map {'category': b.category, 'tier': 'new'}['category'] ELSE coalesce(b.category, a.category) END AS category, CASE WHEN b.id IS NULL THEN 'old' ELSE 'new' END AS tier, a.city AS old_city FROM (SELECT * FROM lead WHERE meta_pixel IS NOT TRUE) a FULL JOIN (SELECT id, category FROM lead WHERE meta_pixel IS DISTINCT FROM false) b ON a.id = b.id")
 def upsert_metadata(t: Tables) -> DataFrame:
-    """Metadata maps are merged key by key, the new one wins."""
-    old = leads(t).where("score < 60").select("id", F.create_map(F.lit("category"), F.col("category"), F.lit("tier"), F.lit("old"), F.lit("city"), F.col("city")).alias("metadata"))
-    new = leads(t).where("score >= 40").select("id", F.create_map(F.lit("category"), F.col("category"), F.lit("tier"), F.lit("new")).alias("metadata"))
+    """Metadata maps are merged key by key, the new one wins; leads without a pixel flag are on both sides, every other on one."""
+    old = leads(t).where("meta_pixel is not true").select("id", F.create_map(F.lit("category"), F.col("category"), F.lit("tier"), F.lit("old"), F.lit("city"), F.col("city")).alias("metadata"))
+    new = leads(t).where("meta_pixel is distinct from false").select("id", F.create_map(F.lit("category"), F.col("category"), F.lit("tier"), F.lit("new")).alias("metadata"))
     rows = Y.upsert_metadata(old, new)
     return rows.select("id", "is_new", F.col("metadata")["category"].alias("category"), F.col("metadata")["tier"].alias("tier"), F.col("metadata")["city"].alias("old_city"))
 
@@ -395,11 +400,11 @@ def outreach_drafts(t: Tables) -> DataFrame:
     return rows.select(F.lit("outreach").alias("kind"), F.concat(F.lit("Contact: "), "name").alias("title"), F.concat_ws(" · ", "channel", "status").alias("body"), F.when(F.col("status") == "interested", 0.8).otherwise(0.6).alias("confidence"))
 
 
-@query("m6_audit_merge", ", au AS (SELECT id, score % 2 = 0 AS has_pixel, score % 3 = 0 AS has_gtm, CASE WHEN score % 4 = 0 THEN 'info@' || substr(id, 3) || '.it' END AS email, '+39 02' || lpad(CAST(score AS VARCHAR), 7, '0') AS phone, load_seconds FROM lead WHERE score >= 20) SELECT lead.id, coalesce(has_pixel, meta_pixel) AS meta_pixel, coalesce(has_gtm, tag_manager) AS tag_manager, CASE WHEN contains(lead.email, '@') THEN lead.email ELSE coalesce(au.email, lead.email) END AS email, CASE WHEN len(regexp_replace(coalesce(lead.phone, ''), '[^0-9]', '', 'g')) >= 8 THEN lead.phone ELSE coalesce(au.phone, lead.phone) END AS phone, CASE WHEN au.id IS NULL THEN NULL ELSE 100 END AS freshness FROM lead LEFT JOIN au ON au.id = lead.id")
+@query("m6_audit_merge", ", au AS (SELECT id, score % 2 = 0 AS has_pixel, score % 3 = 0 AS has_gtm, CASE WHEN score % 4 = 0 THEN 'info@' || substr(id, 3) || '.it' END AS email, '+39 02' || lpad(CAST(score AS VARCHAR), 7, '0') AS phone, load_seconds FROM lead WHERE audited_days IS NOT NULL) SELECT lead.id, coalesce(has_pixel, meta_pixel) AS meta_pixel, coalesce(has_gtm, tag_manager) AS tag_manager, CASE WHEN contains(lead.email, '@') THEN lead.email ELSE coalesce(au.email, lead.email) END AS email, CASE WHEN len(regexp_replace(coalesce(lead.phone, ''), '[^0-9]', '', 'g')) >= 8 THEN lead.phone ELSE coalesce(au.phone, lead.phone) END AS phone, CASE WHEN au.id IS NULL THEN NULL ELSE 100 END AS freshness FROM lead LEFT JOIN au ON au.id = lead.id")
 def audit_merge(t: Tables) -> DataFrame:
     """An audit's flags replace the lead's; real contacts of the lead stay."""
     n = F.col("score")
-    audit = leads(t).where("score >= 20").select("id", (n % 2 == 0).alias("has_pixel"), (n % 3 == 0).alias("has_gtm"), F.when(n % 4 == 0, F.concat(F.lit("info@"), F.substring("id", 3, 20), F.lit(".it"))).alias("email"), F.concat(F.lit("+39 02"), F.lpad(n.cast("string"), 7, "0")).alias("phone"))
+    audit = leads(t).where("audited_days is not null").select("id", (n % 2 == 0).alias("has_pixel"), (n % 3 == 0).alias("has_gtm"), F.when(n % 4 == 0, F.concat(F.lit("info@"), F.substring("id", 3, 20), F.lit(".it"))).alias("email"), F.concat(F.lit("+39 02"), F.lpad(n.cast("string"), 7, "0")).alias("phone"))
     return Y.audited(leads(t), audit).select("id", "meta_pixel", "tag_manager", "email", "phone", "freshness")
 
 
@@ -420,21 +425,21 @@ def star_graph(t: Tables) -> DataFrame:
 # Sinks and streams. What is written is read again, so that the rows show what the sink holds.
 
 
-@query("s9_upsert_sink", "SELECT key, arg_max(id, (n, id)) AS id FROM (SELECT 'k' || (o_orderkey % 500) AS key, o_orderkey AS id, 0 AS n FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'k' || (o_orderkey % 700), o_orderkey, 1 FROM orders WHERE o_orderkey % 3 = 1) GROUP BY key", bound="none")
+@query("s9_upsert_sink", "SELECT key, arg_max(id, (n, id)) AS id FROM (SELECT 'k' || (o_orderkey % 500) AS key, o_orderkey AS id, 0 AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'k' || (o_orderkey % 700), o_orderkey, 1 FROM orders WHERE o_orderstatus <> 'F') GROUP BY key", bound="none")
 def upsert_sink(t: Tables) -> DataFrame:
-    """A table and a batch with the same key: the batch's newest row replaces the table's; written and read again."""
+    """A table (finished orders) and a batch (all others) with the same key: the batch's newest row replaces the table's."""
     k = F.col("o_orderkey")
-    old = t.raw("orders").where(k % 3 == 0).select(F.concat(F.lit("k"), k % 500).alias("key"), k.alias("id"))
-    new = t.raw("orders").where(k % 3 == 1).select(F.concat(F.lit("k"), k % 700).alias("key"), k.alias("id"))
+    old = t.raw("orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("k"), k % 500).alias("key"), k.alias("id"))
+    new = t.raw("orders").where("o_orderstatus <> 'F'").select(F.concat(F.lit("k"), k % 700).alias("key"), k.alias("id"))
     return sinks.stored(sinks.upsert(old, new, "key", ["id"]), "upsert")
 
 
-@query("s10_insert_ignore_sink", "SELECT key, min(id) AS id, n FROM (SELECT o_custkey AS key, o_orderkey AS id, 0 AS n FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_custkey, o_orderkey, 1 FROM orders WHERE o_orderkey % 3 = 1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)) GROUP BY key, n", bound="none")
+@query("s10_insert_ignore_sink", "SELECT key, min(id) AS id, n FROM (SELECT o_custkey AS key, o_orderkey AS id, 0 AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, o_orderkey, 1 FROM orders WHERE o_orderstatus <> 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')) GROUP BY key, n", bound="none")
 def insert_ignore_sink(t: Tables) -> DataFrame:
     """Rows whose key the table doesn't have are added, one for each key; the others are ignored."""
-    rows = t.raw("orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id"))
-    old = rows.where("id % 3 = 0").groupBy("key").agg(F.min("id").alias("id")).withColumn("n", F.lit(0))
-    new = rows.where("id % 3 = 1").withColumn("n", F.lit(1))
+    rows = t.raw("orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("old"))
+    old = rows.where("old").groupBy("key").agg(F.min("id").alias("id")).withColumn("n", F.lit(0))
+    new = rows.where("not old").drop("old").withColumn("n", F.lit(1))
     return sinks.stored(sinks.insert_ignore(old, new, "key", "id"), "insert-ignore")
 
 
@@ -474,13 +479,6 @@ def consumed_batches(t: Tables) -> DataFrame:
     return done.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("failed"))
 
 
-@query("e3_outbox_states", "SELECT id, CASE WHEN id % 4 > 0 THEN 'processed' WHEN id % 3 + 1 >= 3 THEN 'failed' ELSE 'pending' END AS status, id % 3 + CASE WHEN id % 4 > 0 THEN 0 ELSE 1 END AS error_count FROM ev", bound="graph")
-def outbox_states(t: Tables) -> DataFrame:
-    """States after an attempt: processed, pending again, or failed with the third error."""
-    rows = t.events().select("id", (F.col("id") % 3).alias("error_count"), (F.col("id") % 4 == 0).alias("failed"))
-    return S.retry_state(rows).select("id", "status", "error_count")
-
-
 @query("e4_subscription", "SELECT id FROM ev WHERE event_type = 'purchase' AND entity_id IN ('c:1', 'c:2', 'c:3', 'c:5', 'c:8')", bound="graph")
 def subscription(t: Tables) -> DataFrame:
     """Inserted events of a type and of some entities, from a stream."""

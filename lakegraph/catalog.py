@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakegraph.functions import columns as C
 from lakegraph.functions import text as X
-from lakegraph.operators import graph
+from lakegraph.operators import asof, graph
 from lakegraph.plans.query import Event, Observation, Query, Relationship, execute, having_observation
 from lakegraph.sources.sinks import stored
 from lakegraph.sources.tables import BINDING_SQL, Tables
@@ -172,29 +172,11 @@ def observed_as_of(t: Tables) -> DataFrame:
 @query("j13_as_of_many", "SELECT o1.id AS probe, max_by(o2.id, (o2.observed_at, o2.id)) AS id FROM obs o1 JOIN obs o2 ON o1.entity_id = o2.entity_id AND o2.attribute = 'revenue' AND o1.attribute = 'status' AND o2.observed_at <= o1.observed_at GROUP BY o1.id")
 def as_of_many(t: Tables) -> DataFrame:
     """Many probes at once: both sides sorted together by entity and time, the last value is carried forward."""
-    o = t.observations()
-    rows = o.where("attribute = 'revenue'").select("entity_id", "observed_at", F.lit(0).alias("side"), F.lit(None).cast("string").alias("probe"), F.col("id").alias("value"))
-    probes = o.where("attribute = 'status'").select("entity_id", "observed_at", F.lit(1).alias("side"), F.col("id").alias("probe"), F.lit(None).cast("string").alias("value"))
-    w = Window.partitionBy("entity_id").orderBy("observed_at", "side", "value").rowsBetween(Window.unboundedPreceding, 0)
-    carried = rows.unionByName(probes).withColumn("id", F.last("value", ignorenulls=True).over(w))
-    return carried.where("side = 1").select("probe", "id").where("id is not null")
-
-
-@query("j14_list_stats", "SELECT category, count(*) AS leads, round(avg(CASE WHEN score > 0 THEN score END), 4) AS mean_score FROM deals GROUP BY category")
-def list_stats(t: Tables) -> DataFrame:
-    return t.deals().groupBy("category").agg(F.count("*").alias("leads"), F.round(F.avg(F.when(F.col("score") > 0, F.col("score"))), 4).alias("mean_score"))
-
-
-@query("j15_event_names", "SELECT ev.id, name FROM ev LEFT JOIN ent ON ent.id = entity_id WHERE event_type = 'signup'")
-def event_names(t: Tables) -> DataFrame:
-    return t.events().where("event_type = 'signup'").join(t.entities().select(F.col("id").alias("entity_id"), "name"), "entity_id", "left").select("id", "name")
-
-
-@query("j16_alert_fan_out", ", watch AS (SELECT 'u' || (c_custkey % 7) AS user_id, 'c:' || c_custkey AS entity_id FROM customer) SELECT DISTINCT user_id, ev.id AS event_id FROM ev JOIN watch USING (entity_id) WHERE event_type IN ('error', 'purchase')")
-def fan_out(t: Tables) -> DataFrame:
-    """Events for the users who keep the entity; ``j16_alerts`` adds those who monitor its site."""
-    watch = t.raw("customer").select(F.concat(F.lit("u"), F.col("c_custkey") % 7).alias("user_id"), F.concat(F.lit("c:"), "c_custkey").alias("entity_id"))
-    return t.events().where(F.col("event_type").isin("error", "purchase")).join(watch, "entity_id").select("user_id", F.col("id").alias("event_id")).distinct()
+    o = t.observations().select(F.col("entity_id").alias("key"), F.col("observed_at").alias("at"), "attribute", "id")
+    probes = o.where("attribute = 'status'").select("key", "at", F.col("id").alias("probe"))
+    facts = o.where("attribute = 'revenue'").select("key", "at", "id", F.col("id").alias("value"))
+    found = asof.as_of_many(probes, facts, ["value"])
+    return found.where("value is not null").select("probe", F.col("value").alias("id"))
 
 
 @query("j19_drift", "SELECT host FROM (SELECT DISTINCT regexp_extract(url, '://(?:www\\.)?([^/?#]*)', 1) AS host FROM pages) WHERE host NOT IN (SELECT lower(name) FROM ent)")
@@ -476,7 +458,7 @@ def page_hashes(t: Tables) -> DataFrame:
 
 @query("f36_hashed_vectors")
 def hashed_vectors(t: Tables) -> DataFrame:
-    return t.raw("benchmark").select("item_id", X.hashed_vector()(F.col("text")).alias("embedding"))
+    return t.raw("documents").select("doc_id", X.hashed_vector()(F.col("text")).alias("embedding"))
 
 
 @query("f33_day_keys", "SELECT id, entity_id || ':' || attribute || ':' || strftime(observed_at, '%Y-%m-%d') AS dedup_key FROM obs")

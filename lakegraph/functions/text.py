@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 
@@ -111,29 +110,50 @@ def keyword_snippets(text: Column, keywords: list[str], before: int = 40, after:
     return F.slice(F.filter(F.array(*[hit(k) for k in keywords]), lambda x: x.isNotNull()), 1, most)
 
 
-@functools.lru_cache(maxsize=1 << 16)
-def _place(token: str, dim: int) -> tuple[int, float]:
-    """Slot and signed weight of a token, by its 32-bit FNV-1a hash."""
-    h = 2166136261
-    for c in token.encode():
-        h = (h ^ c) * 16777619 % WORD
-    return h % dim, (1 - 2 * (h & 1)) * (1 + len(token) % 5 * 0.1)
+TOKEN = re.compile("[a-z0-9]{2,}")
+MARK = re.compile("[\u0300-\u036f]")
+#: Texts that are hashed at once; bounds the vectors in memory.
+HASHED = 512
+
+
+def fnv_words(tokens: list[str]) -> np.ndarray:
+    """32-bit FNV-1a hashes of ASCII tokens, all tokens of a length at once."""
+    out = np.zeros(len(tokens), np.uint64)
+    by_length: dict[int, list[int]] = {}
+    for i, t in enumerate(tokens):
+        by_length.setdefault(len(t), []).append(i)
+    for n, at in by_length.items():
+        letters = np.frombuffer("".join(tokens[i] for i in at).encode(), np.uint8).reshape(len(at), n)
+        h = np.full(len(at), 2166136261, np.uint64)
+        for k in range(n):
+            h = (h ^ letters[:, k]) * np.uint64(16777619) % np.uint64(WORD)
+        out[at] = h
+    return out
+
+
+def hashed_vectors(texts: list[str | None], dim: int) -> np.ndarray:
+    """Unit vectors of texts: each distinct token is hashed once, and all occurrences are added in one go."""
+    known: dict[str, int] = {}
+    rows, codes = [], []
+    for i, text in enumerate(texts):
+        low = (text or "").lower()
+        tokens = TOKEN.findall(low if low.isascii() else MARK.sub("", unicodedata.normalize("NFD", low)))
+        rows.append(np.full(len(tokens), i))
+        codes.append(np.fromiter((known.setdefault(t, len(known)) for t in tokens), np.int64, len(tokens)))
+    row, code = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64), np.concatenate([np.zeros(0, np.int64), *codes])
+    h = fnv_words(list(known)).astype(np.int64)
+    weight = (1 - 2 * (h & 1)) * (1 + np.array([len(t) % 5 for t in known], float) * 0.1)
+    out = np.zeros((len(texts), dim))
+    np.add.at(out, (row, h[code] % dim), weight[code])
+    return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-300)
 
 
 def hashed_vector(dim: int = 384):
     """A column function: unit vector of a text's folded tokens of two letters or more; zeros for null or no token."""
 
-    def vector(text: str | None) -> np.ndarray:
-        out = np.zeros(dim)
-        folded = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", (text or "").lower()))
-        for token in re.findall("[a-z0-9]{2,}", folded):
-            slot, weight = _place(token, dim)
-            out[slot] += weight
-        norm = np.sqrt(out @ out)
-        return out / norm if norm else out
-
     @F.pandas_udf(ArrayType(DoubleType()))
     def hashed(texts: pd.Series) -> pd.Series:
-        return texts.map(vector)
+        parts = [hashed_vectors(texts.iloc[k : k + HASHED].tolist(), dim) for k in range(0, len(texts), HASHED)]
+        return pd.Series([v for p in parts for v in p], dtype=object)
 
     return hashed

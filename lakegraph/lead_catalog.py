@@ -184,17 +184,34 @@ def forecast(t: Tables) -> DataFrame:
     return d.select("*", rate.alias("win_rate"), F.when(F.col("closed") >= 10, "high").when(F.col("closed") >= 3, "medium").otherwise("low").alias("confidence"))
 
 
-@query("a21_feedback_profile", "SELECT lead, list_sort(list(DISTINCT kind) FILTER (confidence >= 70)) AS liked, list_sort(list(DISTINCT kind) FILTER (confidence < 30)) AS disliked, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY lead ORDER BY seen_at DESC, id DESC) AS r FROM sig) WHERE r <= 500 GROUP BY lead")
+@query(
+    "a21_feedback_profile",
+    """, nw AS (SELECT 'c:' || user_id AS lead, event_id AS id, event_type AS kind, props, 10 + event_id % 91 AS confidence, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events QUALIFY r <= 500),
+ ac AS (SELECT lead, list(kind || ':' || n ORDER BY n DESC, kind)[1:5] AS top_actions FROM (SELECT lead, kind, count(*) AS n FROM nw GROUP BY lead, kind) GROUP BY lead),
+ qu AS (SELECT lead, list(props ORDER BY f)[1:20] AS recent_queries FROM (SELECT lead, props, min(r) AS f FROM nw WHERE props <> '' GROUP BY lead, props) GROUP BY lead)
+ SELECT lead, list_sort(list(DISTINCT id) FILTER (confidence >= 70)) AS liked, list_sort(list(DISTINCT id) FILTER (confidence < 30)) AS disliked, count(*) AS n, any_value(top_actions) AS top_actions, any_value(recent_queries) AS recent_queries
+ FROM nw JOIN ac USING (lead) LEFT JOIN qu USING (lead) GROUP BY lead""",
+)
 def feedback_profile(t: Tables) -> DataFrame:
-    """The newest 500 rows of each lead, as the reference's feature has it; sets of kinds, null where empty."""
+    """The newest 500 rows of each lead, as the reference's feature has it: liked and disliked ids (null where none), the five
+    most frequent actions, the twenty newest distinct queries."""
     w = Window.partitionBy("lead").orderBy(F.desc("seen_at"), F.desc("id"))
-    newest = signals(t).withColumn("r", F.row_number().over(w)).where("r <= 500")
+    rows = signals(t).join(t.raw("events").select(F.col("event_id").alias("id"), "props"), "id")
+    newest = rows.withColumn("r", F.row_number().over(w)).where("r <= 500")
 
-    def kinds(test: Column) -> Column:
-        found = F.array_sort(F.collect_set(F.when(test, F.col("kind"))))
+    def ids(test: Column) -> Column:
+        found = F.array_sort(F.collect_set(F.when(test, F.col("id"))))
         return F.when(F.size(found) > 0, found)
 
-    return newest.groupBy("lead").agg(kinds(F.col("confidence") >= 70).alias("liked"), kinds(F.col("confidence") < 30).alias("disliked"), F.count("*").alias("n"))
+    def first(found: Column, most: int) -> Column:
+        return F.transform(F.slice(F.array_sort(found), 1, most), lambda x: x["v"])
+
+    sides = newest.groupBy("lead").agg(ids(F.col("confidence") >= 70).alias("liked"), ids(F.col("confidence") < 30).alias("disliked"), F.count("*").alias("n"))
+    actions = newest.groupBy("lead", "kind").agg(F.count("*").alias("k"))
+    actions = actions.groupBy("lead").agg(first(F.collect_list(F.struct((-F.col("k")).alias("k"), "kind", F.concat_ws(":", "kind", F.col("k").cast("string")).alias("v"))), 5).alias("top_actions"))
+    asked = newest.where("props <> ''").groupBy("lead", "props").agg(F.min("r").alias("f"))
+    asked = asked.groupBy("lead").agg(first(F.collect_list(F.struct("f", F.col("props").alias("v"))), 20).alias("recent_queries"))
+    return sides.join(actions, "lead").join(asked, "lead", "left")
 
 
 @query("a23_contact_stats", f"SELECT count(*) AS total, count(*) FILTER ({CONTACT_SQL}) AS with_contact, count(*) FILTER (NOT coalesce({CONTACT_SQL}, false)) AS hidden FROM lead")
@@ -276,75 +293,14 @@ def twin_opportunity(t: Tables) -> DataFrame:
     return leads(t).select("id", L.twin_opportunity().alias("score"))
 
 
-@query("r17_stage_merge", "SELECT a.stage AS current, b.stage AS proposed, CASE WHEN b.stage IN ('vinto', 'perso') THEN b.stage WHEN a.r < 4 AND b.r > a.r THEN b.stage ELSE a.stage END AS merged FROM (VALUES ('nuovo', 0), ('contattato', 1), ('meeting', 2), ('proposta', 3), ('vinto', 4), ('perso', 4)) a(stage, r), (VALUES ('nuovo', 0), ('contattato', 1), ('meeting', 2), ('proposta', 3), ('vinto', 4), ('perso', 4)) b(stage, r)")
-def stage_merge(t: Tables) -> DataFrame:
-    """Every pair of the six stages."""
-    both = t.spark.range(1).select(F.explode(F.array(*map(F.lit, L.STAGES))).alias("current")).select("current", F.explode(F.array(*map(F.lit, L.STAGES))).alias("proposed"))
-    return both.select("current", "proposed", L.merged_stage(F.col("current"), F.col("proposed")).alias("merged"))
-
-
-@query("f27_radius_colour", f"SELECT id, 6 + sqrt(greatest(0, least(1, (revenue - lo) / (greatest(lo + 1, hi) - lo)))) * 22 AS radius, 'rgb(' || {half_up_sql('220 - score / 100.0::DOUBLE * 96').replace('score', 'least(100, score)')} || ',' || {half_up_sql('38 + score / 100.0::DOUBLE * 20').replace('score', 'least(100, score)')} || ',' || {half_up_sql('38 + score / 100.0::DOUBLE * 199').replace('score', 'least(100, score)')} || ')' AS colour FROM lead, (SELECT greatest(1, min(revenue)) AS lo, max(revenue) AS hi FROM lead) WHERE revenue IS NOT NULL")
-def radius_colour(t: Tables) -> DataFrame:
-    rows = leads(t).where("revenue is not null")
-    bounds = rows.agg(F.min("revenue").alias("lo"), F.max("revenue").alias("hi"))  # one row
-    return rows.join(F.broadcast(bounds)).select("id", L.revenue_radius(F.col("revenue"), F.col("lo"), F.col("hi")).alias("radius"), L.score_colour(F.col("score")).alias("colour"))
-
-
-@query("n27_audit_candidates", "SELECT id FROM lead WHERE coalesce(site, 'N/D') <> 'N/D' AND (audited_days IS NULL OR floor(greatest(0, 100 - audited_days / 30.0 * 100) + 0.5) <= 40)")
-def audit_candidates(t: Tables) -> DataFrame:
-    return leads(t).where(L.needs_audit(F.col("audited_days"), F.col("site"))).select("id")
-
-
-@query("n30_gap_text", "SELECT id, concat_ws(', ', CASE WHEN meta_pixel IS DISTINCT FROM true THEN 'pixel' END, CASE WHEN tag_manager IS DISTINCT FROM true THEN 'tag manager' END, CASE WHEN ssl = false THEN 'ssl' END, CASE WHEN mobile = false THEN 'mobile' END, CASE WHEN seo_errors THEN 'seo' END) AS gaps FROM lead")
-def gap_text(t: Tables) -> DataFrame:
-    return leads(t).select("id", L.gap_text().alias("gaps"))
-
-
-@query("n38_segment_mesh", "SELECT city, count(*) AS n, count(*) FILTER (meta_pixel IS DISTINCT FROM true) * 100.0::DOUBLE / count(*) AS no_pixel, count(*) FILTER (ssl = false) * 100.0::DOUBLE / count(*) AS no_ssl, avg(score) AS mean_score, count(DISTINCT category) AS categories FROM lead GROUP BY city")
-def segment_mesh(t: Tables) -> DataFrame:
-    def share(test: Column) -> Column:
-        return F.count_if(test) * 100.0 / F.count("*")
-
-    return leads(t).groupBy("city").agg(F.count("*").alias("n"), share(~L.is_true(F.col("meta_pixel"))).alias("no_pixel"), share(F.col("ssl").eqNullSafe(False)).alias("no_ssl"), F.avg("score").alias("mean_score"), F.count_distinct("category").alias("categories"))
-
-
-@query("n46_unseen_leads", "SELECT l.id FROM lead l WHERE NOT EXISTS (SELECT 1 FROM lead s WHERE s.score < 50 AND coalesce(nullif(s.phone, 'N/D'), s.name || s.city) = coalesce(nullif(l.phone, 'N/D'), l.name || l.city))")
-def unseen_leads(t: Tables) -> DataFrame:
-    """Leads whose identity, the phone or else name and city, isn't in the history (here: leads of a low score)."""
-    rows = leads(t).withColumn("key", C.first_key(("phone", F.when(L.present(F.col("phone")), F.col("phone"))), ("name", F.concat("name", "city"))))
-    history = rows.where("score < 50").select("key")
-    return rows.join(history, "key", "left_anti").select("id")
-
-
-@query("n47_phone_export", "SELECT id, CASE WHEN coalesce(phone, 'N/D') = 'N/D' THEN 'none' ELSE 'mobile' END AS kind FROM lead")
-def phone_export(t: Tables) -> DataFrame:
-    """In export order: mobile first, then by id."""
-    return leads(t).select("id", L.phone_kind(F.col("phone")).alias("kind")).orderBy(F.col("kind") != "mobile", "id")
+_STAGES_SQL = ["CASE o_orderstatus WHEN 'F' THEN 'vinto' WHEN 'P' THEN 'meeting' ELSE 'contattato' END AS current", "CASE left(o_orderpriority, 1) WHEN '1' THEN 'vinto' WHEN '2' THEN 'proposta' WHEN '3' THEN 'perso' WHEN '4' THEN 'meeting' ELSE 'nuovo' END AS proposed"]
 
 
-# Ingest
-
-
-@query("m3_ingest_entities", f"SELECT * FROM (SELECT coalesce({DOMAIN_SQL}, '393' || right(nullif(phone, 'N/D'), 9)) AS id, min(name) AS name, count(*) AS leads, 'company' AS entity_type FROM lead GROUP BY 1) WHERE id IS NOT NULL UNION ALL SELECT 'tech:' || tool, tool, count(DISTINCT key), 'technology' FROM (SELECT coalesce({DOMAIN_SQL}, '393' || right(nullif(phone, 'N/D'), 9)) AS key, unnest(tech_stack) AS tool FROM lead) WHERE key IS NOT NULL GROUP BY tool UNION ALL SELECT 'it:' || lower(city), city, count(*), 'location' FROM lead WHERE coalesce({DOMAIN_SQL}, nullif(phone, 'N/D')) IS NOT NULL GROUP BY city")
-def ingest_entities(t: Tables) -> DataFrame:
-    return I.ingest(leads(t))["entities"]
-
-
-@query("m3_ingest_relationships", f"WITH_KEY SELECT DISTINCT key AS source_id, 'tech:' || tool AS target_id, 'uses' AS relationship_type FROM (SELECT key, unnest(tech_stack) AS tool FROM keyed) UNION ALL SELECT DISTINCT key, 'it:' || lower(city), 'located_in' FROM keyed".replace("WITH_KEY", f", keyed AS (SELECT *, coalesce({DOMAIN_SQL}, '393' || right(nullif(phone, 'N/D'), 9)) AS key FROM lead WHERE key IS NOT NULL)"))
-def ingest_relationships(t: Tables) -> DataFrame:
-    return I.ingest(leads(t))["relationships"]
-
-
-@query("m3_ingest_observations", ", keyed AS (SELECT *, KEY AS key FROM lead WHERE key IS NOT NULL) ".replace("KEY", f"coalesce({DOMAIN_SQL}, '393' || right(nullif(phone, 'N/D'), 9))") + " UNION ".join(f"SELECT key AS entity_id, '{f}' AS attribute, {f}::DOUBLE AS value FROM keyed WHERE {f} IS NOT NULL" if n == 0 else f"SELECT key, '{f}', {f}::DOUBLE FROM keyed WHERE {f} IS NOT NULL" for n, f in enumerate(I.OBSERVED)))
-def ingest_observations(t: Tables) -> DataFrame:
-    return I.ingest(leads(t))["observations"]
-
-
-@query("m1_upsert_entities", "SELECT coalesce(a.id, b.id) AS id, coalesce(b.city, a.city) AS city, coalesce(b.email, a.email) AS email, a.id IS NULL AS is_new FROM (SELECT * FROM lead WHERE score < 60) a FULL JOIN (SELECT id, CASE WHEN score % 2 = 0 THEN 'moved' END AS city, email FROM lead WHERE score >= 40) b ON a.id = b.id")
-def upsert_entities(t: Tables) -> DataFrame:
-    rows = leads(t)
-    new = rows.where("score >= 40").withColumn("city", F.when(F.col("score") % 2 == 0, "moved"))
-    return I.upsert_entities(rows.where("score < 60"), new, ["city", "email"])
+@query("r17_stage_merge", f", o AS (SELECT o_orderkey AS id, {', '.join(_STAGES_SQL)} FROM orders), r(stage, r) AS (VALUES ('nuovo', 0), ('contattato', 1), ('meeting', 2), ('proposta', 3), ('vinto', 4), ('perso', 4)) SELECT id, CASE WHEN proposed IN ('vinto', 'perso') THEN proposed WHEN a.r < 4 AND b.r > a.r THEN proposed ELSE current END AS merged FROM o JOIN r a ON a.stage = current JOIN r b ON b.stage = proposed")
+def stage_merge(t: Tables) -> DataFrame:
+    """Every order's stage (from its status) after the one that its priority proposes."""
+    rows = t.raw("orders").selectExpr("o_orderkey AS id", *_STAGES_SQL)
+    return rows.select("id", L.merged_stage(F.col("current"), F.col("proposed")).alias("merged"))
 
 
 # State over ordered rows
@@ -356,24 +312,6 @@ def recent_buffer(t: Tables) -> DataFrame:
     return signals(t).select("id", "lead", "kind", "seen_at").distinct().orderBy(F.desc("seen_at"), F.desc("id")).limit(50).select("id", "lead", "kind")
 
 
-@query("e10_live_cache", "SELECT kind, count(*) FILTER (seen_at + to_seconds(CASE WHEN confidence >= 50 THEN 300 ELSE 120 END) > TIMESTAMP '2024-01-15') AS live, count(*) AS total FROM sig GROUP BY kind")
-def live_cache(t: Tables) -> DataFrame:
-    """Entries whose time to live (300 s or 120 s) isn't over at a given time."""
-    ends = F.timestamp_seconds(F.unix_micros(F.col("seen_at").cast("timestamp")) / 1e6 + F.when(F.col("confidence") >= 50, 300).otherwise(120))
-    return signals(t).groupBy("kind").agg(F.count_if(ends > F.lit("2024-01-15").cast("timestamp")).alias("live"), F.count("*").alias("total"))
-
-
-@query("e11_source_health", "SELECT lead, id, CASE WHEN ok THEN 0 ELSE row_number() OVER (PARTITION BY lead, island ORDER BY seen_at, id) - (CASE WHEN island > 0 THEN 1 ELSE 0 END) END AS failures, NOT (NOT ok AND row_number() OVER (PARTITION BY lead, island ORDER BY seen_at, id) - (CASE WHEN island > 0 THEN 1 ELSE 0 END) >= 3) AS healthy FROM (SELECT *, confidence >= 60 AS ok, count(*) FILTER (confidence >= 60) OVER (PARTITION BY lead ORDER BY seen_at, id) AS island FROM sig)")
-def source_health(t: Tables) -> DataFrame:
-    """After each call of a source (here: signals of a lead): failures in a row since the last success; unhealthy from three on."""
-    calls = signals(t).withColumn("ok", F.col("confidence") >= 60)
-    order = Window.partitionBy("lead").orderBy("seen_at", "id")
-    since = calls.withColumn("island", F.count_if("ok").over(order))
-    run = Window.partitionBy("lead", "island").orderBy("seen_at", "id")
-    failures = F.count_if(~F.col("ok")).over(run)
-    return since.select("lead", "id", failures.alias("failures"), (failures < 3).alias("healthy"))
-
-
 @query("e16_type_change", "SELECT id, lead, before, kind FROM (SELECT id, lead, kind, lag(kind) OVER (PARTITION BY lead ORDER BY seen_at, id) AS before FROM sig) WHERE before <> kind")
 def type_change(t: Tables) -> DataFrame:
     """An alert where a company's newest signal is of another type than the one before."""

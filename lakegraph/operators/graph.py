@@ -48,6 +48,45 @@ def paths(start: DataFrame, edges: DataFrame, hops: list[tuple[str, str, DataFra
     return state.select("origin", "node", F.lit(len(hops)).alias("hops"), (F.col("total") / max(1, len(hops))).alias("mean_confidence"), "age_days", "path")
 
 
+#: Edges at one node above which they are dealt out; each part gets the rows that stand at the node.
+HUB_EDGES = 50_000
+
+
+def reached(start: DataFrame, edges: DataFrame, most: int | None = None, kinds: list[str] | None = None, direction: str = "out", hub: int = HUB_EDGES) -> DataFrame:
+    """``origin, node, hops, mean_confidence, path``: all nodes that each ``id`` of ``start`` reaches in ``most`` hops (None: any number).
+
+    Semi-naive: a round takes only pairs (origin, node) that the last one found, and keeps those that no round has had
+    before, so that cycles end and a node has its fewest hops; of equally short paths the best has the highest mean
+    confidence, then the least path. Each round's new pairs are written once. The origin itself is no result. A hub's
+    edges are dealt out over several keys. Null ids start nowhere, edges with a null end lead nowhere; repeated edges and
+    ids count once.
+    """
+    steps = edges if kinds is None else edges.where(F.col("relationship_type").isin(kinds))
+    steps = ends(steps, direction).where("near is not null and far is not null and near <> far").groupBy("near", "far").agg(F.max("confidence").alias("confidence"))
+    hubs = steps.groupBy("near").agg(F.count("*").alias("_n")).where(F.col("_n") > hub).select("near", F.ceil(F.col("_n") / hub).cast("int").alias("_parts"))
+    hubs = written(hubs, "hubs")
+    part = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("far"), F.col("_parts")).cast("int"))
+    steps = written(steps.join(hubs, "near", "left").withColumn("_part", part).drop("_parts"), "steps")
+    ids = start.select("id").where("id is not null").distinct()
+    front = ids.select(F.col("id").alias("origin"), F.col("id").alias("node"), F.lit(0.0).alias("total"), F.lit(0).alias("hops"), F.col("id").alias("path"))
+    seen, found = front.select("origin", "node"), []
+    while most is None or len(found) < most:
+        at = front.join(hubs.withColumnRenamed("near", "node"), "node", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0)))))
+        longer = at.join(steps, (F.col("node") == F.col("near")) & (at["_part"] == steps["_part"]))
+        longer = longer.select("origin", F.col("far").alias("node"), (F.col("total") + F.col("confidence")).alias("total"), F.concat_ws(">", "path", "far").alias("path"))
+        best = longer.groupBy("origin", "node").agg(F.min(F.struct((-F.col("total")).alias("minus"), "path")).alias("_best"))
+        new = best.join(seen, ["origin", "node"], "left_anti").select("origin", "node", (-F.col("_best.minus")).alias("total"), F.lit(len(found) + 1).alias("hops"), "_best.path")
+        front = written(new, f"reached-{len(found) + 1}")
+        if front.isEmpty():
+            break
+        found.append(front)
+        seen = seen.unionByName(front.select("origin", "node"))
+    rows = found[0] if found else front.where(F.lit(False))
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    return rows.select("origin", "node", "hops", (F.col("total") / F.greatest(F.lit(1), F.col("hops"))).alias("mean_confidence"), "path")
+
+
 def resolve_aliases(aliases: DataFrame, entities: DataFrame) -> DataFrame:
     """``alias_type, alias_value, entity_id``: the unmerged entity of each alias, by confidence, then the newest (``created``)."""
     alive = entities.where("merged_into_id is null").select(F.col("id").alias("entity_id"))

@@ -1,15 +1,17 @@
-"""Which records speak of the same company: exact identities first, then names that share rare tokens in one city."""
+"""Which records speak of the same company: exact identities first, then names of one city that share tokens, hold each other or are nearly the same."""
 
 from __future__ import annotations
 
 import unicodedata
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from lakegraph.operators.similarity import near_names
 from lakegraph.sources.sinks import stored as written
 
 # Name tokens that identify nobody.
@@ -83,26 +85,43 @@ def city_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return inside.unionByName(left.where("lead_city = ''").join(right, F.lit(True))).distinct()
 
 
+def named_alike(a: DataFrame, b: DataFrame, cities: DataFrame) -> list[DataFrame]:
+    """``lead_id, record_id`` where one name holds the other, either way, and where the letters are nearly the same.
+
+    Only names that such a likeness can get accepted are looked at: of two tokens, or of one with six letters. Equal names of
+    a city stand for all their rows until the pairs are found.
+    """
+    could = (F.size("lead_tokens") >= 2) | (F.length(F.get("lead_tokens", F.lit(0))) >= 6)
+    rows = a.where(could & (F.col("lead_name") != "")).join(cities, "lead_city").select("lead_id", "lead_name", "record_city")
+    named = b.where(F.col("record_name") != "").select("record_id", "record_name", "record_city")
+    leads, records = rows.select("lead_name", "record_city").distinct(), named.select("record_name", "record_city").distinct()
+    near = near_names(leads.select(F.col("lead_name").alias("id"), F.col("record_city").alias("place"), F.col("lead_name").alias("name")), records.select(F.col("record_name").alias("id"), F.col("record_city").alias("place"), F.col("record_name").alias("name")), by_place=True)
+    near = near.select(F.col("left_id").alias("lead_name"), F.col("right_id").alias("record_name"), F.col("place").alias("record_city"))
+    holds = containing(leads, "lead_name", records, "record_name", ["record_city"]).unionByName(containing(records, "record_name", leads, "lead_name", ["record_city"]))
+    alike = near.unionByName(holds).distinct()
+    return [alike.join(rows, ["lead_name", "record_city"]).join(named, ["record_name", "record_city"]).select("lead_id", "record_id")]
+
+
 def match_companies(leads: DataFrame, records: DataFrame) -> DataFrame:
     """``lead_id, record_id, score, reason, accepted, ambiguous`` of the pairs that are accepted, and of each lead's best pair.
 
-    Candidates share a VAT number, domain or phone, or a name token that is among the rare ones of both where one city contains
-    the other or the lead has none. VAT decides alone where both have one; then domain 95, phone 90, then names: 75 with half
-    of the tokens shared, 88 with two tokens, 92 with one of six letters. Pairs by identity, by half of the tokens
-    or by all tokens of the shorter name are found always. Names that are only similar (88 and more) are found if they share such a token; others, as two words with a
-    typing error each, are not. ``ambiguous``: of several candidates the lead's best scores under 75 or the second at least
-    0.85 of it. Ids must be unique on each side; null names have no tokens. Names are compared letter by letter only where
-    nothing else decides.
+    Candidates share a VAT number, domain or phone, or are of one city (one contains the other, or the lead has none) and
+    have half of their name tokens in common, one folded name inside the other, or names with a letter ratio of 88 or more.
+    VAT decides alone where both have one; then domain 95, phone 90, then names: 75 with half of the tokens shared, 88
+    with two tokens, 92 with one of six letters. Every pair that these rules accept is found, also with a typing error in
+    every word. ``ambiguous``: of several candidates the lead's best scores under 75 or the second at least 0.85 of it.
+    Ids must be unique on each side; null names have no tokens. Names are compared letter by letter only where nothing
+    else decides.
     """
     a, b = _prepared(leads, "lead"), _prepared(records, "record")
     frequency = a.select(F.explode("lead_tokens").alias("token")).unionAll(b.select(F.explode("record_tokens").alias("token"))).groupBy("token").agg(F.count("*").alias("many"))
     left, right = _ranked_tokens(a, "lead", frequency), _ranked_tokens(b, "record", frequency)
     pairs = [a.join(b, a[f"lead_{k}"] == b[f"record_{k}"]).select("lead_id", "record_id") for k in ("vat", "domain", "phone")]
-    left = left.join(city_pairs(a, b), "lead_city").select("lead_id", "record_city", "token", "n", "place", "prefix")
-    # By the rare tokens of both, or by the rarest of one: a name that holds all tokens of the other has that.
-    near = [left.where(l).join(right.where(r), ["token", "record_city"]).select("lead_id", "record_id") for l, r in (("place <= prefix", "place <= prefix"), ("true", "place = 1"), ("place = 1", "true"))]
-    near = near[0].unionByName(near[1]).unionByName(near[2])
-    all_pairs = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).unionByName(near)
+    cities = written(city_pairs(a, b), "cities")
+    left = left.join(cities, "lead_city").select("lead_id", "record_city", "token", "n", "place", "prefix")
+    pairs.append(left.where("place <= prefix").join(right.where("place <= prefix"), ["token", "record_city"]).select("lead_id", "record_id"))
+    pairs += named_alike(a, b, cities)
+    all_pairs = reduce(DataFrame.unionByName, pairs)
     both = all_pairs.distinct().join(a, "lead_id").join(b, "record_id")
     same = {k: F.coalesce(F.col(f"lead_{k}") == F.col(f"record_{k}"), F.lit(False)) for k in ("vat", "domain", "phone")}
     two_vats = F.col("lead_vat").isNotNull() & F.col("record_vat").isNotNull()
@@ -168,8 +187,8 @@ def fill_blanks(leads: DataFrame, known: DataFrame, keys: list[str], fields: lis
     return out.select(*[c for c in leads.columns if c not in fields], *filled)
 
 
-def containing(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
-    """Pairs of rows where ``text`` contains ``needle``, as an equi join.
+def containing(texts: DataFrame, text: str, needles: DataFrame, needle: str, same: list[str] | None = None) -> DataFrame:
+    """Pairs of rows where ``text`` contains ``needle``, as an equi join; columns ``same`` of both must be equal.
 
     Every part of a text that is as long as some needle is a key; the lengths that occur are few (domains: at most 253) and
     the only thing that comes to the driver. Null and empty needles match nothing.
@@ -178,11 +197,13 @@ def containing(texts: DataFrame, text: str, needles: DataFrame, needle: str) ->
     lengths = sorted(r[0] for r in keys.select(F.length(needle)).distinct().collect())
     n = F.length(text)
     if not lengths:
-        return texts.join(keys, F.lit(False))
+        return texts.join(keys, same).where(F.lit(False)) if same else texts.join(keys, F.lit(False))
 
     def cut(size: int) -> Column:
         starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
 
     pieces = texts.withColumn("_part", F.explode(F.array_distinct(F.concat(*[cut(k) for k in lengths]))))
+    if same:
+        return pieces.join(keys.withColumn("_part", F.col(needle)), ["_part", *same]).drop("_part")
     return pieces.join(keys, F.col("_part") == F.col(needle)).drop("_part")

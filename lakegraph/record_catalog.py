@@ -316,11 +316,14 @@ def signal_counts(t: Tables) -> DataFrame:
     return lead_types(t).select("id", F.coalesce("n_signals", evidence).cast("long").alias("n"))
 
 
-@query("m4_signal_events", "SELECT s AS signal_type, e AS event_type, w AS worker_event_type FROM (VALUES ('hiring', 'new_hiring', 'new_hiring'), ('google_ads_started', 'ads_started', 'crm_installed'), ('META_ads_started', 'pixel_installed', 'pixel_installed'), ('tender_won', 'tender_won', NULL), ('expansion', 'registry_change', NULL), ('nothing', NULL, NULL)) v(s, e, w)")
+@query("m4_signal_events", """, ty AS (SELECT id, unnest(list_filter([CASE WHEN employees >= 100 THEN 'hiring' END, CASE WHEN google_ads THEN 'google_ads_started' END, CASE WHEN meta_pixel THEN 'META_ads_started' END, CASE WHEN revenue > 5000000 THEN 'tender_won' END, CASE WHEN active_ads > 4 THEN 'expansion' END, CASE WHEN pending THEN 'nothing' END], lambda x: x IS NOT NULL)) AS s FROM lead)
+ SELECT id, s AS signal_type, CASE s WHEN 'hiring' THEN 'new_hiring' WHEN 'google_ads_started' THEN 'ads_started' WHEN 'META_ads_started' THEN 'pixel_installed' WHEN 'tender_won' THEN 'tender_won' WHEN 'expansion' THEN 'registry_change' END AS event_type,
+ CASE s WHEN 'hiring' THEN 'new_hiring' WHEN 'google_ads_started' THEN 'crm_installed' WHEN 'META_ads_started' THEN 'pixel_installed' END AS worker_event_type FROM ty""")
 def signal_events(t: Tables) -> DataFrame:
-    kinds = ["hiring", "google_ads_started", "META_ads_started", "tender_won", "expansion", "nothing"]
-    rows = t.spark.range(1).select(F.explode(F.array(*map(F.lit, kinds))).alias("signal_type"))
-    return rows.select("signal_type", R.event_of_signal(F.col("signal_type")).alias("event_type"), R.event_of_signal(F.col("signal_type"), worker=True).alias("worker_event_type"))
+    """The signals that each lead's fields give, and the event type of each by both maps."""
+    tests = {"hiring": "employees >= 100", "google_ads_started": "google_ads", "META_ads_started": "meta_pixel", "tender_won": "revenue > 5000000", "expansion": "active_ads > 4", "nothing": "pending"}
+    rows = leads(t).select("id", F.explode(F.array_compact(F.array(*[F.when(F.expr(test), kind) for kind, test in tests.items()]))).alias("signal_type"))
+    return rows.select("id", "signal_type", R.event_of_signal(F.col("signal_type")).alias("event_type"), R.event_of_signal(F.col("signal_type"), worker=True).alias("worker_event_type"))
 
 
 # Filters

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lakegraph import analytics_catalog, catalog, lead_catalog, record_catalog, signal_catalog  # noqa: F401 - the others add to the first
+from lakegraph import analytics_catalog, catalog, index_catalog, lead_catalog, record_catalog, signal_catalog  # noqa: F401 - the others add to the first
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
