@@ -69,7 +69,7 @@ def _ranked_tokens(df: DataFrame, side: str, frequency: DataFrame) -> DataFrame:
     """``id, city, token, place, n, prefix``: tokens from the rarest on.
 
     Names of two tokens and more that share half of the longer list share two tokens at least and half of their own, so that
-    they have a token in common among the first ``prefix`` of each.
+    they have a token in common among the first ``prefix`` of each. A name of one token is another matter.
     """
     rows = df.select(f"{side}_id", F.col(f"{side}_city").alias(f"{side}_city"), F.size(f"{side}_tokens").alias("n"), F.explode(f"{side}_tokens").alias("token")).join(frequency, "token")
     w = Window.partitionBy(f"{side}_id").orderBy("many", "token")
@@ -88,12 +88,13 @@ def city_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
 def named_alike(a: DataFrame, b: DataFrame, cities: DataFrame) -> list[DataFrame]:
     """``lead_id, record_id`` where one name holds the other, either way, and where the letters are nearly the same.
 
-    Only names that such a likeness can get accepted are looked at: of two tokens, or of one with six letters. Equal names of
+    Only names that such a likeness can get accepted are looked at: leads of two tokens, or of one with six letters, and
+    records that don't consist of generic tokens. Equal names of
     a city stand for all their rows until the pairs are found.
     """
     could = (F.size("lead_tokens") >= 2) | (F.length(F.get("lead_tokens", F.lit(0))) >= 6)
     rows = a.where(could & (F.col("lead_name") != "")).join(cities, "lead_city").select("lead_id", "lead_name", "record_city")
-    named = b.where(F.col("record_name") != "").select("record_id", "record_name", "record_city")
+    named = b.where(F.size("record_tokens") > 0).select("record_id", "record_name", "record_city")
     leads, records = rows.select("lead_name", "record_city").distinct(), named.select("record_name", "record_city").distinct()
     near = near_names(leads.select(F.col("lead_name").alias("id"), F.col("record_city").alias("place"), F.col("lead_name").alias("name")), records.select(F.col("record_name").alias("id"), F.col("record_city").alias("place"), F.col("record_name").alias("name")), by_place=True)
     near = near.select(F.col("left_id").alias("lead_name"), F.col("right_id").alias("record_name"), F.col("place").alias("record_city"))
@@ -119,7 +120,9 @@ def match_companies(leads: DataFrame, records: DataFrame) -> DataFrame:
     pairs = [a.join(b, a[f"lead_{k}"] == b[f"record_{k}"]).select("lead_id", "record_id") for k in ("vat", "domain", "phone")]
     cities = written(city_pairs(a, b), "cities")
     left = left.join(cities, "lead_city").select("lead_id", "record_city", "token", "n", "place", "prefix")
-    pairs.append(left.where("place <= prefix").join(right.where("place <= prefix"), ["token", "record_city"]).select("lead_id", "record_id"))
+    # a name of one token shares half of a name of two by either of its tokens, every other half by a rare one
+    for l, r in (("place <= prefix", "place <= prefix"), ("n = 1", "n = 2"), ("n = 2", "n = 1")):
+        pairs.append(left.where(l).join(right.where(r), ["token", "record_city"]).select("lead_id", "record_id"))
     pairs += named_alike(a, b, cities)
     all_pairs = reduce(DataFrame.unionByName, pairs)
     both = all_pairs.distinct().join(a, "lead_id").join(b, "record_id")
