@@ -129,11 +129,12 @@ def site_or_name(t: Tables) -> DataFrame:
     return M.by_site_or_name(leads(t), by_site.unionByName(by_name))
 
 
-@query("j20_suffix_match", f"SELECT p.page_id, l.id FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages) p JOIN (SELECT 'n:' || n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'example.com' ELSE 'example.net' END AS host FROM nation) l ON p.host = l.host OR ends_with(p.host, '.' || l.host) OR ends_with(l.host, '.' || p.host)")
+@query("j20_suffix_match", "SELECT p.page_id, l.host AS site FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages) p JOIN (SELECT DISTINCT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages WHERE contains(url, '://')) l ON contains(p.host, '.') AND contains(l.host, '.') AND (p.host = l.host OR ends_with(p.host, '.' || l.host) OR ends_with(l.host, '.' || p.host))")
 def suffix_match(t: Tables) -> DataFrame:
+    """Each page with its site and with the sites that it lies under or that lie under it."""
     page = t.raw("pages").select(F.col("page_id").alias("id"), F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("host"))
-    sites = t.raw("nation").select(F.concat(F.lit("n:"), "n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 2 == 0, "example.com").otherwise("example.net").alias("host"))
-    return M.suffix_matches(page, sites).select(F.col("left_id").alias("page_id"), F.col("right_id").alias("id"))
+    sites = page.where(F.contains("host", F.lit("."))).select(F.col("host").alias("id"), "host").distinct()
+    return M.suffix_matches(page, sites).select(F.col("left_id").alias("page_id"), F.col("right_id").alias("site"))
 
 
 @query("j22_hydrate", f"SELECT l.id, coalesce(l.phone, d.phone) AS phone, coalesce(l.email, d.email) AS email FROM lead l LEFT JOIN (SELECT {DOMAIN_SQL} AS host, max(phone) AS phone, max(email) AS email FROM lead WHERE coalesce(site, 'N/D') <> 'N/D' GROUP BY 1) d ON CASE WHEN coalesce(l.site, 'N/D') <> 'N/D' THEN regexp_replace(l.site, '^https://www\\.([^/]*)/.*$', '\\1') END = d.host")
@@ -147,7 +148,7 @@ def hydrate(t: Tables) -> DataFrame:
 def company_match(t: Tables) -> DataFrame:
     none = F.lit(None).cast("string")
     a = leads(t).select("id", "name", "city", none.alias("vat"), host(F.col("site")).alias("domain"), F.when(L.present(F.col("phone")), F.col("phone")).alias("phone"))
-    s = t.raw("supplier").join(F.broadcast(t.raw("nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = t.raw("supplier").join(t.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     b = s.select(F.concat(F.lit("s:"), "s_suppkey").alias("id"), F.expr("replace(s_name, 'Supplier', 'Customer')").alias("name"), F.col("n_name").alias("city"), none.alias("vat"), F.expr("'shop' || s_suppkey || '.it'").alias("domain"), none.alias("phone"))
     return M.match_companies(a, b)
 

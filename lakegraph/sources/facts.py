@@ -77,5 +77,5 @@ def relationships(t: Tables) -> DataFrame:
 
 
 def companies(t: Tables) -> DataFrame:
-    rows = t.raw("customer").join(F.broadcast(t.raw("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = t.raw("customer").join(t.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.select(F.concat(F.lit("c:"), "c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("n_name").alias("city"), F.lower("c_mktsegment").alias("category"), F.col("c_acctbal").alias("balance"))

@@ -63,7 +63,7 @@ LEAD_SQL = (
 
 def leads(t: Tables) -> DataFrame:
     """One row for each customer; a small table of nations is joined, its size (25 rows) is fixed by the source."""
-    rows = t.raw("customer").join(F.broadcast(t.raw("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = t.raw("customer").join(t.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     tools = [("has_wordpress", "wordpress"), ("has_shopify", "shopify"), ("has_ga4", "ga4")]
     stack = F.array_compact(F.array(*[F.when(F.col(flag), name) for flag, name in tools]))
     return rows.select(*[F.expr(sql).alias(name) for name, sql in _FIELDS.items()]).withColumn("tech_stack", stack)

@@ -19,10 +19,10 @@ class Tables:
         nation = self.raw("nation")
         seen = self.raw("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last_seen_at"))
         none = F.lit(None).cast("string")
-        c = self.raw("customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(seen, "c_custkey", "left")
+        c = self.raw("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(seen, "c_custkey", "left")
         c = c.select(F.concat(F.lit("c:"), "c_custkey").alias("id"), F.lit("company").alias("entity_type"), F.col("c_name").alias("name"), F.col("n_name").alias("city"), F.col("c_mktsegment").alias("category"), ((F.col("c_custkey") % 50) / 100.0 + 0.5).alias("confidence"), "last_seen_at", none.alias("merged_into_id"))
         k = F.col("s_suppkey")
-        s = self.raw("supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+        s = self.raw("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         s = s.select(F.concat(F.lit("s:"), k).alias("id"), F.lit("company").alias("entity_type"), F.col("s_name").alias("name"), F.col("n_name").alias("city"), F.lit("SUPPLIER").alias("category"), F.lit(0.9).alias("confidence"), F.lit(None).cast("timestamp").alias("last_seen_at"), F.when((k % 10).isin(7, 8), F.concat(F.lit("s:"), k + 1)).alias("merged_into_id"))
         n = nation.select(F.concat(F.lit("n:"), "n_nationkey").alias("id"), F.lit("location").alias("entity_type"), F.col("n_name").alias("name"), none.alias("city"), none.alias("category"), F.lit(1.0).alias("confidence"), F.lit(None).cast("timestamp").alias("last_seen_at"), none.alias("merged_into_id"))
         return c.unionByName(s).unionByName(n)
@@ -49,7 +49,7 @@ class Tables:
 
     def deals(self) -> DataFrame:
         stage = F.when(F.col("o_orderstatus") == "F", "won").when(F.col("o_orderstatus") == "P", "lost").otherwise("active")
-        o = self.raw("orders").join(self.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(self.raw("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+        o = self.raw("orders").join(self.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).join(self.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("lead"), stage.alias("stage"), F.col("o_totalprice").alias("deal_value"), (F.col("o_orderkey") % 101).alias("score"), F.col("o_orderdate").alias("updated_at"), F.col("c_mktsegment").alias("category"), F.col("n_name").alias("city"))
 
 
