@@ -326,7 +326,8 @@ def cleaned_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW, covera
     """Whole documents without the spans that occur in the benchmark, with the columns they came with.
 
     A document that loses more than ``coverage`` of its words is dropped; one without words or hits stays as it is.
-    ``n_chars``, where the table has it, follows the text of a document that was cut.
+    ``n_chars``, where the table has it, follows the text of a document that was cut. Null texts stay null, repeated rows are
+    cut alike, an empty table stays empty, and columns may have any names.
     """
     packed = docs.select(F.struct("*").alias("_doc"), F.col("text").alias("_text"))
     stay = find_hits(packed, "_text", items, window, clean=True).where(n_hit() <= F.col("_n_words") * F.lit(coverage))

@@ -130,7 +130,9 @@ def mix_rows(docs: DataFrame, seed: int = 0) -> DataFrame:
     """Whole documents, each as often as the mix takes it, with the columns they came with.
 
     The mix is made on narrow rows, which know a document by its id and the hash of all its columns; texts meet their copies
-    in one join. Rows that are equal in all columns share their copies.
+    in one join. Rows that are equal in all columns share their copies. Null and empty texts have no words and are never
+    taken; null sources are one source; an empty table stays empty. Columns may have any names; a map has no hash in Spark
+    and isn't allowed.
     """
     packed = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id")).withColumn("_tie", F.xxhash64("_doc"))
     narrow = packed.select("_id", "_tie", F.col("_doc.source").cast("string").alias("_source"), word_count(F.col("_doc.text")).alias("_words"))

@@ -115,7 +115,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Whole documents with ``shard``, ``slot`` and ``curve``. A column that already has such a name goes on under it and ``_given``."""
+    """Whole documents with ``shard``, ``slot`` and ``curve``. A column that already has such a name goes on under it and ``_given``.
+
+    Nulls in any column and empty texts have their place on the curve; ties stand by id and hash of the text, repeated rows
+    all stay; an empty table stays empty.
+    """
     given = set_aside(docs, "shard, slot, curve")
     packed = docs.select(F.struct("*").alias("_doc"), F.col("source").cast("string").alias("_source"), F.col("lang").cast("string").alias("_lang"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text_hash"), unsigned_bytes(F.col("text")).alias("_size"))
     placed = hilbert_shards(packed, ["_source", "_lang"], F.col("_size"), [F.col("_id"), F.col("_text_hash")], shards)
