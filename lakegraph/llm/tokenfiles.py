@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lakegraph.llm.common import SLICE, map_texts, scratch_root, utf8_bytes, written
+from lakegraph.llm.common import SLICE, scratch_root, written
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 #: The dictionary is trained on so many documents of the least hashes, on their first characters, by one task.
@@ -37,51 +38,126 @@ LEVEL = 3
 #: Bytes of frames, and documents, after which a block ends.
 BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 16_384
 #: Pre-tokens that a worker remembers, of at most so many characters.
-REMEMBERED, REMEMBERED_CHARS = 1_000_000, 64
+REMEMBERED, REMEMBERED_CHARS = 600_000, 64
+#: Bytes of text that are encoded together (one text may have more), and new chunks that are given to the library as one text.
+TOGETHER, LEARNED = 12 << 20, 5000
 
+#: Texts with other characters than these, and those with a space before white space or at the end, go to the library whole.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏªµº"
-#: Texts with other characters go to the library whole.
-UNUSUAL = re.compile(f"[^{LETTERS}\t\n\r -~¡-©«¬®-±´¶-¸»¿×÷]")
-#: The byte-level pre-token pattern for the usual characters.
-PIECE = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s0-9{LETTERS}]+|\\s+(?!\\S)|\\s+")
+UNUSUAL = f"[^{LETTERS}\t\n\r -~¡-©«¬®-±´¶-¸»¿×÷]| ([ \t\n\r]|$)"
+#: The byte-level pre-token pattern, for those characters and a chunk whose white space stands alone or last.
+PIECE = f"('(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^ \t\n\r0-9{LETTERS}]+| ?[\t\n\r]+| )"
 
 
 class Encoder:
-    """Serialised ids of texts, as the library gives them without added special tokens; pre-tokens are encoded once."""
+    """Ids of texts, as the library gives them without added special tokens.
+
+    The byte-level pattern parts a text before each single space that a word follows. So a text is cut there, each distinct
+    chunk is put together once from its pre-tokens, and each distinct pre-token is encoded once: many new ones as one
+    text, in which the bytes of the tokens tell where they end.
+    """
 
     def __init__(self, config: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(config)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memory: dict[str, bytes] = {}
-        # the memory is for the byte level's own pattern, without normaliser; else every text goes to the library whole
+        # cutting is right for the byte level's own pattern without normaliser; else every text goes to the library whole
         split = self.tokenizer.pre_tokenizer
         same = isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space
         self.plain = same and self.tokenizer.normalizer is None
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added)) if added else None
+        self.odd = "|".join([UNUSUAL, *added])
+        #: Bytes that each token stands for; an added token's are never asked for.
+        self.token_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.token_bytes[i] = len(token)
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, pieces: list[str]) -> None:
-        self.memory.update(zip(pieces, self.library(pieces), strict=True))
-
-    def encode(self, text: str) -> bytes:
-        if not self.plain or UNUSUAL.search(text) or self.added and self.added.search(text):
-            return self.library([text])[0]
-        pieces = PIECE.findall(text)
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def spaced(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, each with a space in front."""
+        ids = np.frombuffer(self.library([" " + " ".join(chunks)])[0], self.kind)
+        ends, wanted = np.cumsum(self.token_bytes[ids]), np.cumsum([1 + len(c.encode()) for c in chunks])
+        cut = np.searchsorted(ends, wanted)
+        if ends[-1] != wanted[-1] or not (ends[cut] == wanted).all():
+            return self.library([f" {c}" for c in chunks])
+        raw, at = ids.tobytes(), ((cut + 1) * self.kind.itemsize).tolist()
+        return list(map(raw.__getitem__, map(slice, [0, *at[:-1]], at)))
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pre-tokens, from memory or the library; new ones with a space in front go there as one text."""
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        new = list(set(pieces).difference(self.memory))
-        if new:
-            self.learn(new)
-        out = b"".join(map(self.memory.__getitem__, pieces))
-        for p in new:
-            if len(p) > REMEMBERED_CHARS:
-                del self.memory[p]
-        return out
+        found = list(map(self.memory.get, pieces))
+        new = [k for k, x in enumerate(found) if x is None]
+        words = [k for k in new if pieces[k][:1] == " " and not pieces[k].isspace()]
+        for at in range(0, len(words), LEARNED):
+            some = words[at : at + LEARNED]
+            for k, x in zip(some, self.spaced([pieces[k][1:] for k in some]), strict=True):
+                found[k] = x
+        rest = [k for k in new if found[k] is None]
+        for k, x in zip(rest, self.library([pieces[k] for k in rest]), strict=True):
+            found[k] = x
+        self.memory.update((pieces[k], found[k]) for k in new if len(pieces[k]) <= REMEMBERED_CHARS)
+        return found
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks with a space in front, one after the other, and the number of each."""
+        spaced = pc.binary_join_element_wise("", chunks, " ")
+        odd = pc.match_substring_regex(chunks, "[\t\n\r]{2}[^\t\n\r]").to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(pc.replace_substring_regex(spaced, PIECE, "\\1\0"), "\0")
+        ends = np.cumsum(pc.list_value_length(split).to_numpy())
+        coded = split.flatten().dictionary_encode()
+        ids, size = _gathered(self._pieces(coded.dictionary.to_pylist()), coded.indices.to_numpy().astype(np.int64), self.kind)
+        sizes = np.diff(np.cumsum(size)[ends - 1], prepend=0)
+        if odd.any():  # white space that parts within a chunk
+            raw, cut = ids.tobytes(), (np.concatenate([[0], np.cumsum(sizes)]) * self.kind.itemsize).tolist()
+            parts = [raw[a:b] for a, b in zip(cut, cut[1:])]
+            at = np.flatnonzero(odd).tolist()
+            for k, x in zip(at, self.library(spaced.take(pa.array(at)).to_pylist()), strict=True):
+                parts[k] = x
+            ids, sizes = np.frombuffer(b"".join(parts), self.kind), np.fromiter(map(len, parts), np.int64, len(parts)) // self.kind.itemsize
+        return ids, sizes
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """From an array of strings without nulls."""
+        size = np.cumsum(pc.binary_length(texts).to_numpy()) // TOGETHER
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)]
+        return [x for a, b in zip(cuts, cuts[1:]) if b > a for x in self._encode(texts.slice(a, b - a))]
+
+    def _encode(self, texts: pa.Array) -> list[bytes]:
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False) if self.plain else np.ones(len(texts), bool)
+        whole = iter(self.library(texts.filter(pa.array(odd)).to_pylist()))
+        plain = texts.filter(pa.array(~odd))
+        if not len(plain):
+            return list(whole)
+        split = pc.split_pattern(plain, " ")
+        first = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        coded = split.flatten().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        # a text's first chunk has no space in front: these stand behind the others, one for each text
+        heads = self.library(coded.dictionary.take(pa.array(code[first[:-1]])).to_pylist())
+        ids, sizes = self._chunks(coded.dictionary)
+        code[first[:-1]] = len(sizes) + np.arange(len(plain))
+        sizes = np.concatenate([sizes, np.fromiter(map(len, heads), np.int64, len(heads)) // self.kind.itemsize])
+        flat, size = _taken(np.concatenate([ids, np.frombuffer(b"".join(heads), self.kind)]), sizes, code)
+        raw, cut = flat.tobytes(), (np.concatenate([[0], np.cumsum(size)])[first] * self.kind.itemsize).tolist()
+        made = iter([raw[a:b] for a, b in zip(cut, cut[1:])])
+        return [next(whole) if o else next(made) for o in odd.tolist()]
+
+
+def _taken(flat: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts (of ``sizes``) of ``flat`` that ``code`` names, one after the other, and their sizes."""
+    starts, size = np.cumsum(sizes) - sizes, sizes[code]
+    ends = np.cumsum(size)
+    return flat[np.repeat(starts[code] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], size
+
+
+def _gathered(parts: list[bytes], code: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    return _taken(np.frombuffer(b"".join(parts), kind), np.fromiter(map(len, parts), np.int64, len(parts)) // kind.itemsize, code)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -122,8 +198,8 @@ BLOCKS = "shard int, block int, dictionary string, first_id long, last_id long,
 def write_tokens(docs: DataFrame, path: str, config: str, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the token ids of every text to ``path`` in ascending order of ``id_col`` (whole numbers), each followed by ``end_id``.
 
-    Null ids come first, null texts are empty. Rows with the same id stand in the order of their number of ids and their
-    frames, so that every run writes the same. Further columns are not kept. An empty table has a dictionary of no bytes
+    Null ids come first, null texts are empty. Rows with the same id stand in the order of their number of ids, their
+    frames' hashes and their frames, so that every run writes the same. Further columns are not kept. An empty table has a dictionary of no bytes
     and no blocks. The texts are encoded once, and frames, not texts, are sorted.
     """
     token = uuid.uuid4().hex
@@ -132,9 +208,9 @@ def write_tokens(docs: DataFrame, path: str, config: str, end_id: int | None = E
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(token, shared.value)
-        samples = [enc.encode(t.decode()) for b in batches for t in utf8_bytes(b.column("_text"))]
+        samples = [x for b in batches for x in enc.encode(b.column("_text"))]
         content = train(samples)
-        yield pa.RecordBatch.from_pydict({"sha256": [hashlib.sha256(content).hexdigest()], "content": pa.array([content], pa.binary()), "id_bytes": pa.array([int(enc.kind[-1])], pa.int32())})
+        yield pa.RecordBatch.from_pydict({"sha256": [hashlib.sha256(content).hexdigest()], "content": pa.array([content], pa.binary()), "id_bytes": pa.array([enc.kind.itemsize], pa.int32())})
 
     samples = _sampled(docs)
     if samples.isEmpty():
@@ -145,16 +221,18 @@ def write_tokens(docs: DataFrame, path: str, config: str, end_id: int | None = E
     made.write.parquet(f"{path}/dictionary")
     sha, content, _ = read_dictionary(docs.sparkSession, path)
 
-    def frames(texts: list[bytes | None]) -> dict[str, list]:
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(token, shared.value)
         pack = zstandard.ZstdCompressor(level=LEVEL, **_dictionary(content))
         end = b"" if end_id is None else np.array([end_id], enc.kind).tobytes()
-        ids = [enc.encode(t.decode()) + end for t in texts]
-        return {"_n": [len(x) // int(enc.kind[-1]) for x in ids], "_frame": [pack.compress(x) for x in ids]}
+        for batch in batches:
+            ids = [x + end for x in enc.encode(batch.column("_text"))]
+            n = [len(x) // enc.kind.itemsize for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n, pa.int64()), pa.array(map(pack.compress, ids), pa.binary())], names=["_id", "_n", "_frame"])
 
-    laid = written(map_texts(docs, "_text", "_n long, _frame binary", frames), "frames")
-    order = ["_id", "_n", "_frame"]
-    blocks = laid.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_packer(sha), BLOCKS)
+    laid = written(docs.select("_id", "_text").mapInArrow(frames, "_id long, _n long, _frame binary"), "frames")
+    # ranges are cut by a hash of the frame, so that no frame is sampled to the driver
+    blocks = laid.withColumn("_hash", F.xxhash64("_frame")).repartitionByRange("_id", "_n", "_hash").sortWithinPartitions("_id", "_n", "_hash", "_frame").drop("_hash").mapInArrow(_packer(sha), BLOCKS)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     shards = docs.sparkSession.read.parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))

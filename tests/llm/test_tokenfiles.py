@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -46,14 +47,17 @@ def test_round_trip(spark):
     assert [s for _, s, *_ in got] == np.cumsum([0, *(n for _, _, n, _ in got)])[:-1].tolist()
 
 
-def test_encoder_equals_library():
+def test_encoder_equals_library(monkeypatch):
     with open(PATH, encoding="utf-8") as f:
         enc = tokenfiles.Encoder(f.read())
     rng = random.Random(9)
-    alphabet = "abcXYZ éßñǅ¿×'’ \t\n12.,!<|>_"
+    alphabet = "abcXYZ éßñǅ¿×'’ \t\n12.,!<|>_ab  "
     texts = [t for t in ODD if t is not None] + ["".join(rng.choices(alphabet, k=rng.randint(1, 30))) for _ in range(4000)]
-    for text, ids in zip(texts, encoded(texts), strict=True):
-        assert np.frombuffer(enc.encode(text), enc.kind).tolist() + [2] == ids, text
+    monkeypatch.setattr(tokenfiles, "TOGETHER", 2000)
+    monkeypatch.setattr(tokenfiles, "REMEMBERED", 500)
+    for text, got, ids in zip(texts, enc.encode(pa.array(texts)), encoded(texts), strict=True):
+        assert np.frombuffer(got, enc.kind).tolist() + [2] == ids, text
+    assert enc.encode(pa.array([], pa.string())) == [] and max(map(len, enc.memory)) <= tokenfiles.REMEMBERED_CHARS
 
 
 def test_files_and_single_documents(spark, tmp_path, monkeypatch):
