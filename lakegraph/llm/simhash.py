@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakegraph.llm.common import map_texts, set_aside, written
+from lakegraph.llm.common import SLICE, map_texts, set_aside, written
 
 SEED = 42
 #: Rows of one bucket that one task verifies at once; larger buckets are dealt out in blocks of half as many.
@@ -219,11 +219,18 @@ def document_components(docs: DataFrame) -> DataFrame:
 
 #: The pipeline's stage: word shingles of this width link documents from this Jaccard similarity on.
 WIDTH, SIMILAR = 5, 0.8
-#: MinHash bands and values a band: a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 40 = 1e-7.
-BANDS, VALUES = 40, 5
-#: Documents of one band key that are paired one by one; more are compared as a block, larger ones in blocks of half as many.
+#: Segments of a set's long fingerprint and bits of each: a pair at similarity 0.8, whose bits differ with probability 0.15, shares
+#: none with probability (1 - 0.85 ** 14) ** 160 = 5e-8. Small sets, whose bits differ more, have twice as many.
+SEGMENTS, WIDE, SMALL = 160, 14, 5
+#: What shares a segment is looked at if at most so many bits of the first 12 segments (3 words) differ; 25 on average at 0.8, deviation 4.6.
+HEAD, FAR = 3, 53
+#: Segments of the rounds: those before FULL only compare neighbours, the others all rows of a bucket that no earlier round has joined.
+ROUNDS, FULL = ((0, 16), (16, 48), (0, SEGMENTS // 2), (SEGMENTS // 2, 2 * SEGMENTS)), 2
+#: Rows of a bucket that list all their pairs; in larger ones many pairs are compared as a block, large ones in blocks of half as many.
 FEW, BLOCK = 8, 1024
-_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * VALUES, 1), np.uint32)
+#: Buckets of up to so many rows are compared together.
+TOGETHER = 64
+_SALT, _ODD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, 2 * SEGMENTS * WIDE // 64), np.uint64)
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -231,16 +238,21 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, WIDTH))
 
 
-def bands(shingles: np.ndarray) -> list[int]:
-    """One key a band: the hash of its MinHash values; none for an empty set."""
+def long_fingerprint(shingles: np.ndarray) -> bytes:
+    """SimHash of a set with new hashes for each 64 bits, as segments of 16 bits whose upper two are 0; empty for an empty set.
+
+    A bit is 1 if it is set in over half of the hashes.
+    """
     if not len(shingles):
-        return []
-    least = np.full(BANDS * VALUES, (1 << 32) - 1, np.uint32)
-    high = (shingles >> np.uint64(32)).astype(np.uint32)
-    for start in range(0, len(high), 512):
-        np.minimum(least, (high[start : start + 512] * (_DRAWN[0] | np.uint32(1)) + _DRAWN[1]).min(1), out=least)
-    rows = least.reshape(BANDS, VALUES)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
+        return b""
+    count = SEGMENTS * (1 + (len(shingles) <= SMALL))
+    words = count * WIDE // 64
+    votes = np.zeros(64 * words, np.int64)
+    for start in range(0, len(shingles), 128):
+        h = (shingles[start : start + 128, None] ^ _SALT[:words]) * (_ODD[:words] | np.uint64(1))
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        votes += np.unpackbits((h ^ (h >> np.uint64(29))).view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return ((2 * votes > len(shingles)).reshape(count, WIDE) @ (1 << np.arange(WIDE))).astype(np.uint16).tobytes()
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -288,21 +300,157 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": nodes[tails], "b": nodes[heads]})
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, few: int = FEW, block: int = BLOCK) -> DataFrame:
-    """``a, b``: verified links that join what the pairs with a common band and similarity ``SIMILAR`` join.
+_HEAD = [f"w{i}" for i in range(HEAD)]
+
+
+def _segments(first: int, last: int):
+    """Rows ``key, node, label`` and the head words, one for each segment from ``first`` to ``last`` of ``_print``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                prints = batch.column("_print").to_pylist()
+                sizes = np.fromiter(map(len, prints), np.int64, len(prints)) // 2
+                for size in np.unique(sizes[sizes > first]).tolist():
+                    at = np.flatnonzero(sizes == size)
+                    raw = b"".join(prints[i] for i in at)
+                    part = np.frombuffer(raw, np.uint16).reshape(len(at), size)[:, first:last]
+                    head = np.frombuffer(raw, np.int64).reshape(len(at), -1)[:, :HEAD]
+                    key = (np.arange(first, first + part.shape[1], dtype=np.int32) << 16) | part
+                    columns = [batch.column(c).to_numpy()[at] for c in ("node", "label")] + list(head.T)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel())] + [pa.array(np.repeat(c, part.shape[1])) for c in columns], names=["key", "node", "label", *_HEAD])
+
+    return run
+
+
+CANDIDATES = "a long, b long, hot long, label long, " + ", ".join(f"{w} long" for w in _HEAD)
 
-    ``nodes`` has ``node, _tie, _bands``, one row for each set of shingles; ``texts`` has ``_tie, _text``. Buckets with the
-    same nodes count once. Pairs of small buckets are listed once and verified; a large bucket gives spanning links of its
-    exact similarities.
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows ``label, head words`` have different labels and heads that are near."""
+    return (x[..., 0] != y[..., 0]) & (sum(np.bitwise_count((x[..., i] ^ y[..., i]).view(np.uint64)) for i in range(1, HEAD + 1)) <= FAR)
+
+
+def _candidates(keys: list[str], neighbours: bool, few: int, bucket: int | None):
+    """Reads rows sorted by the key columns; yields pairs ``a, b`` that are near in a bucket and not joined yet.
+
+    A bucket of more than ``few`` rows with more such pairs than half of its rows is given as its rows ``hot, a`` instead; beyond
+    ``bucket`` rows it comes again with all its columns.
     """
-    keys = nodes.select("node", F.explode("_bands").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("all")).where("n > 1")
-    shared = written(sizes.groupBy("n", "lo", "hi", "all").agg(F.min("key").alias("key")), "bands")
-    more = written(keys.join(shared.where("n > 2").select("key", "n"), "key"), "buckets")
-    some = more.where(F.col("n") <= few)
-    pairs = some.select("key", F.col("node").alias("a")).join(some.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-    pairs = written(shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).unionByName(pairs).distinct(), "pairs")
-    hot = more.where(F.col("n") > few)
+    names, m = [c.split()[0] for c in CANDIDATES.split(", ")], len(keys)
+
+    def out(*columns: np.ndarray | None) -> pa.RecordBatch:
+        n = len(next(c for c in columns if c is not None))
+        columns += (None,) * (len(names) - len(columns))
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c) for c in columns], names=names)
+
+    def as_block(nodes: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        return out(nodes, None, np.full(len(nodes), xxhash.xxh64_intdigest(key.tobytes(), SEED) - (1 << 63)))
+
+    def again(x: np.ndarray) -> pa.RecordBatch:
+        return out(x[:, m], None, x[:, 0], *x[:, m + 1 :].T)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, spilling = np.zeros((0, m + 2 + HEAD), np.int64), None
+        for batch in batches:
+            column = dict(zip(batch.schema.names, batch.columns, strict=True))
+            x = np.stack([column[c].to_numpy().astype(np.int64, copy=False) for c in (*keys, "node", "label", *_HEAD)], 1)
+            if spilling is not None:  # the rest of a bucket that comes again
+                other = (x[:, :m] != spilling).any(1)
+                same = int(other.argmax()) if other.any() else len(x)
+                if same:
+                    yield again(x[:same])
+                x, spilling = x[same:], spilling if same == len(x) else None
+            x = np.concatenate([held, x])
+            edges = np.flatnonzero((x[1:, :m] != x[:-1, :m]).any(1)) + 1
+            last = int(edges[-1]) if len(edges) else 0
+            if neighbours:
+                yield from buckets(x, edges)
+                held = x[-1:]
+                continue
+            yield from buckets(x[:last], edges[:-1])
+            held = x[last:]
+            if bucket and len(held) > bucket:
+                yield again(held)
+                spilling, held = held[0, :m].copy(), held[:0]
+        if len(held) and not neighbours:
+            yield from buckets(held, np.zeros(0, int))
+
+    def buckets(x: np.ndarray, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts, stops = np.concatenate([[0], edges]).astype(int), np.concatenate([edges, [len(x)]]).astype(int)
+        node, rest, ends, sizes = x[:, m], x[:, m + 1 :], np.repeat(stops, stops - starts), stops - starts
+        at, step, tails, heads = np.flatnonzero(np.repeat(neighbours | (sizes <= TOGETHER), sizes)), 1, [], []
+        while len(at := at[at + step < ends[at]]):
+            hit = at[_near(rest[at], rest[at + step])]
+            tails.append(hit)
+            heads.append(hit + step)
+            step += 1
+            if neighbours:
+                break
+        if tails:
+            t, h = np.concatenate(tails), np.concatenate(heads)
+            own = np.searchsorted(starts, t, "right") - 1
+            full = (2 * np.bincount(own, minlength=len(sizes)) > sizes) & (sizes > few) & (not neighbours)
+            for i in np.flatnonzero(full):
+                met = np.unique(np.concatenate([t[own == i], h[own == i]]))
+                yield as_block(node[met], x[starts[i], :m])
+            tails, heads = [node[t[~full[own]]]], [node[h[~full[own]]]]
+        for i in () if neighbours else np.flatnonzero(sizes > TOGETHER):
+            part, ids = rest[starts[i] : stops[i]], node[starts[i] : stops[i]]
+            if (part[:, 0] == part[0, 0]).all():
+                continue
+            if bucket and len(part) > bucket:
+                yield again(x[starts[i] : stops[i]])
+                continue
+            met, found, count = np.zeros(len(part), bool), [], 0
+            for s in range(0, len(part), 256):
+                t, h = np.nonzero(np.triu(_near(part[s : s + 256, None], part[None, s:]), 1))
+                met[t + s] = met[h + s] = True
+                count += len(t)
+                if 2 * count <= len(part) or len(part) <= few:
+                    found.append((ids[t + s], ids[h + s]))
+            if 2 * count > len(part) > few:
+                yield as_block(ids[met], x[starts[i], :m])
+            else:
+                tails += [t for t, _ in found]
+                heads += [h for _, h in found]
+        if sum(map(len, tails)):
+            a, b = np.concatenate(tails), np.concatenate(heads)
+            yield out(np.minimum(a, b), np.maximum(a, b))
+
+    return run
+
+
+def _blocks(n: str, block: int):
+    """Deals rows out by the hash of their ``node``: each row meets each block of its bucket once, block pairs ``i <= j``."""
+    count = F.when(F.col(n) <= block, 1).otherwise(F.ceil(F.col(n) / F.lit(block / 2))).cast("long")
+
+    def deal(df: DataFrame, *columns: str) -> DataFrame:
+        dealt = df.withColumn("_n", count).withColumn("_own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("_n"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+        return dealt.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), *columns)
+
+    return deal
+
+
+def candidates(nodes: DataFrame, first: int, last: int, neighbours: bool, few: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a < b`` and bucket rows ``key, node, n``: what shares one of the segments, is near by its head and differs in ``label``."""
+    rows = nodes.mapInArrow(_segments(first, last), "key int, node long, label long, " + ", ".join(f"{w} long" for w in _HEAD))
+    laid = rows.repartition("key").sortWithinPartitions("key", *(_HEAD[:1] if neighbours else []))
+    found = written(laid.mapInArrow(_candidates(["key"], neighbours, few, None if neighbours else bucket), CANDIDATES), "candidates")
+    over = found.where("w0 is not null")
+    if not over.isEmpty():
+        rows = over.withColumnsRenamed({"hot": "key", "a": "node"}).drop("b")
+        dealt = _blocks("n", bucket)(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key"), "node", "label", *_HEAD)
+        more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_candidates(["key", "i", "j"], False, few, None), CANDIDATES)
+        found = found.where("w0 is null").unionByName(written(more, "candidates-of-blocks"))
+    pairs = written(found.where("b is not null").select("a", "b").distinct(), "pairs")
+    hot = found.where("b is null").select(F.col("hot").alias("key"), F.col("a").alias("node"))
+    return pairs, written(hot.join(hot.groupBy("key").agg(F.count("*").alias("n")), "key"), "buckets")
+
+
+def verified(nodes: DataFrame, texts: DataFrame, pairs: DataFrame, hot: DataFrame, block: int) -> DataFrame:
+    """``a, b``: links that join what the pairs and the rows of each bucket with similarity ``SIMILAR`` join."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(hot.select("node")).distinct()
     chosen = nodes.select("node", "_tie").join(wanted, "node")
     found = texts.join(chosen, "_tie").select("node", "_text").dropDuplicates(["node"])
@@ -310,19 +458,35 @@ def similar_links(nodes: DataFrame, texts: DataFrame, few: int = FEW, block: int
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("_set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("_set").alias("y")), "b")
     links = both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
     if not hot.isEmpty():
-        # Each row meets each block of its bucket once: block pairs (i, j) with i <= j, a bounded number of rows each.
-        n = F.when(F.col("n") <= block, 1).otherwise(F.ceil(F.col("n") / F.lit(block / 2))).cast("long")
-        dealt = hot.withColumn("_n", n).withColumn("_own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("_n"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-        dealt = dealt.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "node").join(sets, "node")
+        dealt = _blocks("n", block)(hot, "node").join(sets, "node")
         links = links.unionByName(dealt.groupBy("key", "i", "j").applyInArrow(_block_links, "a long, b long"))
     return written(links.distinct(), "similar")
 
 
+def similar_links(nodes: DataFrame, texts: DataFrame, few: int = FEW, block: int = BLOCK) -> DataFrame:
+    """``a, b``: verified links that join what the pairs with a common segment, near heads and similarity ``SIMILAR`` join.
+
+    ``nodes`` has ``node, _tie, _print``, one row for each set of shingles; ``texts`` has ``_tie, _text``. The first rounds
+    only look at neighbours in the index, which joins most copies by few comparisons; the others look at all pairs of all
+    segments whose ends are not joined yet.
+    """
+    links, labelled = None, nodes.select("node", F.col("node").alias("label"), "_print")
+    for k, (first, last) in enumerate(ROUNDS):
+        if links is not None:
+            labels = components(links).withColumnRenamed("node", "_node")
+            labelled = nodes.join(labels, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("label", "node").alias("label"), "_print")
+        pairs, hot = candidates(labelled, first, last, k < FULL, few, 8 * block)
+        found = verified(nodes, texts, pairs, hot, block)
+        links = found if links is None else links.unionByName(found)
+    return links
+
+
 def distinct_rows(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group: the one with the least id, and of equal ids the least by the hash of all its columns.
 
     Groups are the components of all pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-    MinHash bands find the candidates, the sets decide. Documents with equal sets are one node; texts without words too.
+    A multi-index over the segments of long SimHash fingerprints finds the candidates, the sets decide. Documents with equal
+    sets are one node; texts without words too.
     Null ids come last, so that a group keeps a document with an id where it has one; rows that are equal in all columns
     are one. Columns pass as they came, whatever their names; an empty table stays empty. All decisions are made on narrow
     rows, which know a document by its id and the hash of all its columns.
@@ -331,13 +495,13 @@ def distinct_rows(docs: DataFrame) -> DataFrame:
 
     def make(texts: list[bytes | None]) -> dict[str, list]:
         sets = [shingle_set(t) for t in texts]
-        return {"node": [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets], "_bands": [bands(s) for s in sets]}
+        return {"node": [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets], "_print": [long_fingerprint(s) for s in sets]}
 
     texts = packed.select("_id", "_tie", F.col("_doc.text").alias("_text"))
-    table = written(map_texts(texts, "_text", "node long, _bands array<long>", make), "minhash")
+    table = written(map_texts(texts, "_text", "node long, _print binary", make), "long-fingerprints")
     first = F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_tie")).alias("w")
-    nodes = written(table.groupBy("node").agg(first, F.first("_bands").alias("_bands")), "nodes")
-    labels = components(similar_links(nodes.select("node", "w._tie", "_bands"), texts.select("_tie", "_text"))).withColumnRenamed("node", "_node")
+    nodes = written(table.groupBy("node").agg(first, F.first("_print").alias("_print")), "nodes")
+    labels = components(similar_links(nodes.select("node", "w._tie", "_print"), texts.select("_tie", "_text"))).withColumnRenamed("node", "_node")
     member = nodes.join(labels, F.col("node") == F.col("_node"), "left").select("w", F.coalesce("label", "node").alias("_label"))
     winners = member.groupBy("_label").agg(F.min("w").alias("w")).select(F.col("w._id").alias("_kid"), F.col("w._tie").alias("_ktie"))
     same = F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_tie") == F.col("_ktie"))

@@ -455,6 +455,51 @@ def test_distinct_rows_against_all_pairs(spark, few, block, monkeypatch):
     assert len(got) == len(set(label)) and {r.doc_id for r in got} == want
 
 
+def planted(rng, size, pairs):
+    """Pairs of shingle sets at similarity 0.8 (or just above, where sizes allow no 0.8)."""
+    out = []
+    for _ in range(pairs):
+        common = [rng.getrandbits(64) for _ in range(size - size // 9)]
+        more = [rng.getrandbits(64) for _ in range(2 * (size // 9) or 1)]
+        half = (len(more) + 1) // 2
+        out.append([np.array(common + x, np.uint64) for x in (more[:half], more[half:])])
+    return out
+
+
+@pytest.mark.parametrize("size", [4, 5, 9, 18, 180])
+def test_long_fingerprints_share_a_segment(size):
+    for x, y in planted(random.Random(size), size, 400):
+        assert len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+        f, g = (np.frombuffer(simhash.long_fingerprint(s), np.uint16) for s in (x, y))
+        n = min(len(f), len(g))
+        assert (f[:n] == g[:n]).any() and np.bitwise_count(f[: 4 * simhash.HEAD] ^ g[: 4 * simhash.HEAD]).sum() <= simhash.FAR
+
+
+@pytest.mark.parametrize(("few", "bucket"), [(64, 8192), (2, 8192), (2, 5)])
+def test_candidates_are_those_of_the_multi_index(spark, few, bucket):
+    """The stage's pairs come from SimHash segments: all that share one, with near heads and different labels, and no others."""
+    rng = random.Random(few)
+    sets = [s for size in (4, 30) for pair in planted(rng, size, 30) for s in pair]
+    sets += [np.append(sets[-1], np.uint64(rng.getrandbits(64))) for _ in range(12)]
+    prints = [simhash.long_fingerprint(s) for s in sets]
+    assert len(prints[0]) == 4 * simhash.SEGMENTS and len(prints[-1]) == 2 * simhash.SEGMENTS
+    label = [i - i % 2 if i < 8 else i for i in range(len(sets))]
+
+    def want(a, b):
+        f, g = ([int.from_bytes(prints[i][k : k + 2], "little") for k in range(0, len(prints[i]), 2)] for i in (a, b))
+        far = sum(bin(x ^ y).count("1") for x, y in zip(f[:12], g[:12], strict=True))
+        return label[a] != label[b] and far <= 53 and any(x == y for x, y in zip(f, g, strict=False))
+
+    nodes = spark.createDataFrame([(i, label[i], bytes(p)) for i, p in enumerate(prints)], "node long, label long, _print binary")
+    pairs, hot = simhash.candidates(nodes, 0, 2 * simhash.SEGMENTS, False, few, bucket)
+    got, groups = {tuple(r) for r in pairs.collect()}, {}
+    for r in hot.collect():
+        groups.setdefault(r.key, []).append(r.node)
+    brute = {(a, b) for b in range(len(sets)) for a in range(b) if want(a, b)}
+    met = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    assert got <= brute <= got | met and len(brute) > 80 and bool(groups) == (few == 2)
+
+
 # 9
 
 
