@@ -224,8 +224,12 @@ WIDTH, SIMILAR = 5, 0.8
 SEGMENTS, WIDE, SMALL = 160, 14, 5
 #: What shares a segment is looked at if at most so many bits of the first 12 segments (3 words) differ; 25 on average at 0.8, deviation 4.6.
 HEAD, FAR = 3, 53
+#: Nodes of large buckets are looked at only if at most so many of all bits differ, where both sets have over SMALL shingles: at 0.8
+#: they differ with probability 0.16 at most (12 of 13 and 14 shingles shared, by their oddness), deviation 17.4, so that 2e-10 are beyond it.
+ALIKE = 470
 #: Segments of the rounds: those before FULL only compare neighbours, the others all rows of a bucket that no earlier round has joined.
-ROUNDS, FULL = ((0, 16), (16, 48), (0, SEGMENTS // 2), (SEGMENTS // 2, 2 * SEGMENTS)), 2
+#: The first round of the others has the head's segments.
+ROUNDS, FULL = ((0, 16), (16, 48), (0, 4 * HEAD), (4 * HEAD, SEGMENTS // 2), (SEGMENTS // 2, 2 * SEGMENTS)), 2
 #: Rows of a bucket that list all their pairs; in larger ones many pairs are compared as a block, large ones in blocks of half as many.
 FEW, BLOCK = 8, 1024
 #: Buckets of up to so many rows are compared together.
@@ -304,7 +308,10 @@ _HEAD = [f"w{i}" for i in range(HEAD)]
 
 
 def _segments(first: int, last: int):
-    """Rows ``key, node, label`` and the head words, one for each segment from ``first`` to ``last`` of ``_print``."""
+    """Rows ``key, node, label``, the head words and ``full``, one for each segment from ``first`` to ``last`` of ``_print``.
+
+    ``full`` is the whole fingerprint of ``_crowded`` nodes that have over ``SMALL`` shingles, else null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -319,12 +326,16 @@ def _segments(first: int, last: int):
                     head = np.frombuffer(raw, np.int64).reshape(len(at), -1)[:, :HEAD]
                     key = (np.arange(first, first + part.shape[1], dtype=np.int32) << 16) | part
                     columns = [batch.column(c).to_numpy()[at] for c in ("node", "label")] + list(head.T)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel())] + [pa.array(np.repeat(c, part.shape[1])) for c in columns], names=["key", "node", "label", *_HEAD])
+                    crowded = batch.column("_crowded").to_numpy(zero_copy_only=False)[at] & (size == SEGMENTS)
+                    full = pa.array([prints[i] if c else None for i, c in zip(at, crowded, strict=True)], pa.binary())
+                    columns = [pa.array(np.repeat(c, part.shape[1])) for c in columns] + [full.take(pa.array(np.repeat(np.arange(len(at)), part.shape[1])))]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *columns], names=["key", "node", "label", *_HEAD, "full"])
 
     return run
 
 
-CANDIDATES = "a long, b long, hot long, label long, " + ", ".join(f"{w} long" for w in _HEAD)
+ROWS = "node long, label long, " + ", ".join(f"{w} long" for w in _HEAD) + ", full binary"
+CANDIDATES = "a long, b long, hot long, " + ROWS.partition(", ")[2]
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -332,57 +343,85 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x[..., 0] != y[..., 0]) & (sum(np.bitwise_count((x[..., i] ^ y[..., i]).view(np.uint64)) for i in range(1, HEAD + 1)) <= FAR)
 
 
+def _new(segment: np.ndarray, heads: np.ndarray, full: pa.Array):
+    """Which pairs of rows by index share no earlier segment that both rows show and, where both are full, differ in at most ``ALIKE`` bits.
+
+    What shares an earlier segment was looked at there.
+    """
+    have = full.is_valid().to_numpy(zero_copy_only=False)
+    at, prints = np.cumsum(have) - 1, np.frombuffer(b"".join(full.drop_null().to_pylist()), np.uint16).reshape(-1, SEGMENTS)
+
+    def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(x), bool)
+        for s in range(0, len(x), 8192):
+            t, h = x[s : s + 8192], y[s : s + 8192]
+            good = ~(((heads[t] ^ heads[h]).view(np.uint16) == 0) & (np.arange(4 * HEAD) < segment[t, None])).any(1)
+            both = np.flatnonzero(good & have[t] & have[h])
+            differ = prints[at[t[both]]] ^ prints[at[h[both]]]
+            met = ((differ == 0) & (np.arange(SEGMENTS) < segment[t[both], None])).any(1)
+            good[both] = ~met & (np.bitwise_count(differ).sum(1, dtype=np.int64) <= ALIKE)
+            ok[s : s + 8192] = good
+        return ok
+
+    return test
+
+
 def _candidates(keys: list[str], neighbours: bool, few: int, bucket: int | None):
     """Reads rows sorted by the key columns; yields pairs ``a, b`` that are near in a bucket and not joined yet.
 
+    Unless only neighbours are compared, pairs that share an earlier segment are left to it as far as the rows show that.
     A bucket of more than ``few`` rows with more such pairs than half of its rows is given as its rows ``hot, a`` instead; beyond
     ``bucket`` rows it comes again with all its columns.
     """
     names, m = [c.split()[0] for c in CANDIDATES.split(", ")], len(keys)
 
-    def out(*columns: np.ndarray | None) -> pa.RecordBatch:
+    def out(*columns: np.ndarray | pa.Array | None) -> pa.RecordBatch:
         n = len(next(c for c in columns if c is not None))
         columns += (None,) * (len(names) - len(columns))
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c) for c in columns], names=names)
+        kinds = [pa.int64()] * (len(names) - 1) + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     def as_block(nodes: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
         return out(nodes, None, np.full(len(nodes), xxhash.xxh64_intdigest(key.tobytes(), SEED) - (1 << 63)))
 
-    def again(x: np.ndarray) -> pa.RecordBatch:
-        return out(x[:, m], None, x[:, 0], *x[:, m + 1 :].T)
+    def again(x: np.ndarray, full: pa.Array) -> pa.RecordBatch:
+        return out(x[:, m], None, x[:, 0], *x[:, m + 1 :].T, full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, spilling = np.zeros((0, m + 2 + HEAD), np.int64), None
+        held, held_full, spilling = np.zeros((0, m + 2 + HEAD), np.int64), pa.nulls(0, pa.binary()), None
         for batch in batches:
             column = dict(zip(batch.schema.names, batch.columns, strict=True))
             x = np.stack([column[c].to_numpy().astype(np.int64, copy=False) for c in (*keys, "node", "label", *_HEAD)], 1)
+            full = column["full"].cast(pa.binary())
             if spilling is not None:  # the rest of a bucket that comes again
                 other = (x[:, :m] != spilling).any(1)
                 same = int(other.argmax()) if other.any() else len(x)
                 if same:
-                    yield again(x[:same])
-                x, spilling = x[same:], spilling if same == len(x) else None
-            x = np.concatenate([held, x])
+                    yield again(x[:same], full[:same])
+                x, full, spilling = x[same:], full[same:], spilling if same == len(x) else None
+            x, full = np.concatenate([held, x]), pa.concat_arrays([held_full, full])
             edges = np.flatnonzero((x[1:, :m] != x[:-1, :m]).any(1)) + 1
             last = int(edges[-1]) if len(edges) else 0
             if neighbours:
-                yield from buckets(x, edges)
-                held = x[-1:]
+                yield from buckets(x, full, edges)
+                held, held_full = x[-1:], full[len(x) - 1 :]
                 continue
-            yield from buckets(x[:last], edges[:-1])
-            held = x[last:]
+            yield from buckets(x[:last], full[:last], edges[:-1])
+            held, held_full = x[last:], full[last:]
             if bucket and len(held) > bucket:
-                yield again(held)
-                spilling, held = held[0, :m].copy(), held[:0]
+                yield again(held, held_full)
+                spilling, held, held_full = held[0, :m].copy(), held[:0], held_full[:0]
         if len(held) and not neighbours:
-            yield from buckets(held, np.zeros(0, int))
+            yield from buckets(held, held_full, np.zeros(0, int))
 
-    def buckets(x: np.ndarray, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def buckets(x: np.ndarray, full_prints: pa.Array, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts, stops = np.concatenate([[0], edges]).astype(int), np.concatenate([edges, [len(x)]]).astype(int)
         node, rest, ends, sizes = x[:, m], x[:, m + 1 :], np.repeat(stops, stops - starts), stops - starts
+        new = (lambda t, h: np.ones(len(t), bool)) if neighbours else _new(x[:, 0] >> 16, np.ascontiguousarray(rest[:, 1:]), full_prints)
         at, step, tails, heads = np.flatnonzero(np.repeat(neighbours | (sizes <= TOGETHER), sizes)), 1, [], []
         while len(at := at[at + step < ends[at]]):
             hit = at[_near(rest[at], rest[at + step])]
+            hit = hit[new(hit, hit + step)]
             tails.append(hit)
             heads.append(hit + step)
             step += 1
@@ -401,11 +440,13 @@ def _candidates(keys: list[str], neighbours: bool, few: int, bucket: int | None)
             if (part[:, 0] == part[0, 0]).all():
                 continue
             if bucket and len(part) > bucket:
-                yield again(x[starts[i] : stops[i]])
+                yield again(x[starts[i] : stops[i]], full_prints[starts[i] : stops[i]])
                 continue
             met, found, count = np.zeros(len(part), bool), [], 0
             for s in range(0, len(part), 256):
                 t, h = np.nonzero(np.triu(_near(part[s : s + 256, None], part[None, s:]), 1))
+                kept = new(t + s + starts[i], h + s + starts[i])
+                t, h = t[kept], h[kept]
                 met[t + s] = met[h + s] = True
                 count += len(t)
                 if 2 * count <= len(part) or len(part) <= few:
@@ -434,14 +475,20 @@ def _blocks(n: str, block: int):
 
 
 def candidates(nodes: DataFrame, first: int, last: int, neighbours: bool, few: int, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a < b`` and bucket rows ``key, node, n``: what shares one of the segments, is near by its head and differs in ``label``."""
-    rows = nodes.mapInArrow(_segments(first, last), "key int, node long, label long, " + ", ".join(f"{w} long" for w in _HEAD))
+    """Pairs ``a < b`` and bucket rows ``key, node, n``: what shares one of the segments, is near by its head and differs in ``label``.
+
+    Unless only neighbours are compared, what shares one of the head's segments must have been looked at before or be looked at now, as
+    must what shares any earlier one where nodes are ``_crowded`` (may be missing): no pair is met in those again.
+    """
+    if "_crowded" not in nodes.columns:
+        nodes = nodes.withColumn("_crowded", F.lit(False))
+    rows = nodes.mapInArrow(_segments(first, last), "key int, " + ROWS)
     laid = rows.repartition("key").sortWithinPartitions("key", *(_HEAD[:1] if neighbours else []))
     found = written(laid.mapInArrow(_candidates(["key"], neighbours, few, None if neighbours else bucket), CANDIDATES), "candidates")
     over = found.where("w0 is not null")
     if not over.isEmpty():
         rows = over.withColumnsRenamed({"hot": "key", "a": "node"}).drop("b")
-        dealt = _blocks("n", bucket)(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key"), "node", "label", *_HEAD)
+        dealt = _blocks("n", bucket)(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key"), "node", "label", *_HEAD, "full")
         more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_candidates(["key", "i", "j"], False, few, None), CANDIDATES)
         found = found.where("w0 is null").unionByName(written(more, "candidates-of-blocks"))
     pairs = written(found.where("b is not null").select("a", "b").distinct(), "pairs")
@@ -468,14 +515,19 @@ def similar_links(nodes: DataFrame, texts: DataFrame, few: int = FEW, block: int
 
     ``nodes`` has ``node, _tie, _print``, one row for each set of shingles; ``texts`` has ``_tie, _text``. The first rounds
     only look at neighbours in the index, which joins most copies by few comparisons; the others look at all pairs of all
-    segments whose ends are not joined yet.
+    segments whose ends are not joined yet. Nodes that large buckets had in the head's segments go on with their whole
+    fingerprints, so that members of a large group meet in their first common segment only.
     """
-    links, labelled = None, nodes.select("node", F.col("node").alias("label"), "_print")
+    links, crowded, labelled = None, None, nodes.select("node", F.col("node").alias("label"), "_print")
     for k, (first, last) in enumerate(ROUNDS):
         if links is not None:
             labels = components(links).withColumnRenamed("node", "_node")
             labelled = nodes.join(labels, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("label", "node").alias("label"), "_print")
+        if crowded is not None:
+            labelled = labelled.join(crowded, F.col("node") == F.col("_of"), "left").withColumn("_crowded", F.col("_of").isNotNull()).drop("_of")
         pairs, hot = candidates(labelled, first, last, k < FULL, few, 8 * block)
+        if k == FULL:
+            crowded = written(hot.select(F.col("node").alias("_of")).distinct(), "crowded")
         found = verified(nodes, texts, pairs, hot, block)
         links = found if links is None else links.unionByName(found)
     return links

@@ -500,6 +500,36 @@ def test_candidates_are_those_of_the_multi_index(spark, few, bucket):
     assert got <= brute <= got | met and len(brute) > 80 and bool(groups) == (few == 2)
 
 
+@pytest.mark.parametrize("bucket", [8192, 20])
+def test_crowded_pairs_meet_in_their_first_segment(spark, bucket):
+    """Rounds over the head's segments and the others find every pair that may be similar, crowded ones in one bucket only."""
+    rng = random.Random(bucket)
+    base = [rng.getrandbits(64) for _ in range(150)]
+    sets = [np.array(base[:k] + [rng.getrandbits(64) for _ in range(150 - k)], np.uint64) for k in (90, 110, 130, 140) * 15]
+    sets += [s for size in (4, 5, 9) for pair in planted(rng, size, 10) for s in pair]
+    prints = [simhash.long_fingerprint(s) for s in sets]
+    rows = [(i, i, bytes(p), i % 7 > 0) for i, p in enumerate(prints)]
+    nodes = spark.createDataFrame(rows, "node long, label long, _print binary, _crowded boolean").repartition(3)
+    met, times = set(), Counter()
+    for first, last in simhash.ROUNDS[simhash.FULL :]:
+        pairs, hot = simhash.candidates(nodes if first else nodes.drop("_crowded"), first, last, False, 10**6, bucket)
+        assert hot.isEmpty()
+        times.update(tuple(r) for r in pairs.collect())
+    for b, a in ((b, a) for b in range(len(sets)) for a in range(b)):
+        f, g = (np.frombuffer(prints[i], np.uint16) for i in (a, b))
+        n = min(len(f), len(g))
+        differ, full = f[:n] ^ g[:n], len(f) == len(g) == simhash.SEGMENTS and rows[a][3] and rows[b][3]
+        near = (differ == 0).any() and np.bitwise_count(differ[:12]).sum() <= simhash.FAR
+        shared = np.flatnonzero(differ == 0)
+        if (shared < 12).any() or full:
+            assert times[a, b] <= 1
+        if near and (shared[0] < 12 or not full or np.bitwise_count(differ).sum() <= simhash.ALIKE):
+            met.add((a, b))
+        if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])):
+            assert (a, b) in met
+    assert set(times) == met and len(met) > 300
+
+
 # 9
 
 
