@@ -130,9 +130,19 @@ def signals(counted: DataFrame, cities: tuple[str, ...] = (), industries: tuple[
 
 
 def strength(found: DataFrame) -> DataFrame:
-    """``id, strength``: mean score, weighed by the signal's weight and confidence."""
-    weight = F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair])[F.col("type")] * F.col("confidence")
-    return found.groupBy("id").agg(half_up(F.sum(F.col("score") * weight) / F.sum(weight)).cast("long").alias("strength"))
+    """``id, strength``: mean score, weighed by the signal's weight and its confidence to four places.
+
+    Both sums go in the order of ``WEIGHTS``, so that a mean at a half falls to the same side however the rows are dealt out.
+    """
+    kinds = list(WEIGHTS)
+    weight = F.round("confidence", 4) * F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair])[F.col("type")]
+    one = F.struct(F.array_position(F.array(*map(F.lit, kinds)), F.col("type")).alias("at"), (F.col("score") * weight).alias("part"), weight.alias("weight"))
+    ordered = found.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("s"))
+
+    def total(field: str) -> Column:
+        return F.aggregate("s", F.lit(0.0), lambda sum_, x: sum_ + x[field])
+
+    return ordered.select("id", half_up(total("part") / total("weight")).cast("long").alias("strength"))
 
 
 def boosted(score: Column, boost: Column) -> Column:
