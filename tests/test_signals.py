@@ -30,3 +30,10 @@ def test_strength_adds_in_the_signals_order(spark):
     got = {r.id: r.strength for r in K.strength(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
     assert got == {i: plain(g) for i, g in groups.items()} and got["half"] == got["half-back"] == 48
     assert K.strength(spark.createDataFrame([], SCHEMA)).isEmpty()
+
+
+def test_boosted_strength_at_a_half(spark):
+    found = K.strength(spark.createDataFrame([(i, *r) for i in ("a", "b", "c") for r in HALVES], SCHEMA))
+    boosts = spark.createDataFrame([("a", 10), ("b", -8)], "id string, boost long")
+    rows = found.join(boosts, "id", "left").select("id", K.boosted(F.col("strength"), F.col("boost")).alias("score")).collect()
+    assert {r.id: r.score for r in rows} == {"a": 58, "b": 40, "c": 48}
