@@ -144,21 +144,25 @@ def hydrate(t: Tables) -> DataFrame:
     return M.fill_blanks(rows, known, ["host"], ["phone", "email"]).select("id", "phone", "email")
 
 
-@query("j18_company_match")
-def company_match(t: Tables) -> DataFrame:
+def _leads_and_records(t: Tables) -> tuple[DataFrame, DataFrame]:
     none = F.lit(None).cast("string")
     a = leads(t).select("id", "name", "city", none.alias("vat"), host(F.col("site")).alias("domain"), F.when(L.present(F.col("phone")), F.col("phone")).alias("phone"))
     s = t.raw("supplier").join(t.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     b = s.select(F.concat(F.lit("s:"), "s_suppkey").alias("id"), F.expr("replace(s_name, 'Supplier', 'Customer')").alias("name"), F.col("n_name").alias("city"), none.alias("vat"), F.expr("'shop' || s_suppkey || '.it'").alias("domain"), none.alias("phone"))
-    return M.match_companies(a, b)
+    return a, b
+
+
+@query("j18_company_match")
+def company_match(t: Tables) -> DataFrame:
+    return M.match_companies(*_leads_and_records(t))
 
 
 @query("j18_exact_matches", """, ld AS (SELECT id, name, lower(city) AS city, CASE WHEN coalesce(site, 'N/D') <> 'N/D' THEN regexp_replace(site, '^https://www\\.([^/]*)/.*$', '\\1') END AS d FROM lead),
   rc AS (SELECT 's:' || s_suppkey AS id, replace(s_name, 'Supplier', 'Customer') AS name, lower(n_name) AS city, 'shop' || s_suppkey || '.it' AS d FROM supplier JOIN nation ON s_nationkey = n_nationkey)
   SELECT ld.id AS lead_id, rc.id AS record_id, 'domain' AS reason FROM ld JOIN rc ON ld.d = rc.d UNION ALL SELECT ld.id, rc.id, 'name and city' FROM ld JOIN rc ON ld.name = rc.name WHERE ld.d IS DISTINCT FROM rc.d AND (contains(ld.city, rc.city) OR contains(rc.city, ld.city))""")
 def exact_matches(t: Tables) -> DataFrame:
-    """Accepted pairs that identities or equal names decide."""
-    return company_match(t).where(F.col("accepted") & F.col("reason").isin("domain", "name and city")).select("lead_id", "record_id", "reason")
+    """Accepted pairs that identities or equal names decide; names that are only alike needn't be looked for."""
+    return M.match_companies(*_leads_and_records(t), letters=False).where(F.col("accepted") & F.col("reason").isin("domain", "name and city")).select("lead_id", "record_id", "reason")
 
 
 # Aggregates and ranks

@@ -103,7 +103,7 @@ def named_alike(a: DataFrame, b: DataFrame, cities: DataFrame) -> list[DataFrame
     return [alike.join(rows, ["lead_name", "record_city"]).join(named, ["record_name", "record_city"]).select("lead_id", "record_id")]
 
 
-def match_companies(leads: DataFrame, records: DataFrame) -> DataFrame:
+def match_companies(leads: DataFrame, records: DataFrame, letters: bool = True) -> DataFrame:
     """``lead_id, record_id, score, reason, accepted, ambiguous`` of the pairs that are accepted, and of each lead's best pair.
 
     Candidates share a VAT number, domain or phone, or are of one city (one contains the other, or the lead has none) and
@@ -112,7 +112,9 @@ def match_companies(leads: DataFrame, records: DataFrame) -> DataFrame:
     with two tokens, 92 with one of six letters. Every pair that these rules accept is found, also with a typing error in
     every word. ``ambiguous``: of several candidates the lead's best scores under 75 or the second at least 0.85 of it.
     Ids must be unique on each side; null names have no tokens. Names are compared letter by letter only where nothing
-    else decides.
+    else decides. Without ``letters``, pairs that share neither an identity nor half of their tokens are not looked for:
+    all pairs accepted for ``vat``, ``domain``, ``phone`` or ``name and city`` are there, ``similar name``, ``single token``
+    and the best of the others may lack some.
     """
     a, b = _prepared(leads, "lead"), _prepared(records, "record")
     frequency = a.select(F.explode("lead_tokens").alias("token")).unionAll(b.select(F.explode("record_tokens").alias("token"))).groupBy("token").agg(F.count("*").alias("many"))
@@ -123,7 +125,7 @@ def match_companies(leads: DataFrame, records: DataFrame) -> DataFrame:
     # a name of one token shares half of a name of two by either of its tokens, every other half by a rare one
     for l, r in (("place <= prefix", "place <= prefix"), ("n = 1", "n = 2"), ("n = 2", "n = 1")):
         pairs.append(left.where(l).join(right.where(r), ["token", "record_city"]).select("lead_id", "record_id"))
-    pairs += named_alike(a, b, cities)
+    pairs += named_alike(a, b, cities) if letters else []
     all_pairs = reduce(DataFrame.unionByName, pairs)
     both = all_pairs.distinct().join(a, "lead_id").join(b, "record_id")
     same = {k: F.coalesce(F.col(f"lead_{k}") == F.col(f"record_{k}"), F.lit(False)) for k in ("vat", "domain", "phone")}
