@@ -116,7 +116,7 @@ def match_companies(leads: DataFrame, records: DataFrame, letters: bool = True)
     all pairs accepted for ``vat``, ``domain``, ``phone`` or ``name and city`` are there, ``similar name``, ``single token``
     and the best of the others may lack some.
     """
-    a, b = _prepared(leads, "lead"), _prepared(records, "record")
+    a, b = written(_prepared(leads, "lead"), "leads"), written(_prepared(records, "record"), "records")
     frequency = a.select(F.explode("lead_tokens").alias("token")).unionAll(b.select(F.explode("record_tokens").alias("token"))).groupBy("token").agg(F.count("*").alias("many"))
     left, right = _ranked_tokens(a, "lead", frequency), _ranked_tokens(b, "record", frequency)
     pairs = [a.join(b, a[f"lead_{k}"] == b[f"record_{k}"]).select("lead_id", "record_id") for k in ("vat", "domain", "phone")]

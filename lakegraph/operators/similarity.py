@@ -69,13 +69,16 @@ def _choices(n: Column, k: Column) -> Column:
 
 
 def _shortened(name: Column, k: Column) -> Column:
-    """The distinct texts that are left of ``name`` without ``k`` letters."""
+    """The distinct texts that are left of ``name`` without ``k`` letters; they are taken away from the left to the right."""
 
-    def without_one(text: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
+    def without_one(s: Column) -> Column:
+        n, text = F.length(s["text"]), s["text"]
+        places = F.when(s["at"] <= n, F.sequence(s["at"], n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, n)).alias("text"), i.alias("at")))
 
-    fewer = F.aggregate(F.sequence(F.lit(1), k), F.array(name), lambda texts, _: F.array_distinct(F.flatten(F.transform(texts, without_one))))
-    return F.when(k <= 0, F.array(name)).otherwise(fewer)
+    whole = F.array(F.struct(name.alias("text"), F.lit(1).alias("at")))
+    fewer = F.aggregate(F.sequence(F.lit(1), k), whole, lambda texts, _: F.flatten(F.transform(texts, without_one)))
+    return F.when(k <= 0, F.array(name)).otherwise(F.array_distinct(fewer["text"]))
 
 
 def _lengths(longer: DataFrame, shorter: DataFrame, least: int, strict: bool) -> DataFrame:
@@ -90,9 +93,12 @@ def _lengths(longer: DataFrame, shorter: DataFrame, least: int, strict: bool) ->
 
 def _by_letters(longer: DataFrame, shorter: DataFrame, lengths: DataFrame) -> DataFrame:
     """``long_key, short_key`` of the names that have ``common`` letters in common, in order."""
+    # small tables, but many keys of each name: dealt out to all cores
+    spark = longer.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def keyed(names: DataFrame, own: str, out: str) -> DataFrame:
-        rows = names.join(lengths, ["place", own])
+        rows = names.join(lengths, ["place", own]).repartition(tasks, "key")
         texts = _shortened(F.col("name"), F.col(own) - F.col("common"))
         return rows.select(F.col("key").alias(out), "place", "n", "m", F.explode(texts).alias("_text")).select(out, F.xxhash64("place", "n", "m", "_text").alias("_letters"))
 
