@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakegraph.functions.columns import clamp, grade, half_up
 from lakegraph.functions.leads import is_true, present
+from lakegraph.sources.sinks import stored as written
 
 
 def won() -> Column:
@@ -157,3 +158,23 @@ def adapted_weights(rows: DataFrame, factors: dict[str, tuple[Column, float]], g
     still = (F.col("n") < 5) | (F.col("np") < 2) | (F.col("nn") < 2) | (F.abs(F.col("p") - F.col("m")) < 8)
     change = F.when(still, 1.0).when(F.col("p") > F.col("m"), 1.04).otherwise(0.96)
     return s.select("factor", F.greatest(F.lit(3.0), F.least(F.lit(45.0), F.col("w") * change)).alias("weight"))
+
+
+def counted_back(rows: DataFrame, key: str, at: str, width: int) -> DataFrame:
+    """``rows`` with ``n``: how many rows of the same ``key`` have a whole number ``at`` from ``width`` before the row's own up to it.
+
+    A row adds one at its number and takes it away just after the width, so that ``n`` is a running sum, also where
+    the width holds a great share of the rows. The sums are cut by ranges of (key, number), so that one key may have any share
+    too; a range hands on one sum for each key. Rows without number count each other, rows without key are a key.
+    """
+    own = rows.groupBy(F.col(key).alias("_key"), F.col(at).alias("_at")).agg(F.count("*").alias("_n"))
+    dated = own.where("_at is not null")
+    moves = dated.unionByName(dated.select("_key", (F.col("_at") + width + 1).alias("_at"), (-F.col("_n")).alias("_n"))).groupBy("_key", "_at").agg(F.sum("_n").alias("_n"))
+    laid = written(moves.repartitionByRange("_key", "_at").withColumn("_range", F.spark_partition_id()), "counted-back")
+    here = Window.partitionBy("_key", "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    handed = laid.groupBy(F.col("_key").alias("_k"), F.col("_range").alias("_r")).agg(F.sum("_n").alias("_n"))
+    handed = handed.select("_k", "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    sums = laid.withColumn("_own", F.sum("_n").over(here)).join(handed, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r")))
+    sums = sums.select("_key", "_at", (F.col("_own") + F.col("_before")).alias("n")).unionByName(own.where("_at is null").withColumnRenamed("_n", "n"))
+    return rows.join(sums, F.col(key).eqNullSafe(F.col("_key")) & F.col(at).eqNullSafe(F.col("_at")), "left").drop("_key", "_at")

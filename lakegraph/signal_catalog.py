@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakegraph import catalog
 from lakegraph.functions import columns as C
+from lakegraph.operators import analytics as A
 from lakegraph.operators import commercial as K
 from lakegraph.operators import graph
 from lakegraph.sources import facts as B
@@ -197,8 +198,7 @@ def contact_projection(t: Tables) -> DataFrame:
 def access_quota(t: Tables) -> DataFrame:
     """Accesses of the last 24 hours at each access, and whether it is still within two hundred."""
     at = t.raw("events").select("event_id", (F.col("user_id") % 5).alias("u"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    n = F.count("*").over(Window.partitionBy("u").orderBy("at").rangeBetween(-86_400_000_000, 0))
-    return at.withColumn("n", n).select("event_id", F.concat(F.lit("u"), F.col("u")).alias("user_id"), "n", (F.col("n") <= 200).alias("allowed"), F.greatest(F.lit(0), 200 - F.col("n")).alias("remaining"))
+    return A.counted_back(at, "u", "at", 86_400_000_000).select("event_id", F.concat(F.lit("u"), F.col("u")).alias("user_id"), "n", (F.col("n") <= 200).alias("allowed"), F.greatest(F.lit(0), 200 - F.col("n")).alias("remaining"))
 
 
 ALIAS_SQL = ", al AS (SELECT 's:' || s_suppkey AS entity_id, 'domain' AS alias_type, 'shop' || (s_suppkey % 40) || '.it' AS alias_value, (s_suppkey % 7) / 7.0::DOUBLE AS confidence, s_suppkey AS created FROM supplier), en AS (SELECT 's:' || s_suppkey AS id, CASE WHEN s_suppkey % 10 = 7 THEN 's:' || (s_suppkey + 1) END AS merged_into_id FROM supplier)"
