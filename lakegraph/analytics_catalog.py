@@ -185,7 +185,9 @@ def alerts(t: Tables) -> DataFrame:
     watched = t.raw("part").select(F.concat(F.lit("m"), F.col("p_partkey") % 5).alias("user_id"), F.concat(F.lit("https://www.shop"), F.col("p_partkey") % 450, F.lit(".it/x"), F.col("p_partkey")).alias("website"))
     domain = F.when(L.present(F.col("site")), C.normalize_domain(F.col("site")))
     sites = leads(t).select(F.col("id").alias("entity_id"), domain.alias("domain")).where("domain is not null")
-    monitors = M.containing(watched, "website", sites, "domain").select("user_id", "entity_id")
+    # many entities share a domain and many sites of a user hold it: they meet as user and domain, each once
+    held = M.containing(watched.distinct(), "website", sites.select("domain").distinct(), "domain").select("user_id", "domain").distinct()
+    monitors = held.join(sites, "domain").select("user_id", "entity_id")
     events = signals(t).where(F.col("kind").isin("error", "purchase")).select(F.col("lead").alias("entity_id"), F.col("id").alias("event_id"))
     return events.join(keep.unionByName(monitors).distinct(), "entity_id").select("user_id", "event_id").distinct()
 

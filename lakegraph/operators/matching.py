@@ -208,7 +208,8 @@ def containing(texts: DataFrame, text: str, needles: DataFrame, needle: str, sam
         starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
 
-    pieces = texts.withColumn("_part", F.explode(F.array_distinct(F.concat(*[cut(k) for k in lengths]))))
+    # Spark takes the parts to be as small as the texts and would send all of them to every task
+    pieces = texts.withColumn("_part", F.explode(F.array_distinct(F.concat(*[cut(k) for k in lengths])))).hint("merge")
     if same:
         return pieces.join(keys.withColumn("_part", F.col(needle)), ["_part", *same]).drop("_part")
     return pieces.join(keys, F.col("_part") == F.col(needle)).drop("_part")

@@ -24,3 +24,11 @@ def test_exact_reasons_need_no_letters(spark, monkeypatch):
     assert {r[2] for r in every} == {"vat", "domain", "phone", "name and city"}
     monkeypatch.setattr(M, "named_alike", lambda *_: 1 / 0)
     assert rows(M.match_companies(a, b, letters=False)) == every
+
+
+def test_parts_of_texts_go_to_no_broadcast(spark):
+    texts, needles = spark.createDataFrame([(1, "www.shop1.it/x"), (2, "shop1.it shop2.it"), (3, None)], "i long, text string"), spark.createDataFrame([("shop1.it",), ("shop2.it",), ("",)], "needle string")
+    found = M.containing(texts, "text", needles, "needle")
+    assert sorted((r.i, r.needle) for r in found.collect()) == [(1, "shop1.it"), (2, "shop1.it"), (2, "shop2.it")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
