@@ -50,6 +50,8 @@ def paths(start: DataFrame, edges: DataFrame, hops: list[tuple[str, str, DataFra
 
 #: Edges at one node above which they are dealt out; each part gets the rows that stand at the node.
 HUB_EDGES = 50_000
+#: Origins are told apart by so many hash values, the bits of a long, where it is asked whether all of them have seen a node.
+SLOTS = 64
 
 
 def reached(start: DataFrame, edges: DataFrame, most: int | None = None, kinds: list[str] | None = None, direction: str = "out", hub: int = HUB_EDGES) -> DataFrame:
@@ -67,12 +69,21 @@ def reached(start: DataFrame, edges: DataFrame, most: int | None = None, kinds:
     hubs = written(hubs, "hubs")
     part = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("far"), F.col("_parts")).cast("int"))
     steps = written(steps.join(hubs, "near", "left").withColumn("_part", part).drop("_parts"), "steps")
-    ids = start.select("id").where("id is not null").distinct()
+    ids = written(start.select("id").where("id is not null").distinct(), "origins")
     front = ids.select(F.col("id").alias("origin"), F.col("id").alias("node"), F.lit(0.0).alias("total"), F.lit(0).alias("hops"), F.col("id").alias("path"))
     seen, found = front.select("origin", "node"), []
+    slot = F.pmod(F.xxhash64("origin"), F.lit(SLOTS)).cast("int")
+    slots = ids.select(F.col("id").alias("origin")).groupBy(slot.alias("_slot")).agg(F.count("*").alias("_all"))
+    every = slots.agg(F.bit_or(F.expr("shiftleft(1L, _slot)")).alias("_every")).head()[0] or 0
     while most is None or len(found) < most:
         at = front.join(hubs.withColumnRenamed("near", "node"), "node", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0)))))
-        longer = at.join(steps, (F.col("node") == F.col("near")) & (at["_part"] == steps["_part"]))
+        # what all origins of a slot have seen leads none of them on: such steps go before paths are made and compared
+        full = seen.groupBy(F.col("node").alias("far"), slot.alias("_slot")).agg(F.count("*").alias("_n")).join(F.broadcast(slots), "_slot").where("_n = _all")
+        full = full.groupBy("far").agg(F.bit_or(F.expr("shiftleft(1L, _slot)")).alias("_full"))
+        open_ = steps.join(full, "far", "left").where(F.coalesce("_full", F.lit(0)) != every).alias("s")
+        at = at.alias("a")
+        unseen = F.coalesce(F.col("s._full"), F.lit(0)).bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(a.origin), {SLOTS}) as int))")) == 0
+        longer = at.join(open_, (F.col("a.node") == F.col("s.near")) & (F.col("a._part") == F.col("s._part")) & unseen)
         longer = longer.select("origin", F.col("far").alias("node"), (F.col("total") + F.col("confidence")).alias("total"), F.concat_ws(">", "path", "far").alias("path"))
         best = longer.groupBy("origin", "node").agg(F.min(F.struct((-F.col("total")).alias("minus"), "path")).alias("_best"))
         new = best.join(seen, ["origin", "node"], "left_anti").select("origin", "node", (-F.col("_best.minus")).alias("total"), F.lit(len(found) + 1).alias("hops"), "_best.path")
